@@ -15,9 +15,10 @@ from packetloom import fixed_values as V
 from packetloom.functions import scalars as S
 from packetloom.functions.payload import payload_entropy
 from packetloom.operators.clocks import export_clock, global_prev_ts
-from packetloom.operators.ordered_fold import fold_sliced, has_group_over
-from packetloom.operators.slices import Last, Prev, running, time_slice
+from packetloom.operators.ordered_fold import fold_sliced
+from packetloom.operators.slices import Last, Prev, has_group_over, running, time_slice
 from packetloom.params import SECOND, Params
+from packetloom.session import materialise
 
 KEY = ["capture_id", "key_lo", "key_hi", "key_lo_port", "key_hi_port", "proto"]
 ORDER = ["ts_us", "seq"]
@@ -31,7 +32,14 @@ def _pure_syn() -> Column:
     return S.has_flag(F.col("flags"), V.SYN) & ~S.has_flag(F.col("flags"), V.ACK)
 
 
-def _with_islands(packets: DataFrame, p: Params, clock: str) -> DataFrame:
+def _ends(at: Column) -> Column:
+    return F.when(at, F.struct(
+        F.col("seq").alias("flow_id"), F.col("src").alias("init_src"),
+        F.col("sport").alias("init_sport"),
+        F.col("dst").alias("init_dst"), F.col("dport").alias("init_dport")))
+
+
+def _with_islands(packets: DataFrame, p: Params, clock: str, busy: bool) -> DataFrame:
     """Add previous-packet columns, ``hard`` and ``island``."""
     if clock == "capture":
         keyed = global_prev_ts(packets).withColumnRenamed("g_us", "clock_us")
@@ -39,26 +47,23 @@ def _with_islands(packets: DataFrame, p: Params, clock: str) -> DataFrame:
         keyed = packets.withColumn("clock_us", F.col("ts_us"))
     else:
         raise ValueError("clock must be 'capture' or 'deadline'")
-    keyed = canonical_key(keyed).withColumn(
-        "slice", time_slice(F.col("ts_us"), p.slice_s * SECOND))
+    part = time_slice(F.col("ts_us"), p.slice_s * SECOND) if busy else None
     before = running(
-        keyed, KEY, ORDER, F.col("slice"),
+        canonical_key(keyed), KEY, ORDER, part,
         _prev=Prev(F.struct(
             F.col("ts_us").alias("ts"),
             S.has_flag(F.col("flags"), V.RST).alias("rst"),
             _pure_syn().alias("syn"))),
     )
     prev = F.col("_prev")
-    hard = (
-        prev.isNull() | prev["rst"] | (F.col("clock_us") >= prev["ts"] + p.idle_us)
-    )
+    hard = prev.isNull() | prev["rst"] | (F.col("clock_us") >= prev["ts"] + p.idle_us)
     # a bare SYN in front of this packet, and time enough for it to have been exported
     waited = ~hard & prev["syn"] & (F.col("clock_us") >= prev["ts"] + p.syn_us)
     marked = before.withColumns({
         "prev_us": prev["ts"], "hard": hard, "waited": F.coalesce(waited, F.lit(False)),
     }).drop("_prev")
-    return running(marked, KEY, ORDER, F.col("slice"),
-                   island=Last(F.when(F.col("hard"), F.col("seq"))))
+    headed = running(marked, KEY, ORDER, part, head=Last(_ends(F.col("hard"))))
+    return headed.withColumn("island", F.col("head")["flow_id"])
 
 
 def _cut(state: Column, x: Column, p: Params) -> Column:
@@ -124,24 +129,28 @@ def _fold_rows(p: Params):
     return fold
 
 
-def _soft_cuts(islands: DataFrame, p: Params, busy: bool) -> DataFrame:
+def _doubtful(islands: DataFrame, p: Params) -> DataFrame:
+    """Islands that may hold more than one flow."""
     fin = S.has_flag(F.col("flags"), V.FIN).cast("int")
-    shaped = islands.select(
-        "capture_id", "island", *ORDER, "clock_us", "waited",
-        F.coalesce(_pure_syn(), F.lit(False)).alias("syn"), fin.alias("fin"))
-    doubtful = (
-        shaped.groupBy("capture_id", "island")
-        .agg(F.sum("fin").alias("fins"), F.max("waited").alias("waits"),
+    return (
+        islands.groupBy("capture_id", "island")
+        .agg(F.sum(fin).alias("fins"), F.max("waited").alias("waits"),
              (F.max(F.greatest("ts_us", "clock_us")) - F.min("ts_us")).alias("span"),
              F.count(F.lit(1)).alias("rows"))
         .where((F.col("fins") >= 2) | F.col("waits") | (F.col("span") >= p.active_us))
         .select("capture_id", "island", "rows")
     )
-    rows = shaped.drop("waited").join(doubtful, ["capture_id", "island"])
+
+
+def _soft_cuts(rows: DataFrame, p: Params, busy: bool) -> DataFrame:
+    shaped = rows.select(
+        "capture_id", "island", "rows", *ORDER, "clock_us",
+        F.coalesce(_pure_syn(), F.lit(False)).alias("syn"),
+        S.has_flag(F.col("flags"), V.FIN).cast("int").alias("fin"))
     if not busy:
-        return _fold_native(rows.drop("rows"), p)
-    small = _fold_native(rows.where(F.col("rows") <= p.group_rows).drop("rows"), p)
-    large = rows.where(F.col("rows") > p.group_rows).drop("rows")
+        return _fold_native(shaped, p)
+    small = _fold_native(shaped.where(F.col("rows") <= p.group_rows), p)
+    large = shaped.where(F.col("rows") > p.group_rows).drop("rows")
     pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return small.unionByName(fold_sliced(
         large, ["capture_id", "island"], ORDER, _fold_rows(p), CUT_SCHEMA, max(2, pieces)))
@@ -151,21 +160,23 @@ def flow_boundaries(packets: DataFrame, p: Params = Params(), clock: str = "capt
     """Add ``flow_id``, the flow's initiator and ``iat_us`` to every packet."""
     # only a key with more packets than the limit can hold an island with more
     busy = has_group_over(canonical_key(packets), KEY, p.group_rows)
-    islands = _with_islands(packets, p, clock)
-    soft = _soft_cuts(islands, p, busy).withColumn("soft", F.lit(True))
-    marked = islands.join(soft, ["capture_id", "seq"], "left").withColumn(
-        "begins", F.col("hard") | F.coalesce("soft", F.lit(False)))
-    named = running(
-        marked, KEY, ORDER, F.col("slice"),
-        _head=Last(F.when(F.col("begins"), F.struct(
-            F.col("seq").alias("flow_id"), F.col("src").alias("init_src"),
-            F.col("sport").alias("init_sport"),
-            F.col("dst").alias("init_dst"), F.col("dport").alias("init_dport")))),
-    )
+    # read by both branches below
+    islands = materialise(_with_islands(packets, p, clock, busy), "islands")
+    doubtful = _doubtful(islands, p)
+    tagged = islands.join(doubtful, ["capture_id", "island"], "left")
+    clear = tagged.where(F.col("rows").isNull()).withColumn("begins", F.col("hard"))
+    unclear = tagged.where(F.col("rows").isNotNull())
+    soft = _soft_cuts(unclear, p, busy).withColumn("soft", F.lit(True))
+    cut = unclear.join(soft, ["capture_id", "seq"], "left").withColumn(
+        "begins", F.col("hard") | F.coalesce("soft", F.lit(False))).drop("head", "soft")
+    part = time_slice(F.col("ts_us"), p.slice_s * SECOND) if busy else None
+    settled = running(cut, ["capture_id", "island"], ORDER, part,
+                      head=Last(_ends(F.col("begins"))))
+    named = clear.unionByName(settled)
     gap = F.col("ts_us") - F.col("prev_us")
     return named.select(
         *packets.columns, *[k for k in KEY if k not in packets.columns],
-        F.col("_head.*"),
+        F.col("head.*"),
         F.when(~F.col("begins") & (gap > 0), gap).alias("iat_us"),
     )
 

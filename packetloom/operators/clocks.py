@@ -9,21 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from packetloom.operators.slices import Prev, running, time_slice
+from packetloom.operators.slices import time_slice
 from packetloom.params import SECOND
 
 
-def _ticks(packets: DataFrame) -> DataFrame:
-    """One row per capture and microsecond, with its first sequence number."""
-    return packets.groupBy("capture_id", "ts_us").agg(F.min("seq").alias("first_seq"))
-
-
 def global_prev_ts(packets: DataFrame) -> DataFrame:
     """Add ``g_us``: time of the packet just before this one in (ts, seq), on any key."""
-    ticks = running(
-        _ticks(packets), ["capture_id"], ["ts_us"], time_slice(F.col("ts_us"), SECOND),
-        earlier_us=Prev(F.col("ts_us")))
-    joined = packets.join(ticks, ["capture_id", "ts_us"])
+    second = time_slice(F.col("ts_us"), SECOND)
+    ticks = packets.groupBy("capture_id", "ts_us").agg(
+        F.min("seq").alias("first_seq")).withColumn("_slice", second)
+    # one row per second; the last packet time of the second before it that has any
+    seconds = packets.groupBy("capture_id", second.alias("_slice")).agg(
+        F.max("ts_us").alias("_last"))
+    before = W.partitionBy("capture_id").orderBy("_slice")
+    seconds = seconds.withColumn("_carry", F.lag("_last").over(before)).drop("_last")
+    inside = W.partitionBy("capture_id", "_slice").orderBy("ts_us")
+    earlier = (ticks.withColumn("_lag", F.lag("ts_us").over(inside))
+               .join(seconds, ["capture_id", "_slice"])
+               .select("capture_id", "ts_us", "first_seq",
+                       F.coalesce("_lag", "_carry").alias("earlier_us")))
+    joined = packets.join(earlier, ["capture_id", "ts_us"])
     g = F.when(F.col("seq") > F.col("first_seq"), F.col("ts_us")).otherwise(F.col("earlier_us"))
     return joined.withColumn("g_us", g).drop("first_seq", "earlier_us")
 

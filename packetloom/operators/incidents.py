@@ -13,7 +13,9 @@ from packetloom import fixed_values as V
 from packetloom import schemas
 from packetloom.functions import scalars as S
 from packetloom.operators.dims import asset_lookup, family_info
-from packetloom.operators.slices import PrevMax, running, time_slice, top_per_key
+from packetloom.operators.slices import (
+    PrevMax, has_group_over, running, time_slice, top_per_key,
+)
 from packetloom.params import SECOND, Params
 
 AT = ["at_us", "seq"]
@@ -64,8 +66,10 @@ def _peak() -> Column:
 def incident_records(sessions: DataFrame, p: Params = Params(),
                      keys: tuple[str, ...] = ()) -> DataFrame:
     """The opening alert of each incident and those that raised its maximum score."""
-    ranked = running(sessions, [*keys, "incident_id"], AT,
-                     time_slice(F.col("at_us"), p.dedup_s * SECOND), _best=PrevMax(F.col("score")))
+    by = [*keys, "incident_id"]
+    busy = has_group_over(sessions, by, p.group_rows)
+    part = time_slice(F.col("at_us"), p.dedup_s * SECOND) if busy else None
+    ranked = running(sessions, by, AT, part, _best=PrevMax(F.col("score")))
     return ranked.where(F.col("_best").isNull() | (F.col("score") > F.col("_best"))).drop("_best")
 
 

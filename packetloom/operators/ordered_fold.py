@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from packetloom.operators.slices import has_group_over
 from packetloom.session import materialise
 
 Fold = Callable[[object, pd.DataFrame], tuple[pd.DataFrame, object]]
@@ -23,10 +24,6 @@ Fold = Callable[[object, pd.DataFrame], tuple[pd.DataFrame, object]]
 Propagate = Callable[[object, object, object], object]
 
 
-def has_group_over(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    return not df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
-
-
 def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
                 schema: T.StructType) -> DataFrame:
     order = list(order)

@@ -1,9 +1,10 @@
 """Ordered operations on keys of any size.
 
-A window over a whole key puts that key in one task. Here a key's timeline is cut
-into slices; the window runs inside a slice, and what earlier slices contribute is
-carried in from a summary of one row per slice. The summary is map-side combined,
-so a key that holds a third of the data costs as many tasks as it has slices.
+A window over a whole key puts that key in one task. Where a key may be too large for
+that (``has_group_over`` tells), its timeline is cut into slices; the window runs inside
+a slice, and what earlier slices contribute is carried in from a summary of one row per
+slice. The summary is map-side combined, so a key that holds a third of the data costs as
+many tasks as it has slices. Keys known to be small take one plain window.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from packetloom.session import materialise
+
 
 @dataclass(frozen=True)
 class Prev:
@@ -55,10 +58,48 @@ def time_slice(us: Column, width_us: int) -> Column:
     return F.floor(us / F.lit(width_us))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
-            **wanted: Prev | Last | PrevLast | RunSum | PrevMax | RunMax) -> DataFrame:
-    """Add ordered columns per key. ``slice_by`` must be monotone in ``order``."""
+Wanted = Prev | Last | PrevLast | RunSum | PrevMax | RunMax
+
+
+def has_group_over(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
+    """Is any group larger than the limit? One map-side combined count."""
+    return not df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
+
+
+def _within(w: Wanted, v: Column, inside: W) -> Column:
+    """The wanted value over one ordered window."""
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    prior = inside.rowsBetween(W.unboundedPreceding, -1)
+    match w:
+        case Prev():
+            # struct-wrapped, so that a NULL in the previous row stays distinguishable
+            return F.lag(F.struct(v.alias("x"))).over(inside)
+        case Last():
+            return F.last(v, ignorenulls=True).over(upto)
+        case PrevLast():
+            return F.last(v, ignorenulls=True).over(prior)
+        case RunSum():
+            return F.sum(v).over(upto)
+        case PrevMax():
+            return F.max(v).over(prior)
+        case _:
+            return F.max(v).over(upto)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+            slice_by: Column | None, **wanted: Wanted) -> DataFrame:
+    """Add ordered columns per key.
+
+    ``slice_by`` must be monotone in ``order``; None promises that every key is small.
+    """
     keys, order = list(keys), list(order)
+    if slice_by is None:
+        inside = W.partitionBy(*keys).orderBy(*order)
+        found = {n: _within(w, w.value, inside) for n, w in wanted.items()}
+        return df.withColumns(
+            {n: c["x"] if isinstance(wanted[n], Prev) else c for n, c in found.items()})
+    # read twice below (rows and summary): stored, so that what lies upstream runs once
+    df = materialise(df, "slices")
     values = {f"_v_{n}": w.value for n, w in wanted.items()}
     # _pos also orders rows inside the per-slice aggregates
     df = df.withColumns({"_slice": slice_by, "_pos": F.struct(*order), **values})
@@ -67,7 +108,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
     for name, w in wanted.items():
         v = F.col(f"_v_{name}")
         if isinstance(w, Prev):
-            # struct-wrapped, so that a NULL in the previous row stays distinguishable
             carried[name] = F.max_by(F.struct(v.alias("x")), F.col("_pos"))
         elif isinstance(w, Last | PrevLast):
             carried[name] = F.max_by(v, F.when(v.isNotNull(), F.col("_pos")))
@@ -97,23 +137,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
 
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    prior = inside.rowsBetween(W.unboundedPreceding, -1)
-    local = {}
-    for name, w in wanted.items():
-        v = F.col(f"_v_{name}")
-        if isinstance(w, Prev):
-            local[f"_l_{name}"] = F.lag(F.struct(v.alias("x"))).over(inside)
-        elif isinstance(w, Last):
-            local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(upto)
-        elif isinstance(w, PrevLast):
-            local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(prior)
-        elif isinstance(w, RunSum):
-            local[f"_l_{name}"] = F.sum(v).over(upto)
-        elif isinstance(w, PrevMax):
-            local[f"_l_{name}"] = F.max(v).over(prior)
-        else:
-            local[f"_l_{name}"] = F.max(v).over(upto)
+    local = {f"_l_{n}": _within(w, F.col(f"_v_{n}"), inside) for n, w in wanted.items()}
     joined = df.withColumns(local).join(carry, match, "left")
 
     final = {}

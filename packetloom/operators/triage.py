@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packetloom.operators.slices import PrevLast, running
+from packetloom.operators.slices import PrevLast, has_group_over, running
+from packetloom.params import Params
 
 ORDER = ["ts", "seq"]
 DAY_US = 86_400_000_000
@@ -20,13 +21,14 @@ def normalised(events: DataFrame) -> DataFrame:
     return events.withColumns({"assignee": clean("assignee"), "note": clean("note")})
 
 
-def _effects(incidents: DataFrame, events: DataFrame) -> DataFrame:
+def _effects(incidents: DataFrame, events: DataFrame, p: Params) -> DataFrame:
     """Each event with the state before it and what it really changed."""
     before = incidents.select(F.col("id").alias("incident_id"),
                               *[F.col(c).alias(f"{c}_0") for c in ("status", "assignee", "verdict")])
     known = normalised(events).join(before, "incident_id")
-    # sliced by day, so a much-edited incident is not one task
-    day = F.floor(F.unix_micros("ts") / F.lit(DAY_US))
+    # sliced by day if some incident has more events than one task should order
+    busy = has_group_over(events, ["incident_id"], p.group_rows)
+    day = F.floor(F.unix_micros("ts") / F.lit(DAY_US)) if busy else None
     judged = running(known, ["incident_id"], ORDER, day,
                      verdict_b=PrevLast(F.col("verdict")), assignee_b=PrevLast(F.col("assignee")))
     judged = judged.withColumns({
@@ -46,9 +48,9 @@ def _effects(incidents: DataFrame, events: DataFrame) -> DataFrame:
     return held.withColumns({"patched": patched, "closes": F.col("judges") & open_now})
 
 
-def triage_apply(incidents: DataFrame, events: DataFrame) -> DataFrame:
+def triage_apply(incidents: DataFrame, events: DataFrame, p: Params = Params()) -> DataFrame:
     """Incidents after all events."""
-    effects = _effects(incidents, events)
+    effects = _effects(incidents, events, p)
     at = F.struct(*ORDER)
     moved = F.col("patched") | F.col("closes")
     line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" "),
@@ -87,9 +89,9 @@ def triage_bulk(ids: DataFrame, ts: Column, seq: Column, actor: str, status: str
         F.lit(None).cast("string").alias("note"))
 
 
-def triage_diff(incidents: DataFrame, events: DataFrame) -> DataFrame:
+def triage_diff(incidents: DataFrame, events: DataFrame, p: Params = Params()) -> DataFrame:
     """(incident_id, seq, field, old, new) for every field an event changed."""
-    e = _effects(incidents, events)
+    e = _effects(incidents, events, p)
     text = lambda c: F.col(c).cast("string")
     change = lambda field, cond, old, new: F.when(cond, F.struct(
         F.lit(field).alias("field"), old.alias("old"), new.alias("new")))

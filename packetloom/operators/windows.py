@@ -15,7 +15,9 @@ from packetloom.functions import scalars as S
 from packetloom.operators.sliding import (
     sliding_distinct, sliding_max, sliding_max_count, sliding_sums,
 )
-from packetloom.operators.slices import Last, Prev, RunSum, flag_first, running, time_slice
+from packetloom.operators.slices import (
+    Last, Prev, RunSum, flag_first, has_group_over, running, time_slice,
+)
 from packetloom.params import SECOND, Params
 
 SRC = ["capture_id", "src"]
@@ -136,24 +138,29 @@ def pair_contacts(flows: DataFrame, p: Params = Params()) -> DataFrame:
     The memory of a pair is dropped once another flow of the host shows that the pair's
     last contact left the window; ``g`` is the host's flow just before this one.
     """
-    span, width = p.long_s * SECOND, p.slice_s * SECOND
-    slim = flows.select(*PAIR, *ORDER).withColumn(
-        "slice", time_slice(F.col("end_us"), width))
-    host = running(slim, SRC, ORDER, F.col("slice"), g=Prev(F.col("end_us")))
-    pair = running(host, PAIR, ORDER, F.col("slice"),
+    span = p.long_s * SECOND
+    slim = flows.select(*PAIR, *ORDER)
+    busy = has_group_over(slim, SRC, p.group_rows)
+    part = time_slice(F.col("end_us"), p.slice_s * SECOND) if busy else None
+    host = running(slim, SRC, ORDER, part, g=Prev(F.col("end_us")))
+    pair = running(host, PAIR, ORDER, part,
                    a=Prev(F.col("end_us")), pos=RunSum(F.lit(1).cast("long")))
     broke = F.col("a").isNull() | (F.col("g") > F.col("a") + span)
-    based = running(pair, PAIR, ORDER, F.col("slice"), island=Last(
+    based = running(pair, PAIR, ORDER, part, island=Last(
         F.when(broke, F.struct(F.col("end_us").alias("us"), F.col("seq").alias("seq"),
                                F.col("pos").alias("pos")))))
     # chunks of consecutive rows of one pair, each preceded by the rows it looks back on
     chunk = F.floor((F.col("pos") - 1) / F.lit(BEACON_CHUNK))
     ahead = F.floor((F.col("pos") - 1 + BEACON_TIMES - 1) / F.lit(BEACON_CHUNK))
-    spread = based.withColumn("_home", chunk).withColumn(
-        "_chunk", F.explode(F.sequence(chunk, ahead)))
-    w = W.partitionBy(*PAIR, "_chunk").orderBy("pos").rowsBetween(1 - BEACON_TIMES, 0)
-    listed = spread.withColumn("_times", F.collect_list(F.col("end_us")).over(w)).where(
-        F.col("_chunk") == F.col("_home"))
+    if busy:
+        near = W.partitionBy(*PAIR, "_chunk").orderBy("pos").rowsBetween(1 - BEACON_TIMES, 0)
+        spread = based.withColumn("_home", chunk).withColumn(
+            "_chunk", F.explode(F.sequence(chunk, ahead)))
+        listed = spread.withColumn("_times", F.collect_list("end_us").over(near)).where(
+            F.col("_chunk") == F.col("_home"))
+    else:
+        near = W.partitionBy(*PAIR).orderBy("pos").rowsBetween(1 - BEACON_TIMES, 0)
+        listed = based.withColumn("_times", F.collect_list("end_us").over(near))
     length = F.least(F.col("pos") - F.col("island")["pos"] + 1, F.lit(BEACON_TIMES))
     own = F.slice(F.col("_times"), -length.cast("int"), length.cast("int"))
     return listed.select(

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", memory: str = "16g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("packetloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
