@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from packetloom.operators.assembly import assemble_flows
 from packetloom.operators.windows import behaviour_features, flow_records
 from packetloom.params import Params
+from packetloom.session import materialise
 
 
 def stack_captures(*parts: DataFrame) -> DataFrame:
@@ -41,8 +42,9 @@ def time_order(packets: DataFrame) -> DataFrame:
 
 def flow_dataset(packets: DataFrame, p: Params = Params(), clock: str = "capture") -> DataFrame:
     """Packets of many captures to labelled flows with all 52 features."""
-    flows = assemble_flows(packets, p, clock)
-    records = flow_records(flows)
+    # each is read several times below
+    flows = materialise(assemble_flows(packets, p, clock), "flows")
+    records = materialise(flow_records(flows), "records")
     known = [c for c in records.columns if c not in ("capture_id", "seq")]
     behaviour = behaviour_features(records, p).drop(*known).withColumnRenamed("seq", "flow_id")
     return flows.join(behaviour, ["capture_id", "flow_id"])

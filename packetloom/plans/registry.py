@@ -16,7 +16,7 @@ from packetloom.operators import (
 from packetloom.params import Params
 from packetloom.plans import views as VW
 from packetloom.plans.oracle import NOW, OPEN, sql
-from packetloom.session import materialise
+from packetloom.session import materialise, ship
 
 P = Params()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,11 @@ def plain(df: DataFrame) -> DataFrame:
 
 def query(name: str, oracle: str | None = None):
     def add(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return plain(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = sql(oracle)
         return fn
@@ -574,7 +578,8 @@ FLOW_SQL = f"""round((end_us - start_us) / 1e6, 6) AS duration,
     round(mean_pkt_size, 6) AS mean_pkt_size,
     CASE WHEN n < 2 THEN 0 ELSE round(sd, 6) END AS std_pkt_size,
     min_pkt_size::DOUBLE AS min_pkt_size, max_pkt_size::DOUBLE AS max_pkt_size,
-    round(mean_iat, 6) AS mean_iat, CASE WHEN iat_n < 2 THEN 0 ELSE round(isd, 6) END AS std_iat,
+    round(mean_iat * 1000, 6) AS mean_iat_ms,
+    CASE WHEN iat_n < 2 THEN 0 ELSE round(isd * 1000, 6) END AS std_iat_ms,
     round(min_iat, 6) AS min_iat, round(max_iat, 6) AS max_iat,
     {', '.join(f'{f}_count::DOUBLE AS {f}_count' for f in FLAGS)},
     CAST(coalesce(fwd_syn AND ack_at > synack_at, FALSE) AS DOUBLE) AS handshake_complete,
@@ -584,21 +589,27 @@ FLOW_SQL = f"""round((end_us - start_us) / 1e6, 6) AS duration,
     CAST(dport < 1024 AS DOUBLE) AS dport_is_system"""
 
 
+def in_ms(df):
+    """Half microseconds are ties at six decimals of a second; compare milliseconds."""
+    ms = {f"{c}_iat_ms": F.col(f"{c}_iat") * 1000 for c in ("mean", "std")}
+    return df.withColumns(ms).drop("mean_iat", "std_iat")
+
+
 @query("flow_aggregate", f"""SELECT flow_id, src, dst, sport, dport, proto, start_us, end_us, label,
     {FLOW_SQL} FROM sums""")
 def flow_aggregate(s, d):
-    return AS.flow_features(AS.flow_sums(directed(s, d))).select(
+    return in_ms(AS.flow_features(AS.flow_sums(directed(s, d))).select(
         "flow_id", "src", "dst", "sport", "dport", "proto", "start_us", "end_us", "label",
-        *V.FLOW_FEATURES)
+        *V.FLOW_FEATURES))
 
 
 @query("flow_assembly", f"""SELECT flow_id, src, dst, sport, dport, proto, start_us, end_us, export_us,
     label, {FLOW_SQL} FROM flowout""")
 def flow_assembly(s, d):
     """Packets to exported flows in one go."""
-    return AS.assemble_flows(packets(s, d), P).select(
+    return in_ms(AS.assemble_flows(packets(s, d), P).select(
         "flow_id", "src", "dst", "sport", "dport", "proto", "start_us", "end_us", "export_us",
-        "label", *V.FLOW_FEATURES)
+        "label", *V.FLOW_FEATURES))
 
 
 @query("stat_moments", """SELECT flow_id, round(mean_pkt_size, 6) AS mean_pkt_size,
@@ -1432,6 +1443,169 @@ def retraining_labels(s, d):
         "incident_id", "seq", "verdict", "training_label")
 
 
+# ---- streams
+#
+# Each drains the whole table once, in several micro-batches, then reads what was written.
+# A last row far in the future moves the watermark past every deadline.
+
+FUTURE_US = 10_000_000_000
+
+
+def landed(df: DataFrame, name: str, files: int = 4) -> str:
+    """The rows as files in time order, plus the closing row in a file of its own."""
+    from packetloom.session import scratch_path
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    at = "ts_us" if "ts_us" in df.columns else "end_us"
+    df.repartitionByRange(files, at, "seq").write.parquet(path)
+    closing = df.limit(1).withColumns({at: F.lit(FUTURE_US), "seq": F.lit(-1).cast("long")})
+    closing.write.mode("append").parquet(path)
+    return path
+
+
+def stream_of(df: DataFrame, path: str) -> DataFrame:
+    at = "ts_us" if "ts_us" in df.columns else "end_us"
+    return (df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2)
+            .parquet(path).withColumn("ts", F.timestamp_micros(at)))
+
+
+@query("packets_stream", f"SELECT {PACKET_COLUMNS} FROM packets")
+def packets_stream(s, d):
+    from packetloom.sources.packets import packets_stream as source, write_packets
+    from packetloom.streaming.sinks import run_to_end
+    path = write_packets(packets(s, d))
+    out = run_to_end(source(s, path, files_per_trigger=2).drop("ts"), "packets-out")
+    return readable(s.read.parquet(out))
+
+
+@query("flow_stream", """WITH RECURSIVE {prefix}, dcuts AS (
+      SELECT k, pos, seq, seq flow_id, ts_us start_us, ts_us last_us, 1 n,
+        (flags & 2) > 0 AND (flags & 16) = 0 lone, flags & 1 fins, (flags & 4) > 0 reset
+      FROM numbered WHERE pos = 1
+      UNION ALL
+      SELECT k, pos, seq, CASE WHEN cut THEN seq ELSE flow_id END,
+        CASE WHEN cut THEN ts_us ELSE start_us END, ts_us, CASE WHEN cut THEN 1 ELSE n + 1 END,
+        CASE WHEN cut THEN (flags & 2) > 0 AND (flags & 16) = 0 ELSE lone END,
+        CASE WHEN cut THEN flags & 1 ELSE fins + (flags & 1) END, (flags & 4) > 0
+      FROM (SELECT c.k, x.pos, c.flow_id, c.start_us, c.n, c.lone, c.fins, x.seq, x.ts_us, x.flags,
+          c.reset OR c.fins >= 2 OR x.ts_us >= least(c.last_us +
+            CASE WHEN c.n = 1 AND c.lone THEN 3000000 ELSE 15000000 END, c.start_us + 120000000) cut
+        FROM dcuts c JOIN numbered x ON x.k = c.k AND x.pos = c.pos + 1))
+    SELECT flow_id, count(*)::DOUBLE AS total_packets, min(p.ts_us) AS start_us, max(p.ts_us) AS end_us,
+      sum(size)::DOUBLE AS total_bytes FROM dcuts c JOIN packets p USING (seq) GROUP BY flow_id""")
+def flow_stream(s, d):
+    from packetloom.streaming.flow_stream import flow_stream as assemble
+    from packetloom.streaming.sinks import run_to_end
+    rows = packets(s, d)
+    flows_out = assemble(stream_of(rows, landed(rows, "packets-in")), P)
+    out = s.read.parquet(run_to_end(flows_out, "flows-out"))
+    return out.where("flow_id >= 0").select(
+        "flow_id", "total_packets", "start_us", "end_us", "total_bytes")
+
+
+RECORD = ["capture_id", "seq", "src", "dst", "dport", "start_us", "end_us", "had_syn", "handshake",
+          "bytes_out", "bytes_in"]
+
+
+@query("host_profile_stream")
+def host_profile_stream(s, d):
+    from packetloom.streaming.host_stream import host_profile_stream as profile
+    from packetloom.streaming.sinks import run_to_end
+    rows = paired(s, d).select(*RECORD, "new_pair")
+    feed = stream_of(rows, landed(rows, "flows-in")).withWatermark("ts", "10 seconds")
+    out = s.read.parquet(run_to_end(profile(feed, "src", P), "profiles"))
+    return out.where("seq >= 0").select("seq", *V.HOST_FEATURES)
+
+
+@query("dst_profile_stream")
+def dst_profile_stream(s, d):
+    from packetloom.streaming.host_stream import host_profile_stream as profile
+    from packetloom.streaming.sinks import run_to_end
+    rows = paired(s, d).select(*RECORD, "new_pair")
+    feed = stream_of(rows, landed(rows, "flows-in")).withWatermark("ts", "10 seconds")
+    out = s.read.parquet(run_to_end(profile(feed, "dst", P), "profiles"))
+    return out.where("seq >= 0").select("seq", *V.DST_FEATURES)
+
+
+@query("host_features_strict")
+def host_features_strict(s, d):
+    """The same walk in batch: ordered fold per host."""
+    from packetloom.operators.host_state import strict_features
+    rows = paired(s, d).select(*RECORD, "new_pair")
+    return strict_features(rows, ["end_us", "seq"], "src", P).select("seq", *V.HOST_FEATURES)
+
+
+@query("threshold_stream")
+def threshold_stream(s, d):
+    from packetloom.streaming.host_stream import threshold_stream as judge
+    from packetloom.streaming.sinks import run_to_end
+    rows = scored_slim(s, d)
+    feed = stream_of(rows, landed(rows, "scores-in")).withWatermark("ts", "10 seconds")
+    out = s.read.parquet(run_to_end(judge(feed, P), "judged"))
+    return out.where("seq >= 0").select("seq", "threshold", "is_alert", "suppressed")
+
+
+VERDICT = ["seq", "end_us", "at_us", "src", "dst", "fwd_bytes", "bwd_bytes", "packets", "bytes",
+           "score", "threshold", "is_alert", "family"]
+
+
+@query("buckets_stream", BUCKET_SQL)
+def buckets_stream(s, d):
+    from packetloom.streaming.sinks import buckets_stream as rollup, run_to_end
+    rows = flows(s, d).select(*VERDICT)
+    out = run_to_end(rollup(stream_of(rows, landed(rows, "verdicts-in"))), "buckets-out")
+    return s.read.parquet(out).where(F.unix_micros("ts") < FUTURE_US)
+
+
+@query("incident_session_stream", """SELECT incident_id, any_value(dedup_key) AS dedup_key,
+    count(*) AS occurrences, round(max(score), 6) AS score_max, CAST(sum(bytes) AS BIGINT) AS total_bytes,
+    min(end_us) AS first_seen, max(end_us) AS last_seen FROM sessions GROUP BY incident_id""")
+def incident_session_stream(s, d):
+    from packetloom.streaming.sinks import incident_session_stream as merge, run_to_end
+    rows = flows(s, d).where("is_alert").select(*VERDICT)
+    out = run_to_end(merge(stream_of(rows, landed(rows, "alerts-in")), P), "sessions-out")
+    return s.read.parquet(out).where(F.unix_micros("first_seen") < FUTURE_US)
+
+
+@query("hosts_stream", """SELECT ip, flows_out, flows_in, bytes_out, bytes_in, alerts, last_us
+    FROM hosts""")
+def hosts_stream(s, d):
+    from packetloom.streaming.sinks import HostSink, run_to_end
+    rows = flows(s, d).select(*VERDICT)
+    sink = HostSink(s, dims.default_assets(s), P)
+    feed = stream_of(rows, landed(rows, "verdicts-in")).where("seq >= 0")
+    run_to_end(feed, "hosts-out", sink)
+    return sink.table.read().select(
+        "ip", "flows_out", "flows_in", "bytes_out", "bytes_in", "alerts", "last_us")
+
+
+@query("tick_stream", """SELECT count(*) AS flows, count(*) FILTER (is_alert) AS alerts,
+    CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, max(end_us) AS at_us
+    FROM flows""")
+def tick_stream(s, d):
+    """Ticks add up to the whole run, however it is cut into micro-batches."""
+    from packetloom.streaming.sinks import TickSink, run_to_end
+    rows = flows(s, d).select(*VERDICT)
+    sink = TickSink(s, P)
+    run_to_end(stream_of(rows, landed(rows, "verdicts-in")).where("seq >= 0"), "ticks-out", sink)
+    return sink.ticks.read().agg(
+        F.max("flows_total").alias("flows"), F.max("alerts_total").alias("alerts"),
+        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"),
+        F.max("at_us").alias("at_us"))
+
+
+@query("incidents_stream", """SELECT id, dedup_key, family, src, occurrences, severity, priority,
+    total_bytes FROM incidents""")
+def incidents_stream(s, d):
+    from packetloom.streaming.sinks import IncidentSink, run_to_end
+    rows = flows(s, d).select(*VERDICT, "sport", "dport", "proto", "confidence", "label", "start_us")
+    sink = IncidentSink(s, dims.default_assets(s), P)
+    run_to_end(stream_of(rows, landed(rows, "verdicts-in")).where("seq >= 0"), "incidents-out", sink)
+    return sink.incidents.read().select(
+        "id", "dedup_key", "family", "src", "occurrences", "severity", "priority", "total_bytes")
+
+
+ORACLE["threshold_stream"] = ORACLE["adaptive_threshold"]
+
 # ---- end to end
 
 FLAGSHIP_SQL = """WITH RECURSIVE {prefix}, scored AS (
