@@ -110,6 +110,23 @@ def packets_scan(s, d):
     return readable(scan(s, path).where("proto = 'tcp' and size >= 200"))
 
 
+DECODED = "src, dst, proto, sport, dport, size, flags, payload"
+
+
+@query("frame_decode", f"SELECT seq, ts_us, {DECODED} FROM packets")
+def frame_decode(s, d):
+    from packetloom.sources.pcap import decode_frames
+    return readable(decode_frames(VW.frame_view(packets(s, d)))).drop("capture_id", "label")
+
+
+@query("pcap_scan", f"SELECT ts_us, {DECODED} FROM packets")
+def pcap_scan(s, d):
+    """Capture files written from the packets, then read in byte ranges far smaller than a file."""
+    from packetloom.sources.pcap import pcap_scan as scan
+    folder = VW.write_captures(packets(s, d))
+    return readable(scan(s, folder, split_bytes=50_000)).drop("capture_id", "label", "seq")
+
+
 @query("alerts_append_capped", """SELECT incident_id, seq, row_number() OVER (
     PARTITION BY incident_id ORDER BY wall_us, seq) AS place, wall_us AS at_us FROM sessions
     QUALIFY place <= 3""")
@@ -1451,12 +1468,16 @@ def retraining_labels(s, d):
 FUTURE_US = 10_000_000_000
 
 
-def landed(df: DataFrame, name: str, files: int = 4) -> str:
-    """The rows as files in time order, plus the closing row in a file of its own."""
+def landed(df: DataFrame, name: str, files: int = 3) -> str:
+    """The rows as files that arrive in time order, the closing row last."""
     from packetloom.session import scratch_path
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     at = "ts_us" if "ts_us" in df.columns else "end_us"
-    df.repartitionByRange(files, at, "seq").write.parquet(path)
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    step = (hi - lo) // files + 1
+    for i in range(files):
+        inside = F.col(at).between(lo + i * step, lo + (i + 1) * step - 1)
+        df.where(inside).write.mode("append").parquet(path)
     closing = df.limit(1).withColumns({at: F.lit(FUTURE_US), "seq": F.lit(-1).cast("long")})
     closing.write.mode("append").parquet(path)
     return path

@@ -177,3 +177,54 @@ def attack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct().select(
         "capture_id", "family", (F.col("slot") * 100_000_000).alias("start_us"),
         ((F.col("slot") + 1) * 100_000_000 - 1).alias("end_us"))
+
+
+def _hex(value: str, digits: int) -> str:
+    return f"lpad(hex(cast({value} as bigint)), {digits}, '0')"
+
+
+def frame_view(packets: DataFrame) -> DataFrame:
+    """The packet view as Ethernet frames: one VLAN tag on every third, TCP or UDP over IPv4."""
+    ip = lambda c: "concat(" + ", ".join(
+        _hex(f"split({c}, '[.]')[{i}]", 2) for i in range(4)) + ")"
+    vlan = "case when seq % 3 = 0 then '8100000A' else '' end"
+    number = "case when proto = 'tcp' then 6 else 17 end"
+    header = ("case when proto = 'tcp' then concat('0000000000000000', '50', "
+              f"{_hex('flags', 2)}, '000000000000') else '00000000' end")
+    frame = (
+             f"unhex(concat('000000000001000000000002', {vlan}, '0800', '4500000000000000', "
+             f"'40', {_hex(number, 2)}, '0000', {ip('src')}, {ip('dst')}, {_hex('sport', 4)}, "
+             f"{_hex('dport', 4)}, {header}, hex(payload)))")
+    return packets.selectExpr("'events' as path", "seq", "ts_us", "size as wire", "1 as link",
+                              f"{frame} as frame")
+
+
+def write_captures(packets: DataFrame, files: int = 5) -> str:
+    """The frames as capture files in scratch space, one per slice of time."""
+    import pandas as pd
+    from pyarrow import fs as afs
+    from packetloom.session import scratch_path
+
+    folder = scratch_path(packets.sparkSession, "captures")
+    folder = folder if "://" in folder else f"file://{folder}"
+    record = ("concat(unhex(concat(" + ", ".join(
+        _hex(x, 8) for x in ("ts_us div 1000000", "ts_us % 1000000", "octet_length(frame)", "wire"))
+        + ")), frame)")
+    rows = frame_view(packets).selectExpr("ts_us", "seq", f"{record} as record").repartitionByRange(
+        files, "ts_us", "seq").sortWithinPartitions("ts_us", "seq")
+
+    def save(batches):
+        from pyspark import TaskContext
+        where, base = afs.FileSystem.from_uri(folder)
+        where.create_dir(base)
+        name = f"{base}/part{TaskContext.get().partitionId()}.pcap"
+        count = 0
+        with where.open_output_stream(name) as out:
+            out.write(bytes.fromhex("A1B2C3D4000200040000000000000000FFFFFFFF00000001"))
+            for pdf in batches:
+                out.write(b"".join(pdf["record"]))
+                count += len(pdf)
+        yield pd.DataFrame({"n": [count]})
+
+    rows.mapInPandas(save, "n long").count()
+    return folder

@@ -17,6 +17,8 @@ from packetloom.params import Params
 class _Host(StatefulProcessor):
     """Ordered walk over a host's flows; the state is dropped once the host falls silent."""
 
+    names: tuple[str, ...] = ()  # what ``step`` adds to a row
+
     def __init__(self, p: Params, columns: list[str], order: list[str], keep_s: int | None):
         self.p, self.columns, self.order, self.keep_s = p, columns, order, keep_s
 
@@ -33,10 +35,10 @@ class _Host(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         blob, alarm = self.held.get() if self.held.exists() else (None, None)
         state = pickle.loads(blob) if blob else self.fresh()
-        last = 0
+        shape, last = Row(*self.columns, *self.names), 0
         for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
             last = max(last, row.end_us)
-            yield Row(*[row[c] for c in self.columns], *self.step(state, row))
+            yield shape(*[row[c] for c in self.columns], *self.step(state, row))
         if alarm:
             self.handle.deleteTimer(alarm)
         alarm = 0
@@ -55,6 +57,8 @@ class _Host(StatefulProcessor):
 
 
 class SourceProcessor(_Host):
+    names = V.HOST_FEATURES
+
     def fresh(self):
         return SourceState(self.p)
 
@@ -63,6 +67,8 @@ class SourceProcessor(_Host):
 
 
 class DestinationProcessor(_Host):
+    names = V.DST_FEATURES
+
     def fresh(self):
         return DestinationState(self.p)
 
@@ -71,6 +77,8 @@ class DestinationProcessor(_Host):
 
 
 class ThresholdProcessor(_Host):
+    names = ("threshold", "is_alert", "suppressed")
+
     def fresh(self):
         return HostScores(self.p)
 
@@ -79,29 +87,28 @@ class ThresholdProcessor(_Host):
         raised = row.score >= limit
         if not raised or row.veto:
             state.learn(row.score)
-        return limit, raised and not row.veto, raised and row.veto
+        return limit, raised and not row.veto, bool(raised and row.veto)
 
 
-def _run(flows: DataFrame, keys: list[str], make, names, kinds, p: Params, order: list[str],
-         keep_s: int | None) -> DataFrame:
-    schema = T.StructType([*flows.schema.fields,
-                           *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+def _run(flows: DataFrame, keys: list[str], make: type[_Host], kind: list[T.DataType], p: Params,
+         order: tuple[str, ...], keep_s: int | None) -> DataFrame:
+    added = [T.StructField(n, k) for n, k in zip(make.names, kind)]
     return flows.groupBy(*keys).transformWithState(
-        make(p, flows.columns, order, keep_s), schema, "append", "EventTime")
+        make(p, flows.columns, list(order), keep_s),
+        T.StructType([*flows.schema.fields, *added]), "append", "EventTime")
 
 
 def host_profile_stream(flows: DataFrame, side: str = "src", p: Params = Params(),
                         order: tuple[str, ...] = ("end_us", "seq")) -> DataFrame:
     """Add the 15 source or 4 destination features. ``flows`` carries a watermark on ``ts``."""
-    make, names = ((SourceProcessor, V.HOST_FEATURES) if side == "src"
-                   else (DestinationProcessor, V.DST_FEATURES))
-    keep = p.long_s if side == "src" else p.short_s
-    return _run(flows, ["capture_id", side], make, names, [T.DoubleType()] * len(names), p,
-                list(order), keep)
+    make, keep = ((SourceProcessor, p.long_s) if side == "src"
+                  else (DestinationProcessor, p.short_s))
+    kinds = [T.DoubleType()] * len(make.names)
+    return _run(flows, ["capture_id", side], make, kinds, p, order, keep)
 
 
 def threshold_stream(scored: DataFrame, p: Params = Params(),
                      order: tuple[str, ...] = ("end_us", "seq")) -> DataFrame:
     """Add threshold, is_alert and suppressed; hosts are never forgotten."""
-    return _run(scored, ["src"], ThresholdProcessor, ("threshold", "is_alert", "suppressed"),
-                (T.DoubleType(), T.BooleanType(), T.BooleanType()), p, list(order), None)
+    kinds = [T.DoubleType(), T.BooleanType(), T.BooleanType()]
+    return _run(scored, ["src"], ThresholdProcessor, kinds, p, order, None)
