@@ -122,7 +122,7 @@ def _fold_rows(p: Params):
             else:
                 state = (begun, int(ts), fins + int(fin), n + 1, lone)
         out = pd.DataFrame({
-            "capture_id": [rows["capture_id"].iloc[0]] * len(cuts),
+            "capture_id": pd.Series([rows["capture_id"].iloc[0]] * len(cuts), dtype=object),
             "seq": pd.Series(cuts, dtype="int64")})
         return out, state
 

@@ -260,9 +260,20 @@ def incidents_upsert(s, d):
     return table.read().select(*INCIDENT_COLUMNS)
 
 
-@query("incident_export")
+@query("incident_export", """SELECT id, i.family, occurrences, least(occurrences, 1000) AS alerts,
+    least(distinct_dports, 20) AS ports, round(top_score, 4) AS top_score, mitre_technique AS technique
+    FROM incidents i JOIN (SELECT incident_id, max(score) top_score FROM stored GROUP BY 1) a
+    ON a.incident_id = i.id""")
 def incident_export(s, d):
-    return R.incident_export(incidents(s, d), I.alert_rows(sessions(s, d)))
+    """Documents, read back by path."""
+    docs = R.incident_export(incidents(s, d), I.alert_rows(sessions(s, d)))
+    at = lambda path: F.get_json_object("document", path)
+    size = lambda path: F.json_array_length(at(path)).cast("long")
+    return docs.select(
+        "id", at("$.family").alias("family"), at("$.occurrences").cast("long").alias("occurrences"),
+        size("$.alerts").alias("alerts"), size("$.ports").alias("ports"),
+        F.round(at("$.alerts[0].score").cast("double"), 4).alias("top_score"),
+        at("$.guidance.technique").alias("technique"))
 
 
 @query("dataset_roundtrip", """SELECT capture_id, seq, label, packets, bytes,
@@ -655,10 +666,6 @@ def flow_flush(s, d):
     return out.where(~closed & (due > end)).select("flow_id", "export_us")
 
 
-@query("flow_dataset")
-def flow_dataset(s, d):
-    return DS.flow_dataset(packets(s, d), P).select(
-        "capture_id", "flow_id", "label", *V.FEATURES)
 
 
 # ---- behaviour windows
@@ -671,7 +678,8 @@ FRAME = {
 WINDOWS = "WINDOW " + ", ".join(f"{k} AS {v}" for k, v in FRAME.items())
 
 
-@query("host_window_sums", f"""SELECT seq, n10::DOUBLE AS host_flows_10s, n60::DOUBLE AS host_flows_60s,
+def sums_sql(table: str) -> str:
+    return f"""SELECT seq, n10::DOUBLE AS host_flows_10s, n60::DOUBLE AS host_flows_60s,
     round(f10 / 10, 6) AS host_syn_only_rate_10s,
     CASE WHEN y10 = 0 THEN 0 ELSE round(f10 / y10, 6) END AS host_failed_handshake_ratio_10s,
     o60::DOUBLE AS host_bytes_out_60s, i60::DOUBLE AS host_bytes_in_60s,
@@ -682,48 +690,63 @@ WINDOWS = "WINDOW " + ", ".join(f"{k} AS {v}" for k, v in FRAME.items())
       count(*) FILTER (had_syn) OVER s10 y10, count(*) FILTER (had_syn AND NOT handshake) OVER s10 f10,
       sum(fwd_bytes) OVER s60 o60, sum(bwd_bytes) OVER s60 i60,
       count(*) FILTER (new_pair) OVER s60 p60, sum(end_us - start_us) OVER s60 d60
-      FROM paired {WINDOWS})""")
+      FROM {table} {WINDOWS})"""
+
+
+@query("host_window_sums", sums_sql("paired"))
 def host_window_sums(s, d):
     return WN.host_window_sums(paired(s, d), P).select("seq", *WN.host_sum_features(P))
 
 
-DISTINCT_SQL = f"""SELECT seq, (count(DISTINCT dst) OVER s10)::DOUBLE AS host_distinct_dst_10s,
+def distinct_sql(table: str) -> str:
+    return f"""SELECT seq, (count(DISTINCT dst) OVER s10)::DOUBLE AS host_distinct_dst_10s,
     (count(DISTINCT dst) OVER s60)::DOUBLE AS host_distinct_dst_60s,
     (count(DISTINCT dport) OVER s10)::DOUBLE AS host_distinct_dport_10s,
-    (count(DISTINCT dport) OVER s60)::DOUBLE AS host_distinct_dport_60s FROM flows {WINDOWS}"""
+    (count(DISTINCT dport) OVER s60)::DOUBLE AS host_distinct_dport_60s FROM {table} {WINDOWS}"""
+
+
 DISTINCT_COLUMNS = [f"host_distinct_{c}_{w}s" for c in ("dst", "dport") for w in (10, 60)]
 
 
-@query("host_window_distinct", DISTINCT_SQL)
+@query("host_window_distinct", distinct_sql("flows"))
 def host_window_distinct(s, d):
     return WN.host_window_distinct(flows(s, d), P).select("seq", *DISTINCT_COLUMNS)
 
 
-@query("host_window_distinct_frames", DISTINCT_SQL)
+@query("host_window_distinct_frames", distinct_sql("flows"))
 def host_window_distinct_frames(s, d):
     return WN.host_window_frames(flows(s, d), P).select("seq", *DISTINCT_COLUMNS)
 
 
-@query("dst_window", f"""SELECT seq, n::DOUBLE AS dst_flows_10s, p::DOUBLE AS dst_distinct_src_10s,
+def dst_sql(table: str) -> str:
+    return f"""SELECT seq, n::DOUBLE AS dst_flows_10s, p::DOUBLE AS dst_distinct_src_10s,
     round(f / 10, 6) AS dst_syn_only_rate_10s,
     CASE WHEN y = 0 THEN 0 ELSE round(f / y, 6) END AS dst_failed_handshake_ratio_10s
     FROM (SELECT seq, count(*) OVER d10 n, count(DISTINCT src) OVER d10 p,
       count(*) FILTER (had_syn) OVER d10 y, count(*) FILTER (had_syn AND NOT handshake) OVER d10 f
-      FROM flows {WINDOWS})""")
+      FROM {table} {WINDOWS})"""
+
+
+@query("dst_window", dst_sql("flows"))
 def dst_window(s, d):
     return WN.dst_window(flows(s, d), P).select("seq", *V.DST_FEATURES)
 
 
-@query("pair_repeat_max", """SELECT q.seq, max(c)::DOUBLE AS host_dst_repeat_max_60s FROM (
-      SELECT a.seq, count(*) c FROM flows a JOIN flows b ON a.src = b.src
+def repeat_sql(table: str) -> str:
+    return f"""SELECT q.seq, max(c)::DOUBLE AS host_dst_repeat_max_60s FROM (
+      SELECT a.seq, count(*) c FROM {table} a JOIN {table} b ON a.src = b.src
         AND b.end_us BETWEEN a.end_us - 60000000 AND a.end_us
-      GROUP BY a.seq, b.dst, b.dport) q GROUP BY q.seq""")
+      GROUP BY a.seq, b.dst, b.dport) q GROUP BY q.seq"""
+
+
+@query("pair_repeat_max", repeat_sql("flows"))
 def pair_repeat_max(s, d):
     return WN.pair_repeat_max(flows(s, d), P).select("seq", "host_dst_repeat_max_60s")
 
 
-@query("beacon_regularity", """SELECT seq, round(max_by_.r, 6) AS host_beacon_regularity FROM (
-    SELECT seq, max({'len': len, 'a': -island_us, 'b': -island_seq, 't': end_us, 's': seq, 'r': r})
+def beacon_sql(table: str) -> str:
+    return f"""SELECT seq, round(max_by_.r, 6) AS host_beacon_regularity FROM (
+    SELECT seq, max({{'len': len, 'a': -island_us, 'b': -island_seq, 't': end_us, 's': seq, 'r': r}})
       OVER (PARTITION BY src ORDER BY end_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) max_by_
     FROM (SELECT *, CASE WHEN len(gaps) < 3 THEN 0 ELSE greatest(0, least(1, 1 - sqrt(list_sum(
         list_transform(gaps, lambda g: (g - list_avg(gaps)) * (g - list_avg(gaps)))) / len(gaps))
@@ -739,13 +762,40 @@ def pair_repeat_max(s, d):
             FROM (SELECT *, a IS NULL OR g > a + 60000000 broke FROM (
               SELECT seq, src, dst, dport, end_us,
                 lag(end_us) OVER (PARTITION BY src ORDER BY end_us, seq) g,
-                lag(end_us) OVER pr a, row_number() OVER pr pos FROM flows
+                lag(end_us) OVER pr a, row_number() OVER pr pos FROM {table}
                 WINDOW pr AS (PARTITION BY src, dst, dport ORDER BY end_us, seq)))
-            WINDOW o AS (PARTITION BY src, dst, dport ORDER BY pos)))))))""")
+            WINDOW o AS (PARTITION BY src, dst, dport ORDER BY pos)))))))"""
+
+
+@query("beacon_regularity", beacon_sql("flows"))
 def beacon_regularity(s, d):
     return WN.beacon_regularity(flows(s, d), P).select("seq", "host_beacon_regularity")
 
 
+def source_sql(table: str) -> str:
+    """All 15 source features; equal to the strict walk where no two flows end together."""
+    parts = (sums_sql, distinct_sql, repeat_sql, beacon_sql)
+    joined = " JOIN ".join(f"({f(table)}) p{i}" + (" USING (seq)" if i else "")
+                           for i, f in enumerate(parts))
+    return f"SELECT seq, {', '.join(V.HOST_FEATURES)} FROM {joined}"
+
+
+DATASET_COLUMNS = [c for c in V.FEATURES if c not in ("mean_iat", "std_iat")]
+
+
+@query("flow_dataset", f"""WITH RECURSIVE {{prefix}}, flowrec AS (
+      SELECT *, row_number() OVER (PARTITION BY src, dst, dport ORDER BY export_us, end_us, seq) = 1 new_pair
+      FROM (SELECT flow_id seq, src, dst, dport, start_us, end_us, export_us, syn_count > 0 had_syn,
+        coalesce(fwd_syn AND ack_at > synack_at, FALSE) handshake, bf fwd_bytes, bb bwd_bytes FROM flowout))
+    SELECT flow_id, label, {', '.join(DATASET_COLUMNS)}, mean_iat_ms, std_iat_ms FROM (
+      SELECT flow_id, label, {FLOW_SQL} FROM flowout)
+      JOIN ({source_sql("flowrec")}) h ON h.seq = flow_id
+      JOIN ({dst_sql("flowrec")}) x ON x.seq = flow_id""")
+def flow_dataset(s, d):
+    """Packets to all 52 features."""
+    return in_ms(DS.flow_dataset(packets(s, d), P).select("flow_id", "label", *V.FEATURES))
+
+
 @query("new_pair_flag", "SELECT seq, new_pair FROM paired")
 def new_pair_flag(s, d):
     return VW.paired_flow_view(s, d).select("seq", "new_pair")
@@ -757,14 +807,18 @@ def scored_slim(s, d):
     return TH.with_veto(named, P).select("src", "end_us", "seq", "score", "veto")
 
 
-@query("adaptive_threshold", f"""WITH RECURSIVE {{prefix}} , hosts_rows AS (
-      SELECT src, seq, score, {VETO_FAMILY} = 'BENIGN' AND confidence >= 0.90 AND score < 0.9975 veto,
-        row_number() OVER (PARTITION BY src ORDER BY end_us, seq) pos FROM flows),
+QUIET = f"{VETO_FAMILY} = 'BENIGN' AND confidence >= 0.90 AND score < 0.9975"
+
+
+def threshold_sql(rows: str, phase: int = 0) -> str:
+    return f"""WITH RECURSIVE {{prefix}} , hosts_rows AS (
+      SELECT src, seq, score, veto, phase, row_number() OVER (PARTITION BY src ORDER BY phase, end_us, seq) pos
+      FROM ({rows})),
     state AS (
-      SELECT src, 0::BIGINT pos, 0::BIGINT seq, 0::DOUBLE score, FALSE veto, []::DOUBLE[] kept,
+      SELECT src, 0 phase, 0::BIGINT pos, 0::BIGINT seq, 0::DOUBLE score, FALSE veto, []::DOUBLE[] kept,
         0::BIGINT n, NULL::DOUBLE cached, 0::DOUBLE lim FROM hosts_rows WHERE pos = 1
       UNION ALL
-      SELECT src, pos, seq, score, veto,
+      SELECT src, phase, pos, seq, score, veto,
         CASE WHEN score >= lim AND NOT veto THEN kept
              ELSE list_append(kept, score)[-512:] END,
         CASE WHEN score >= lim AND NOT veto THEN n ELSE n + 1 END,
@@ -772,12 +826,18 @@ def scored_slim(s, d):
           THEN least(greatest(list_aggregate(list_append(kept, score)[-512:],
                 'quantile_cont', 0.99), 0.98), 0.995)
           WHEN n >= 60 THEN lim END, lim
-      FROM (SELECT r.src, r.pos, r.seq, r.score, r.veto, s.kept, s.n,
+      FROM (SELECT r.src, r.phase, r.pos, r.seq, r.score, r.veto, s.kept, s.n,
           CASE WHEN s.n < 60 THEN 0.98::DOUBLE ELSE coalesce(s.cached,
             least(greatest(list_aggregate(s.kept, 'quantile_cont', 0.99), 0.98), 0.995)) END lim
         FROM state s JOIN hosts_rows r ON r.src = s.src AND r.pos = s.pos + 1))
     SELECT seq, round(lim, 6) AS threshold, score >= lim AND NOT veto AS is_alert,
-      score >= lim AND veto AS suppressed FROM state WHERE pos > 0""")
+      score >= lim AND veto AS suppressed FROM state WHERE pos > 0 AND phase = {phase}"""
+
+
+ONE_PHASE = f"SELECT src, seq, end_us, score, {QUIET} veto, 0 phase FROM flows"
+
+
+@query("adaptive_threshold", threshold_sql(ONE_PHASE))
 def adaptive_threshold(s, d):
     out = TH.adaptive_threshold(scored_slim(s, d), ["end_us", "seq"], P)
     return out.select("seq", "threshold", "is_alert", "suppressed")
@@ -1371,7 +1431,8 @@ def benchmark_tables(s, d):
     return E.benchmark_table(E.family_recall(flows(s, d)), E.family_recall(quiet))
 
 
-@query("replay")
+@query("replay", threshold_sql(
+    ONE_PHASE + " WHERE label = 'BENIGN' UNION ALL " + ONE_PHASE.replace("0 phase", "1 phase"), 1))
 def replay(s, d):
     """Benign flows warm the hosts up; labelled flows are then judged by the same state."""
     slim = scored_slim(s, d).join(flows(s, d).select("seq", "label"), "seq")
@@ -1468,16 +1529,21 @@ def retraining_labels(s, d):
 FUTURE_US = 10_000_000_000
 
 
-def landed(df: DataFrame, name: str, files: int = 3) -> str:
-    """The rows as files that arrive in time order, the closing row last."""
+def landed(df: DataFrame, name: str) -> str:
+    """The rows as files that arrive in time order, the closing row last.
+
+    Time is cut so that a file holds about a million rows: files, unlike the partitions
+    of one write, reach the stream in order.
+    """
     from packetloom.session import scratch_path
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     at = "ts_us" if "ts_us" in df.columns else "end_us"
-    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    lo, hi, n = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    files = max(3, n // 1_000_000)
     step = (hi - lo) // files + 1
     for i in range(files):
         inside = F.col(at).between(lo + i * step, lo + (i + 1) * step - 1)
-        df.where(inside).write.mode("append").parquet(path)
+        df.where(inside).coalesce(1).write.mode("append").parquet(path)
     closing = df.limit(1).withColumns({at: F.lit(FUTURE_US), "seq": F.lit(-1).cast("long")})
     closing.write.mode("append").parquet(path)
     return path
@@ -1527,7 +1593,7 @@ RECORD = ["capture_id", "seq", "src", "dst", "dport", "start_us", "end_us", "had
           "bytes_out", "bytes_in"]
 
 
-@query("host_profile_stream")
+@query("host_profile_stream", source_sql("paired"))
 def host_profile_stream(s, d):
     from packetloom.streaming.host_stream import host_profile_stream as profile
     from packetloom.streaming.sinks import run_to_end
@@ -1537,7 +1603,7 @@ def host_profile_stream(s, d):
     return out.where("seq >= 0").select("seq", *V.HOST_FEATURES)
 
 
-@query("dst_profile_stream")
+@query("dst_profile_stream", dst_sql("paired"))
 def dst_profile_stream(s, d):
     from packetloom.streaming.host_stream import host_profile_stream as profile
     from packetloom.streaming.sinks import run_to_end
@@ -1547,7 +1613,7 @@ def dst_profile_stream(s, d):
     return out.where("seq >= 0").select("seq", *V.DST_FEATURES)
 
 
-@query("host_features_strict")
+@query("host_features_strict", source_sql("paired"))
 def host_features_strict(s, d):
     """The same walk in batch: ordered fold per host."""
     from packetloom.operators.host_state import strict_features
