@@ -37,15 +37,25 @@ def payload_entropy(payload: Column) -> Column:
     return F.when(size > 0, F.greatest(bits, F.lit(0.0)) / 8.0).otherwise(0.0)
 
 
-@F.pandas_udf(T.DoubleType())
-def payload_entropy_arrow(payload: pd.Series) -> pd.Series:
-    """Same value from numpy; kept as a cross-check and for long samples."""
+BATCH = 4096
+
 
-    def one(raw: bytes | None) -> float:
-        if not raw:
-            return 0.0
-        p = np.bincount(np.frombuffer(raw, dtype=np.uint8)) / len(raw)
-        p = p[p > 0]
-        return float(-(p * np.log2(p)).sum() / 8.0)
+def _entropies(payloads: list[bytes]) -> np.ndarray:
+    """All samples of a batch at once: one count over (sample, byte) pairs."""
+    sizes = np.array([len(p) for p in payloads])
+    symbols = np.frombuffer(b"".join(payloads), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(payloads)), sizes)
+    counts = np.bincount(owner * 256 + symbols, minlength=len(payloads) * 256)
+    cells = np.flatnonzero(counts)
+    weight = counts[cells] * np.log2(counts[cells])
+    total = np.bincount(cells >> 8, weights=weight, minlength=len(payloads))
+    n = np.maximum(sizes, 1)
+    return np.where(sizes > 0, np.maximum(np.log2(n) - total / n, 0.0) / 8.0, 0.0)
 
-    return payload.map(one)
+
+@F.pandas_udf(T.DoubleType())
+def payload_entropy_arrow(payload: pd.Series) -> pd.Series:
+    """The same value, vectorised over Arrow batches: faster from a few bytes on."""
+    raw = [p or b"" for p in payload]
+    parts = [_entropies(raw[i:i + BATCH]) for i in range(0, len(raw), BATCH)]
+    return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")

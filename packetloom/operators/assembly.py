@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from packetloom import fixed_values as V
 from packetloom.functions import scalars as S
-from packetloom.functions.payload import payload_entropy
+from packetloom.functions.payload import payload_entropy_arrow
 from packetloom.operators.clocks import export_clock, global_prev_ts
 from packetloom.operators.ordered_fold import fold_sliced
 from packetloom.operators.slices import Last, Prev, has_group_over, running, time_slice
@@ -226,12 +226,13 @@ def flow_sums(directed: DataFrame) -> DataFrame:
         "synack_at": F.min(F.when(~fwd & bit(V.SYN) & bit(V.ACK), at)),
         "ack_at": F.max(F.when(fwd & bit(V.ACK), at)),
         "payload_sum": F.sum(length), "payload_n": S.count_if(some),
-        "entropy_sum": F.sum(F.when(some, payload_entropy(F.col("payload"))).otherwise(0.0)),
+        "entropy_sum": F.sum("entropy"),
         # the last label that is not benign
         "label": F.coalesce(
             F.max_by("label", F.when(F.col("label") != V.BENIGN, at)), F.lit(V.BENIGN)),
     }
-    return directed.groupBy("capture_id", "flow_id").agg(
+    measured = directed.withColumn("entropy", payload_entropy_arrow("payload"))
+    return measured.groupBy("capture_id", "flow_id").agg(
         *[c.alias(k) for k, c in aggs.items()])
 
 

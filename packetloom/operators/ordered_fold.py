@@ -1,11 +1,12 @@
 """Sequential folds per key that survive a key of any size.
 
 ``fold(state, rows)`` consumes rows of one key in order and returns output rows and the
-new state. Keys of ordinary size are folded as groups. If some key is larger than the
-limit, rows are range-partitioned by (key, order), so a busy key is cut into many
-consecutive pieces that are folded at the same time from guessed start states. A
-piece is folded again only if the state its predecessor really ended in differs from
-the guess; when no piece differs, the result equals the sequential fold.
+new state. Rows stream through a task in batches, so only states are held. Keys of ordinary
+size stay whole. If some key is larger than the limit, rows are range-partitioned by
+(key, order), so a busy key is cut into many consecutive pieces that are folded at the
+same time from guessed start states. A piece is folded again only if the state its
+predecessor really ended in differs from the guess; when no piece differs, the result
+equals the sequential fold.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -24,14 +26,16 @@ Fold = Callable[[object, pd.DataFrame], tuple[pd.DataFrame, object]]
 Propagate = Callable[[object, object, object], object]
 
 
-def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
-                schema: T.StructType) -> DataFrame:
-    order = list(order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(None, pdf.sort_values(order, kind="stable"))[0]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def _runs(pdf: pd.DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Consecutive rows with equal values in the columns."""
+    change = np.zeros(len(pdf), dtype=bool)
+    change[0] = True
+    for c in columns:
+        v = pdf[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    edges = [*np.flatnonzero(change), len(pdf)]
+    for a, b in zip(edges, edges[1:]):
+        yield pdf.iloc[a:b]
 
 
 def _pieces(batches: Iterator[pd.DataFrame], keys: list[str]
@@ -41,15 +45,33 @@ def _pieces(batches: Iterator[pd.DataFrame], keys: list[str]
     for pdf in batches:
         if pdf.empty:
             continue
-        marks = pdf[["_part", *keys]]
-        starts = (marks != marks.shift()).any(axis=1).cumsum()
-        for _, run in pdf.groupby(starts, sort=False):
+        for run in _runs(pdf, ["_part", *keys]):
             part = int(run["_part"].iloc[0])
-            key = tuple(run[k].iloc[0] for k in keys)
-            yield part, key, part != seen, run
+            yield part, tuple(run[k].iloc[0] for k in keys), part != seen, run
             seen = part
 
 
+def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
+                schema: T.StructType) -> DataFrame:
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            outs = []
+            for rows in _runs(pdf, keys):
+                here = tuple(rows[k].iloc[0] for k in keys)
+                out, state = fold(state if here == key else None, rows)
+                key = here
+                outs.append(out)
+            yield pd.concat(outs, ignore_index=True)
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.mapInPandas(run, schema)
+
+
 def fold_sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
                 schema: T.StructType, pieces: int, propagate: Propagate | None = None
                 ) -> DataFrame:

@@ -58,7 +58,11 @@ def stored(view: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) ->
     """A view written once per session, as flows and packets are in practice."""
     key = (spark.sparkContext.applicationId, view.__name__, sf_dir)
     if key not in _STORED:
-        _STORED[key] = materialise(view(spark, sf_dir), view.__name__)
+        df = view(spark, sf_dir)
+        at = next((c for c in ("ts_us", "end_us") if c in df.columns), None)
+        if at:  # laid out by time, in enough files to read in parallel
+            df = df.repartitionByRange(spark.sparkContext.defaultParallelism, at)
+        _STORED[key] = materialise(df, view.__name__)
     return _STORED[key]
 
 
