@@ -627,6 +627,11 @@ def in_ms(df):
     return df.withColumns(ms).drop("mean_iat", "std_iat")
 
 
+def span_ms(df):
+    mean = "host_mean_flow_duration_60s"
+    return df.withColumn("host_mean_flow_duration_ms", F.col(mean) * 1000).drop(mean)
+
+
 @query("flow_aggregate", f"""SELECT flow_id, src, dst, sport, dport, proto, start_us, end_us, label,
     {FLOW_SQL} FROM sums""")
 def flow_aggregate(s, d):
@@ -689,7 +694,7 @@ def sums_sql(table: str) -> str:
     o60::DOUBLE AS host_bytes_out_60s, i60::DOUBLE AS host_bytes_in_60s,
     round(o60 / greatest(i60, 1), 6) AS host_out_in_ratio_60s,
     round(p60 / n60, 6) AS host_new_pair_ratio_60s,
-    round(d60 / 1e6 / n60, 6) AS host_mean_flow_duration_60s
+    round(d60 / 1e3 / n60, 6) AS host_mean_flow_duration_ms
     FROM (SELECT seq, count(*) OVER s10 n10, count(*) OVER s60 n60,
       count(*) FILTER (had_syn) OVER s10 y10, count(*) FILTER (had_syn AND NOT handshake) OVER s10 f10,
       sum(fwd_bytes) OVER s60 o60, sum(bwd_bytes) OVER s60 i60,
@@ -699,7 +704,7 @@ def sums_sql(table: str) -> str:
 
 @query("host_window_sums", sums_sql("paired"))
 def host_window_sums(s, d):
-    return WN.host_window_sums(paired(s, d), P).select("seq", *WN.host_sum_features(P))
+    return span_ms(WN.host_window_sums(paired(s, d), P).select("seq", *WN.host_sum_features(P)))
 
 
 def distinct_sql(table: str) -> str:
@@ -776,15 +781,19 @@ def beacon_regularity(s, d):
     return WN.beacon_regularity(flows(s, d), P).select("seq", "host_beacon_regularity")
 
 
+SOURCE_COLUMNS = [c.replace("duration_60s", "duration_ms") for c in V.HOST_FEATURES]
+
+
 def source_sql(table: str) -> str:
     """All 15 source features; equal to the strict walk where no two flows end together."""
     parts = (sums_sql, distinct_sql, repeat_sql, beacon_sql)
     joined = " JOIN ".join(f"({f(table)}) p{i}" + (" USING (seq)" if i else "")
                            for i, f in enumerate(parts))
-    return f"SELECT seq, {', '.join(V.HOST_FEATURES)} FROM {joined}"
+    return f"SELECT seq, {', '.join(SOURCE_COLUMNS)} FROM {joined}"
 
 
-DATASET_COLUMNS = [c for c in V.FEATURES if c not in ("mean_iat", "std_iat")]
+DATASET_COLUMNS = [c for c in (*V.FLOW_FEATURES, *SOURCE_COLUMNS, *V.DST_FEATURES)
+                   if c not in ("mean_iat", "std_iat")]
 
 
 @query("flow_dataset", f"""WITH RECURSIVE {{prefix}}, flowrec AS (
@@ -797,7 +806,8 @@ DATASET_COLUMNS = [c for c in V.FEATURES if c not in ("mean_iat", "std_iat")]
       JOIN ({dst_sql("flowrec")}) x ON x.seq = flow_id""")
 def flow_dataset(s, d):
     """Packets to all 52 features."""
-    return in_ms(DS.flow_dataset(packets(s, d), P).select("flow_id", "label", *V.FEATURES))
+    return span_ms(in_ms(DS.flow_dataset(packets(s, d), P).select(
+        "flow_id", "label", *V.FEATURES)))
 
 
 @query("new_pair_flag", "SELECT seq, new_pair FROM paired")
@@ -1604,7 +1614,7 @@ def host_profile_stream(s, d):
     rows = paired(s, d).select(*RECORD, "new_pair")
     feed = stream_of(rows, landed(rows, "flows-in")).withWatermark("ts", "10 seconds")
     out = s.read.parquet(run_to_end(profile(feed, "src", P), "profiles"))
-    return out.where("seq >= 0").select("seq", *V.HOST_FEATURES)
+    return span_ms(out.where("seq >= 0").select("seq", *V.HOST_FEATURES))
 
 
 @query("dst_profile_stream", dst_sql("paired"))
@@ -1622,7 +1632,8 @@ def host_features_strict(s, d):
     """The same walk in batch: ordered fold per host."""
     from packetloom.operators.host_state import strict_features
     rows = paired(s, d).select(*RECORD, "new_pair")
-    return strict_features(rows, ["end_us", "seq"], "src", P).select("seq", *V.HOST_FEATURES)
+    return span_ms(strict_features(rows, ["end_us", "seq"], "src", P).select(
+        "seq", *V.HOST_FEATURES))
 
 
 @query("threshold_stream")
