@@ -76,12 +76,12 @@ def test_unsupported_files_are_reported(spark, tmp_path):
 def test_ranges_of_one_file_give_every_record_once(spark, tmp_path):
     # payloads that look like record headers, to lead the search astray
     bait = struct.pack("<IIII", 5, 5, 30, 30) + bytes(30)
-    frames = [(5, i, ether(ipv4(6, tcp(i % 60000, 80, 16, bait * (1 + i % 40))))) for i in range(400)]
+    frames = [(5, i, ether(ipv4(6, tcp(i % 60000, 80, 16, bait * (1 + i % 9))))) for i in range(150)]
     (tmp_path / "a.pcap").write_bytes(capture(frames))
     whole = scan(spark, tmp_path)
-    parts = scan(spark, tmp_path, split_bytes=3000)
-    assert len(whole) == 400 and whole == parts
-    assert located_ranges(spark, str(tmp_path), 3000).count() > 50
+    parts = scan(spark, tmp_path, split_bytes=5000)
+    assert len(whole) == 150 and whole == parts
+    assert located_ranges(spark, str(tmp_path), 5000).count() > 5
 
 
 def test_entropy(spark):
