@@ -13,9 +13,14 @@ from packetloom.session import scratch_path
 from packetloom.sources.tables import Table
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_end(df: DataFrame, name: str, sink: Callable | None = None,
                mode: str = "append") -> str:
     """Drain what has landed and stop; returns the output path."""
+    # keyed state with timers needs this store; the session default does not offer them
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = scratch_path(df.sparkSession, name)
     writer = df.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     if sink is None:
