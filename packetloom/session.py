@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -62,4 +63,8 @@ def ship(spark: SparkSession) -> None:
         for f in root.rglob("*.py"):
             z.write(f, f"packetloom/{f.relative_to(root)}")
     spark.sparkContext.addPyFile(str(target))
+    # the driver's own streaming worker does not look at shipped files, only at this path
+    path = spark.sparkContext.environment.get("PYTHONPATH")
+    spark.sparkContext.environment["PYTHONPATH"] = (
+        f"{root.parent}{os.pathsep}{path}" if path else str(root.parent))
     _SHIPPED.add(app)
