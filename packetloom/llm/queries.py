@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from packetloom.llm import exact_dedup
+from packetloom.llm import decontaminate, exact_dedup, quote_links, url_templates
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_quotation_linking": quote_links.op5_quotation_linking,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op10_url_filters": url_templates.op10_url_filters,
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_benchmark_decontamination": decontaminate.SQL,
 }
