@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from packetloom.llm import decontaminate, exact_dedup, packing, quote_links, url_templates
+from packetloom.llm import decontaminate, exact_dedup, language_crf, packing, quote_links, url_templates
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": language_crf.op3_language_id,
     "op4_packing": packing.op4_packing,
     "op5_quotation_linking": quote_links.op5_quotation_linking,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
