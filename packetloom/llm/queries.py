@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetloom.llm import decontaminate, exact_dedup, language_crf, packing, quote_links, url_templates
+from packetloom.llm import decontaminate, exact_dedup, jaccard_join, language_crf, packing, quote_links, url_templates
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": language_crf.op3_language_id,
     "op4_packing": packing.op4_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_url_filters": url_templates.op10_url_filters,
 }
 ORACLE = {
+    "op1_ngram_jaccard_join": jaccard_join.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
 }
