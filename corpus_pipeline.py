@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.common import scratch_path, table
+from packetloom.llm.decontaminate import drop_contaminated
 from packetloom.llm.exact_dedup import keep_unique
+from packetloom.llm.jaccard_join import keep_representatives
+from packetloom.llm.language_crf import keep_languages
+from packetloom.llm.packing import pack_documents
 
 STAGES = [
+    ("language ID", keep_languages),
     ("exact dedup", keep_unique),
+    ("n-gram Jaccard join", keep_representatives),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_documents),
 ]
 
 #: Language, MinHash order and tokens are beyond SQL; tests hold the stages against plain Python.

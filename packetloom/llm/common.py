@@ -9,6 +9,8 @@ from packetloom.session import scratch_path
 
 #: A key with at least one in HEAVY of all rows is joined by broadcast: there are at most HEAVY such keys.
 HEAVY = 1000
+#: Rows of a few numbers each that may be broadcast; about 2 MB.
+BROADCAST_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +43,21 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, size: Column, total: int
     rest = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti")
     return rows.join(few, key).unionByName(
         rest.join(facts.filter(~hot).hint("merge"), key))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """Rows of a stored table, for a broadcast if they are few and for a shuffle join if not."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those of gone (__id, __hash of the text), a stored table."""
+    return docs.join(small(gone), _same(), "left_anti")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(small(kept), _same(), "left_semi")
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))

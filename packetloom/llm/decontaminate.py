@@ -15,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stored, table
+from packetloom.llm.common import stored, table, without
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: With more sketch hashes than this, documents meet the sketches in a shuffle join instead.
 SKETCH_LITERALS = 50_000
-#: Result rows that may be broadcast when documents are dropped; about 2 MB.
-BROADCAST_ROWS = 50_000
 
 BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -122,10 +120,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: the documents that hold no benchmark item."""
     found = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (
-        F.xxhash64("text") == F.col("__hash")), "left_anti")
+    return without(docs, found)
 
 
 SQL = r"""

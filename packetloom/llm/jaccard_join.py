@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import lookup, stored, table
+from packetloom.llm.common import lookup, only, stored, table, without
 from packetloom.llm.graphs import components
 from packetloom.llm.words import chunks, gram_hashes, split, word_hashes
 
 SHINGLE, SHARE = 4, 85
+#: Near copies in the pipeline.
+PIPELINE_SHINGLE, PIPELINE_SHARE = 5, 80
 #: Part of the hash range whose shingles are counted before the join.
 PART = 0.3
 #: Keys up to this many are broadcast to pick sets; 16 MB.
@@ -45,7 +47,7 @@ def overlap(n: int, m: int, share: int) -> int:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n, key (of the set), low (hashes below PART) and high (the others, as bytes)."""
+    """doc_id, text_hash, n, key (of the set), low (hashes below PART) and high (the others, as bytes)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     edge = np.uint64(int(PART * 2**63))
 
@@ -66,12 +68,12 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     high.append(own[cut:].tobytes())
                 offsets = np.cumsum([0, *map(len, low)])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
+                    part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low), pa.int64())),
-                    pa.array(high, pa.binary())], ["doc_id", "n", "key", "low", "high"])
+                    pa.array(high, pa.binary())], ["doc_id", "text_hash", "n", "key", "low", "high"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sets, f"doc_id {kind}, n long, key long, low array<long>, high binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        sets, f"doc_id {kind}, text_hash long, n long, key long, low array<long>, high binary")
 
 
 def linkable(sets: DataFrame, share: int) -> tuple[DataFrame, float]:
@@ -229,7 +231,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) ->
     """Classes of documents (doc_id, text) whose shingle sets are linked, directly or over others.
 
     One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the class),
-    set_key (equal for equal sets).
+    class (equal for documents that are linked, null for those without shingles), text_hash.
 
     Two documents are linked when the Jaccard similarity of their sets is at least share percent.
     Words are lower-cased in A-Z; a text of fewer words than a shingle has its whole sequence as
@@ -245,16 +247,36 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) ->
     classes = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     classes = stored(label(classes, links), "classes")
     smallest = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    facts = classes.select("key", "size", "comp").join(smallest, "comp").drop("comp")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    facts = classes.select("key", "size", "comp").join(smallest, "comp")
+    rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")
     named = lookup(rows.filter("n_shingles > 0"), facts, "key", F.col("size"), sets.count())
-    none = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    none = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn(
+        "comp", F.lit(None).cast("long"))
     out = named.drop("size").unionByName(none)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("key").alias("set_key"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("comp").alias("class"), "text_hash")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("set_key")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("class", "text_hash")
+
+
+def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each class the document with the smallest id, and all without shingles.
+
+    Shingles are five words and the similarity is 0.8 or more.
+    """
+    judged = stored(jaccard_join(docs, PIPELINE_SHINGLE, PIPELINE_SHARE).filter("class IS NOT NULL"), "judged")
+    each = judged.groupBy("class", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+        F.count("*").alias("rows"))
+    best = each.groupBy("class").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("best"),
+                                     F.count("*").alias("size"))
+    named = stored(lookup(each, best, "class", F.col("size"), judged.count()).withColumn(
+        "stays", F.col("__id").eqNullSafe(F.col("best.__id")) & (F.col("__hash") == F.col("best.__hash"))), "named")
+    left = without(docs, stored(named.filter("NOT stays").select("__id", "__hash"), "lost"))
+    again = stored(named.filter("stays AND rows > 1").select("__id", "__hash"), "again")
+    if not again.limit(1).count():
+        return left
+    return without(left, again).unionByName(only(left, again).dropDuplicates(["doc_id", "text"]))
 
 
 SQL = r"""

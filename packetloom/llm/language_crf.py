@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from packetloom.llm.common import table
 
@@ -241,7 +242,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
                     [*part.columns, *more], [*part.schema.names, "__lang", "__score", "__spans"][:len(part.columns) + len(more)])
                 at = end
 
-    schema = docs.schema.add("__lang", "string").add("__score", "double")
+    schema = StructType(docs.schema.fields[:]).add("__lang", "string").add("__score", "double")
     if spans:
         schema = schema.add("__spans", "array<struct<lang:string,words:bigint>>")
     return docs.mapInArrow(label, schema)
