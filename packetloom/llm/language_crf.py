@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from packetloom.llm.common import table
 
@@ -244,7 +244,8 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
 
     schema = StructType(docs.schema.fields[:]).add("__lang", "string").add("__score", "double")
     if spans:
-        schema = schema.add("__spans", "array<struct<lang:string,words:bigint>>")
+        run = StructType().add("lang", "string").add("words", "long")
+        schema = schema.add("__spans", ArrayType(run))
     return docs.mapInArrow(label, schema)
 
 

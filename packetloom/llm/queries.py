@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import decontaminate, exact_dedup, html_consensus, jaccard_join, language_crf, packing, quote_links, url_templates
+from packetloom.llm import decontaminate, exact_dedup, fm_index, html_consensus, jaccard_join, language_crf, packing, quote_links, suffix_arrays, url_templates
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quotation_linking": quote_links.op5_quotation_linking,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_substring_dedup": fm_index.op7_substring_dedup,
+    "op8_suffix_array_dedup": suffix_arrays.op8_suffix_array_dedup,
     "op9_html_extraction": html_consensus.op9_html_extraction,
     "op10_url_filters": url_templates.op10_url_filters,
 }
