@@ -50,14 +50,27 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """All columns as one, row, so that names of ours meet none of theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for those of gone (__id, __hash of the text), a stored table."""
-    return docs.join(small(gone), _same(), "left_anti")
+    """docs but for those of gone (id, hash of the text), a stored table."""
+    return nested(docs).join(small(gone), _same(), "left_anti").select("row.*")
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(small(kept), _same(), "left_semi")
+    return nested(docs).join(small(kept), _same(), "left_semi").select("row.*")
 
 
 def _same() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash"))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -119,7 +119,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark item."""
     found = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct(), "contaminated")
     return without(docs, found)
 
 

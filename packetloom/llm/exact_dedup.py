@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import lookup, partitions, stored, table
+from packetloom.llm.common import lookup, nested, partitions, stored, table
 from packetloom.session import scratch_path
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -45,12 +45,15 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, winners: DataFrame, batch: str) -> None:
-        """Append the digests of winners (text_sha256, keep_id, keep_chars) that are new."""
-        self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (batch='{batch}')")
-        fresh = winners.join(self.rows().hint("merge"), "text_sha256", "left_anti")
-        fresh.select("text_sha256", "keep_id", "keep_chars").createOrReplaceTempView(
-            view := f"fresh_{uuid.uuid4().hex}")
-        self.spark.sql(f"INSERT INTO {self.name} PARTITION (batch='{batch}') SELECT * FROM {view}")
+        """Append the digests of winners (text_sha256, keep_id, keep_chars) that are new.
+
+        The batch is one partition, so that running it again replaces what a failed run left.
+        """
+        known = self.rows().filter(F.col("batch") != batch).hint("merge")
+        fresh = stored(winners.join(known, "text_sha256", "left_anti").select(
+            "text_sha256", "keep_id", "keep_chars"), "fresh")
+        fresh.createOrReplaceTempView(view := f"fresh_{uuid.uuid4().hex}")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch='{batch}') SELECT * FROM {view}")
         self.spark.catalog.dropTempView(view)
 
 
@@ -102,12 +105,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that stay, in the columns they came with."""
     decided = exact_dedup(docs, fresh_index(spark, docs), "all").filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_rows").alias("__rows"))
-    mine = docs.withColumn("__digest", digest(F.col("text"))).join(
-        decided, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")))
-    once = mine.filter("__rows = 1").select(*docs.columns)
-    again = mine.filter("__rows > 1").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
-    return once.unionByName(again)
+        F.col("doc_id").alias("id"), "text_sha256", "n_rows")
+    mine = nested(docs).withColumn("digest", digest(F.col("row.text"))).join(
+        decided, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("text_sha256")))
+    once = mine.filter("n_rows = 1").select("row.*")
+    again = mine.filter("n_rows > 1").withColumn("doc", F.col("row.doc_id")).dropDuplicates(["doc", "digest"])
+    return once.unionByName(again.select("row.*"))
 
 
 SQL = r"""

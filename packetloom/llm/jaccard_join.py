@@ -142,9 +142,9 @@ def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
                     out.extend(items[:n - (-(-share * n // 100)) + 1].tolist())
                 at.extend([i] * len(out))
                 found.extend(out)
-            rows = b.take(pa.array(at, pa.int64())) if at else b.slice(0, 0)
+            where = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in ("key", "n", "apart")), pa.array(found, pa.int64())], ["key", "n", "apart", "h"])
+                [*(b.column(c).take(where) for c in ("key", "n", "apart")), pa.array(found, pa.int64())], ["key", "n", "apart", "h"])
 
     each = own.mapInArrow(lists, "key long, n long, apart double, h long")
     twice = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
@@ -266,14 +266,14 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Shingles are five words and the similarity is 0.8 or more.
     """
     judged = stored(jaccard_join(docs, PIPELINE_SHINGLE, PIPELINE_SHARE).filter("class IS NOT NULL"), "judged")
-    each = judged.groupBy("class", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+    each = judged.groupBy("class", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
         F.count("*").alias("rows"))
-    best = each.groupBy("class").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("best"),
+    best = each.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash")).alias("best"),
                                      F.count("*").alias("size"))
     named = stored(lookup(each, best, "class", F.col("size"), judged.count()).withColumn(
-        "stays", F.col("__id").eqNullSafe(F.col("best.__id")) & (F.col("__hash") == F.col("best.__hash"))), "named")
-    left = without(docs, stored(named.filter("NOT stays").select("__id", "__hash"), "lost"))
-    again = stored(named.filter("stays AND rows > 1").select("__id", "__hash"), "again")
+        "stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))), "named")
+    left = without(docs, stored(named.filter("NOT stays").select("id", "hash"), "lost"))
+    again = stored(named.filter("stays AND rows > 1").select("id", "hash"), "again")
     if not again.limit(1).count():
         return left
     return without(left, again).unionByName(only(left, again).dropDuplicates(["doc_id", "text"]))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from packetloom.llm.common import table
+from packetloom.llm.common import table, unused
 
 #: Labelled documents per language that the model is fitted on: the bound of the training sample.
 PER_LANGUAGE = 150
@@ -214,13 +214,14 @@ def _judge(model: LanguageModel, texts: pa.Array, spans: bool):
     return said, np.clip(mean[np.arange(n), best], 0, 1) * (size > 0), runs
 
 
-def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> DataFrame:
-    """Adds __lang, __score and, if asked for, __spans to every row of docs, which has a text.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, ...]) -> DataFrame:
+    """Adds columns to every row of docs, which has a text, under two or three names.
 
-    __lang is a language of the model, or und with score 0 if the text is null or has no letter;
-    __score is the mean probability of that language over the words that have a letter;
-    __spans are the runs of words of one language, in order. Other columns stay as they are.
+    The first is a language of the model, or und with score 0 if the text is null or has no letter;
+    the second the mean probability of that language over the words that have a letter; the
+    third the runs of words of one language, in order. Other columns stay as they are.
     """
+    spans = len(names) > 2
     model = docs.sparkSession.sparkContext.broadcast(model)  # features x languages, of fixed size
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +240,13 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
                 if spans:
                     more.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *more], [*part.schema.names, "__lang", "__score", "__spans"][:len(part.columns) + len(more)])
+                    [*part.columns, *more], [*part.schema.names, *names])
                 at = end
 
-    schema = StructType(docs.schema.fields[:]).add("__lang", "string").add("__score", "double")
+    schema = StructType(docs.schema.fields[:]).add(names[0], "string").add(names[1], "double")
     if spans:
         run = StructType().add("lang", "string").add("words", "long")
-        schema = schema.add("__spans", ArrayType(run))
+        schema = schema.add(names[2], ArrayType(run))
     return docs.mapInArrow(label, schema)
 
 
@@ -256,9 +257,8 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     is not held out. Repeated rows are judged each; an empty table gives no rows; other columns
     are not looked at.
     """
-    out = identify(docs.select("doc_id", "text"), train(docs, per_language), spans=True)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"),
-                      F.col("__score").alias("score"), F.col("__spans").alias("spans"))
+    out = identify(docs.select("doc_id", "text"), train(docs, per_language), ("lang_pred", "score", "spans"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,5 +267,6 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of a known language, in the columns they came with."""
-    found = identify(docs, train(docs))
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST)).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    found = identify(docs, train(docs), (lang, score))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST)).drop(lang, score)
