@@ -34,9 +34,9 @@ SHINGLE, SHARE = 4, 85
 #: Near copies in the pipeline.
 PIPELINE_SHINGLE, PIPELINE_SHARE = 5, 80
 #: Part of the hash range whose shingles are counted before the join.
-PART = 0.3
-#: Keys up to this many are broadcast to pick sets; 16 MB.
-BROADCAST_KEYS = 1_000_000
+PART = 0.25
+#: Classes up to this many are broadcast to pick their texts; 40 bytes each.
+BROADCAST_KEYS = 500_000
 #: Star rounds before the remaining pairs are compared.
 STARS = 3
 
@@ -46,64 +46,76 @@ def overlap(n: int, m: int, share: int) -> int:
     return -(-share * (n + m) // (100 + share))
 
 
+def _sets(part: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
+    """Sorted shingle hashes, 63 bits each, of every text of a batch."""
+    ids, words, count = split(pc.ascii_lower(part.column("text")))
+    h = word_hashes(words)[ids]
+    ends = np.cumsum(count)
+    return [np.unique(gram_hashes(h[e - n:e], min(n, shingle)) >> np.uint64(1)).astype(np.int64) if n else np.zeros(0, np.int64)
+            for n, e in zip(count.tolist(), ends.tolist(), strict=True)]
+
+
+def _key(items: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, n, key (of the set), low (hashes below PART) and high (the others, as bytes)."""
+    """doc_id, text_hash, n, key (of the set), low (its hashes in the first PART of the range)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    edge = np.uint64(int(PART * 2**63))
+    edge = int(PART * 2**63)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                ids, words, count = split(pc.ascii_lower(part.column("text")))
-                h = word_hashes(words)[ids]
-                n, key, low, high = [], [], [], []
-                at = 0
-                for size in count.tolist():
-                    own = np.unique(gram_hashes(h[at:at + size], min(size, shingle)) >> np.uint64(1)) if size else h[:0]
-                    at += size
-                    cut = int(np.searchsorted(own, edge))
-                    n.append(len(own))
-                    key.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    low.append(own[:cut].astype(np.int64))
-                    high.append(own[cut:].tobytes())
+                found = _sets(part, shingle)
+                low = [x[:np.searchsorted(x, edge)] for x in found]
                 offsets = np.cumsum([0, *map(len, low)])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low), pa.int64())),
-                    pa.array(high, pa.binary())], ["doc_id", "text_hash", "n", "key", "low", "high"])
+                    part.column("doc_id"), part.column("text_hash"), pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([_key(x) for x in found], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low), pa.int64()))],
+                    ["doc_id", "text_hash", "n", "key", "low"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        sets, f"doc_id {kind}, text_hash long, n long, key long, low array<long>, high binary")
+        sets, f"doc_id {kind}, text_hash long, n long, key long, low array<long>")
 
 
 def linkable(sets: DataFrame, share: int) -> tuple[DataFrame, float]:
-    """Classes that may have a link: key, n, apart (share of counted shingles no other class has);
-    and the mean length of the lists of shared shingles."""
-    one = sets.filter("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min(F.size("low")).alias("k"))
-    rows = sets.filter("n > 0").select("key", F.explode("low").alias("h")).distinct()
-    shared = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    hits = stored(rows.join(shared, "h").groupBy("key").agg(
-        F.count("*").alias("hits"), F.avg("df").alias("df")), "hits")
-    found = one.join(hits, "key", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    found = stored(found.filter(F.col("hits") >= F.col("k") - F.floor(F.col("n") * (100 - share) / 100)).select(
-        "key", "n", (1 - F.col("hits") / F.greatest("k", F.lit(1))).alias("apart")), "linkable")
-    return found, float(hits.agg(F.avg("df")).first()[0] or 2.0)
-
-
-def pick(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row (key, n, apart, whole: bytes of all hashes) for each of the keys."""
+    """Classes that may have a link: key, n, apart (share of counted shingles that no other class
+    has), text_hash and doc_id of one of its documents; and the mean length of shared lists."""
+    one = sets.filter("n > 0").groupBy("key").agg(
+        F.min("n").alias("n"), F.min(F.size("low")).alias("k"), F.count("*").alias("copies"),
+        F.min(F.struct("text_hash", "doc_id")).alias("of"))
+    rows = sets.filter("n > 0").select("key", F.explode("low").alias("h"))
+    shared = rows.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("df"))
+    hits = rows.join(shared.filter("a != b").select("h", "df"), "h").groupBy("key").agg(
+        F.count("*").alias("rows"), F.avg("df").alias("df"))
+    # the copies of a class have the same shingles, so each has its share of the rows
+    found = stored(one.join(hits, "key", "left").select(
+        "key", "n", "k", F.coalesce(F.col("rows") / F.col("copies"), F.lit(0)).alias("hits"), "df", "of.*"), "hits")
+    scan = float(found.agg(F.avg("df")).first()[0] or 2.0)
+    found = found.filter(F.col("hits") >= F.col("k") - F.floor(F.col("n") * (100 - share) / 100))
+    return stored(found.select("key", "n", (1 - F.col("hits") / F.greatest("k", F.lit(1))).alias("apart"),
+                               "text_hash", "doc_id"), "linkable"), scan
+
+
+def whole_sets(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """key, n, apart, whole (bytes of all hashes) for each of the keys, from one of its texts."""
     few = keys.count() <= BROADCAST_KEYS
-    own = sets.join(F.broadcast(keys.drop("n")) if few else keys.drop("n"), "key")
-    own = own.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "apart", "low", "high")))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(
+        F.broadcast(keys.withColumnRenamed("doc_id", "of")) if few else keys.withColumnRenamed("doc_id", "of"),
+        (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = b.column("low")
-            joined = [low[i].values.to_numpy().tobytes() + b.column("high")[i].as_py() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("n"), b.column("apart"), pa.array(joined, pa.binary())], ["key", "n", "apart", "whole"])
+        for batch in batches:
+            for part in chunks(batch):
+                found = [x.tobytes() for x in _sets(part, shingle)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("n"), part.column("apart"), pa.array(found, pa.binary())],
+                    ["key", "n", "apart", "whole"])
 
-    return own.mapInArrow(whole, "key long, n long, apart double, whole binary")
+    found = texts.select("key", "n", "apart", "text").mapInArrow(whole, "key long, n long, apart double, whole binary")
+    return found.dropDuplicates(["key"])  # rows that are repeated whole
 
 
 def partner_sizes(n: int, share: int) -> range:
@@ -136,8 +148,8 @@ def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
                     sizes = {overlap(n, m, share) for m in partner_sizes(n, share) if min(n, m) <= small}
                     for k in sorted(s for s in sizes if s <= n):
                         for gone in combinations(range(n), n - k):
-                            rest = np.delete(items, gone).tobytes()
-                            out.append(int.from_bytes(hashlib.blake2b(rest, digest_size=8).digest(), "little", signed=True))
+                            rest = np.delete(items, gone)
+                            out.append(_key(rest))
                 if n > small:
                     out.extend(items[:n - (-(-share * n // 100)) + 1].tolist())
                 at.extend([i] * len(out))
@@ -241,7 +253,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) ->
     """
     sets = stored(shingle_sets(docs, shingle), "sets")
     keys, scan = linkable(sets, share)
-    own = stored(pick(sets, keys), "linkable-sets")
+    own = stored(whole_sets(docs, keys, shingle), "linkable-sets")
     lists = stored(signatures(own, boundary(scan, share), share), "lists")
     links = link_classes(lists, own, share).filter("linked")
     classes = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
