@@ -128,6 +128,12 @@ def dedup_key() -> Column:
     )
 
 
+def incident_id(*parts: Column) -> Column:
+    """A number for capture, dedup key and the time and sequence of the first alert: 60 bits of a hash."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def incident_peer() -> Column:
     return F.when(F.col("family").isin(*V.VICTIM_FAMILIES), F.col("src")).otherwise(F.col("dst"))
 

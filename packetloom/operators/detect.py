@@ -57,7 +57,7 @@ def anomaly_scores(flows: DataFrame, model: Detector) -> DataFrame:
 
 
 def score_flows(flows: DataFrame, model: Detector, order: list[str], p: Params = Params(),
-                keys: tuple[str, ...] = ("src",)) -> DataFrame:
+                keys: tuple[str, ...] = ("capture_id", "src")) -> DataFrame:
     """Flows to verdicts: score, family, per-host threshold with the veto inside the fold."""
     scored = anomaly_scores(flows, model)
     if model.classifier is not None:

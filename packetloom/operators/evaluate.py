@@ -133,7 +133,8 @@ def family_recall(verdicts: DataFrame) -> DataFrame:
 
 
 def class_report(predictions: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of every family seen as truth or prediction."""
+    """Precision, recall, F1 and support of every family seen as truth or prediction of attacks."""
+    predictions = predictions.where(F.col("truth") != V.BENIGN)
     listed = F.col("label").isin(*V.ATTACK_FAMILIES)
     hit = (F.col("truth") == F.col("predicted")).cast("long")
     pairs = predictions.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
@@ -157,7 +158,8 @@ def macro_f1(report: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
-    """Truth by predicted over the fixed label list, absent rows included as zeros."""
+    """Attacks by predicted over the fixed label list, absent rows included as zeros."""
+    predictions = predictions.where(F.col("truth") != V.BENIGN)
     labels = [*V.ATTACK_FAMILIES, V.UNKNOWN, V.BENIGN]
     spark = predictions.sparkSession
     every = spark.createDataFrame([(x,) for x in labels], "truth string")  # fixed list

@@ -21,25 +21,33 @@ from packetloom.params import SECOND, Params
 AT = ["at_us", "seq"]
 
 
+def capture_keys(alerts: DataFrame) -> tuple[str, ...]:
+    return ("capture_id",) if "capture_id" in alerts.columns else ()
+
+
 def incident_sessions(alerts: DataFrame, p: Params = Params(), keys: tuple[str, ...] = (),
                       at: str = "at_us") -> DataFrame:
-    """Add ``dedup_key`` and ``incident_id`` (sequence number of the first alert).
+    """Add ``dedup_key`` and ``incident_id`` (a hash of capture, key and first alert).
+
+    Alerts of different captures never meet in a session.
 
     A slice no wider than the gap cannot contain a break, so sessions are found on one
     summary row per key and slice; no key is ever walked alert by alert.
     """
+    keys = keys or capture_keys(alerts)
     gap = p.dedup_s * SECOND
     keyed = alerts.withColumn("dedup_key", S.dedup_key()).withColumn(
         "_slice", time_slice(F.col(at), gap))
     group = [*keys, "dedup_key"]
     slices = keyed.groupBy(*group, "_slice").agg(
         F.min(at).alias("lo"), F.max(at).alias("hi"),
-        F.min_by("seq", F.struct(at, "seq")).alias("head"))
+        F.min(F.struct(F.col(at).alias("at"), "seq")).alias("head"))
     w = W.partitionBy(*group).orderBy("_slice")
     opens = F.lag("hi").over(w).isNull() | (F.col("lo") - F.lag("hi").over(w) > gap)
     named = slices.withColumn("_opens", opens).withColumn(
         "incident_id", F.last(F.when(F.col("_opens"), F.col("head")), ignorenulls=True).over(w)
-    ).select(*group, "_slice", "incident_id")
+    ).select(*group, "_slice", S.incident_id(
+        *[F.col(c) for c in group], F.col("incident_id.at"), F.col("incident_id.seq")).alias("incident_id"))
     return keyed.join(named, [*group, "_slice"]).drop("_slice")
 
 
@@ -48,7 +56,8 @@ def incident_aggregate(sessions: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     opening = lambda c: F.min_by(c, first).alias(c)
     return sessions.groupBy(*keys, "incident_id").agg(
         F.first("dedup_key").alias("dedup_key"), F.first("family").alias("family"),
-        *[opening(c) for c in ("src", "dst", "dport", "proto")],
+        *[F.first(c).alias(c) for c in capture_keys(sessions) if c not in keys],
+        *[opening(c) for c in ("src", "dst", "dport", "proto")], F.min_by("seq", first).alias("first_seq"),
         F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"),
         F.count(F.lit(1)).alias("occurrences"),
         F.max("score").alias("score_max"), F.avg("score").alias("score_mean"),
@@ -163,13 +172,15 @@ def alert_rows(sessions: DataFrame) -> DataFrame:
 
 def alerts_append_capped(sessions: DataFrame, p: Params = Params(),
                          at: str = "at_us") -> DataFrame:
-    """The first alerts of each incident, up to the storage cap (the occurrence count keeps the rest)."""
+    """The first alerts of each incident, up to the storage cap, if there is one."""
+    if p.alerts_per_incident is None:
+        return sessions
     return top_per_key(sessions, ["incident_id"], [F.col(at), F.col("seq")],
                        p.alerts_per_incident, ["seq"])
 
 
 def alerts_dropped(sessions: DataFrame, p: Params = Params()) -> DataFrame:
-    over = F.count(F.lit(1)) - p.alerts_per_incident
+    over = F.count(F.lit(1)) - p.alerts_per_incident if p.alerts_per_incident is not None else F.lit(0)
     return sessions.groupBy("incident_id").agg(
         F.greatest(over, F.lit(0)).cast("long").alias("dropped"))
 
@@ -184,11 +195,19 @@ def count_incidents(verdicts: DataFrame, keys: tuple[str, ...] = (), p: Params =
 
 # stored state
 
-def incidents_upsert(current: DataFrame, touched: DataFrame) -> DataFrame:
-    """Latest state per incident; analyst columns survive the update."""
+def incidents_upsert(current: DataFrame, touched: DataFrame,
+                     whole: DataFrame | None = None) -> DataFrame:
+    """Latest state per incident; analyst columns survive the update.
+
+    ``whole`` names dedup keys (and captures) all of whose incidents are in ``touched``: what
+    ``current`` has of them besides was absorbed by another incident and goes.
+    """
     kept = current.select("id", *[F.col(c).alias(f"_{c}") for c in
                                   ("status", "assignee", "verdict", "note", "closed_at")])
     updated = touched.join(kept, "id", "left").withColumns({
         c: F.coalesce(f"_{c}", c) for c in ("status", "assignee", "verdict", "note", "closed_at")
     }).select(*current.columns)
-    return current.join(touched.select("id"), "id", "left_anti").unionByName(updated)
+    left = current.join(touched.select("id"), "id", "left_anti")
+    if whole is not None:
+        left = left.join(whole, whole.columns, "left_anti")
+    return left.select(*current.columns).unionByName(updated)

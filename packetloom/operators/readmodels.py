@@ -172,18 +172,23 @@ def host_total(hosts: DataFrame) -> DataFrame:
     return hosts.agg(_n().alias("total"))
 
 
-def host_incidents(incidents: DataFrame, hosts: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest incidents touching each host: two equi-joins instead of an OR."""
+def _touching(incidents: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Incidents with each host they touch: two equi-joins instead of an OR."""
     ips = hosts.select("ip")
     as_src = incidents.join(ips, incidents["src"] == ips["ip"])
     as_dst = incidents.where(F.col("src") != F.col("dst")).join(ips, incidents["dst"] == ips["ip"])
-    return top_per_key(as_src.unionByName(as_dst), ["ip"], [F.desc("last_seen"), F.col("id")],
+    return as_src.unionByName(as_dst)
+
+
+def host_incidents(incidents: DataFrame, hosts: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest incidents touching each host, a page of ``limit``."""
+    return top_per_key(_touching(incidents, hosts), ["ip"], [F.desc("last_seen"), F.col("id")],
                        limit, ["id"])
 
 
 def host_families(incidents: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Occurrences per family over the incidents listed for each host."""
-    return host_incidents(incidents, hosts).groupBy("ip", "family").agg(
+    """Occurrences per family over all incidents touching each host."""
+    return _touching(incidents, hosts).groupBy("ip", "family").agg(
         F.sum("occurrences").alias("occurrences"))
 
 
@@ -212,14 +217,14 @@ def incident_alerts(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
     return alerts.join(incidents.select(F.col("id").alias("incident_id")), "incident_id")
 
 
-def top_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
-    return top_per_key(alerts, ["incident_id"], [F.desc("score"), F.col("seq")], n, ["seq"])
+def top_alerts(alerts: DataFrame, n: int | None = 100) -> DataFrame:
+    return alerts if n is None else top_per_key(alerts, ["incident_id"], [F.desc("score"), F.col("seq")], n, ["seq"])
 
 
-def incident_timeline(alerts: DataFrame, n: int = 500) -> DataFrame:
+def incident_timeline(alerts: DataFrame, n: int | None = None) -> DataFrame:
     per = alerts.groupBy("incident_id", F.date_trunc("second", "ts").alias("second")).agg(
         _n().alias("n"), F.max("score").alias("score_max"))
-    return top_per_key(per, ["incident_id"], [F.col("second")], n, ["second"])
+    return per if n is None else top_per_key(per, ["incident_id"], [F.col("second")], n, ["second"])
 
 
 def incident_ports(alerts: DataFrame, n: int = 20) -> DataFrame:
@@ -245,8 +250,13 @@ def truth_purity(alerts: DataFrame) -> DataFrame:
         S.safe_div(S.count_if(attack), S.count_if(labelled)).alias("share"))
 
 
-def incident_export(incidents: DataFrame, alerts: DataFrame, n_alerts: int = 1000) -> DataFrame:
-    """(id, document): one JSON document per incident. Every nested list is capped by design."""
+def incident_export(incidents: DataFrame, alerts: DataFrame, n_alerts: int | None = None,
+                    n_seconds: int | None = None, n_top: int = 20) -> DataFrame:
+    """(id, document): one JSON document per incident with its alerts and timeline.
+
+    Limits are the caller's; ports and peers are the ``n_top`` largest, and ``left_out`` counts what
+    a limit kept out of the document.
+    """
     rows = incident_payload(incidents)
     body = [c for c in alerts.columns if c != "incident_id"]
 
@@ -258,10 +268,10 @@ def incident_export(incidents: DataFrame, alerts: DataFrame, n_alerts: int = 100
 
     parts = [
         listed(top_alerts(alerts, n_alerts), "alerts", [-F.col("score"), F.col("seq")], body),
-        listed(incident_timeline(alerts), "timeline", [F.col("second")],
+        listed(incident_timeline(alerts, n_seconds), "timeline", [F.col("second")],
                ["second", "n", "score_max"]),
-        listed(incident_ports(alerts), "ports", [-F.col("n"), F.col("port")], ["port", "n"]),
-        listed(incident_peers(alerts), "peers", [-F.col("n"), F.col("ip")], ["ip", "n"]),
+        listed(incident_ports(alerts, n_top), "ports", [-F.col("n"), F.col("port")], ["port", "n"]),
+        listed(incident_peers(alerts, n_top), "peers", [-F.col("n"), F.col("ip")], ["ip", "n"]),
         alert_truth(alerts).groupBy(F.col("incident_id").alias("id")).agg(F.map_from_entries(
             F.array_sort(F.collect_list(F.struct("truth", "n")))).alias("ground_truth")),
     ]
@@ -273,5 +283,8 @@ def incident_export(incidents: DataFrame, alerts: DataFrame, n_alerts: int = 100
         F.col("mitre_tactic").alias("tactic"), F.element_at(
             notes, F.when(F.col("family").isin(*GUIDANCE), F.col("family"))
             .otherwise(V.UNKNOWN)).alias("triage"))
-    full = rows.withColumn("guidance", guidance)
+    missing = lambda total, name: F.greatest(F.col(total) - F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    full = rows.withColumn("guidance", guidance).withColumn("left_out", F.struct(
+        missing("occurrences", "alerts").alias("alerts"), missing("distinct_dports", "ports").alias("ports"),
+        missing("distinct_peers", "peers").alias("peers")))
     return full.select("id", F.to_json(F.struct(*full.columns)).alias("document"))

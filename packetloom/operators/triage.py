@@ -80,10 +80,16 @@ def triage_apply(incidents: DataFrame, events: DataFrame, p: Params = Params())
 def triage_bulk(ids: DataFrame, ts: Column, seq: Column, actor: str, status: str | None = None,
                 assignee: str | None = None, verdict: str | None = None,
                 limit: int = 500) -> DataFrame:
-    """One patch on a list of incidents, as events. ``ids``: one ``ids`` array per request."""
+    """One patch on a list of incidents, as events. ``ids``: one ``ids`` array per request.
+
+    A request of no or more than ``limit`` ids is an error of the whole call.
+    """
     text = lambda v: F.lit(v).cast("string")
-    return ids.where(F.size("ids").between(1, limit)).select(
-        F.explode(F.array_distinct("ids")).alias("incident_id"), ts.alias("ts"),
+    wrong = F.raise_error(F.concat(F.lit(f"a request needs 1 to {limit} ids and has "),
+                                   F.coalesce(F.size("ids"), F.lit(0)).cast("string")))
+    return ids.select(
+        F.explode(F.when(F.size("ids").between(1, limit), F.array_distinct("ids")).otherwise(
+            wrong.cast("array<bigint>"))).alias("incident_id"), ts.alias("ts"),
         seq.alias("seq"), F.lit(actor).alias("actor"), text(status).alias("status"),
         text(assignee).alias("assignee"), text(verdict).alias("verdict"),
         F.lit(None).cast("string").alias("note"))

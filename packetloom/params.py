@@ -29,7 +29,7 @@ class Params:
     override_score: float = 0.9975
     # correlation
     dedup_s: int = 60
-    alerts_per_incident: int = 2000
+    alerts_per_incident: int | None = None  # a number caps what is stored of each incident
     # explanation
     explain_top: int = 4
     explain_per_batch: int = 6

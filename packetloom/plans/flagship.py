@@ -17,7 +17,7 @@ def rule_alerts(flows: DataFrame, p: Params = Params()) -> DataFrame:
     """A fixed rule on volume in place of the trained detector."""
     total = F.col("total_bytes")
     return flows.select(
-        F.col("flow_id").alias("seq"), "src", "dst", "sport", "dport", "proto", "start_us",
+        "capture_id", F.col("flow_id").alias("seq"), "src", "dst", "sport", "dport", "proto", "start_us",
         "end_us", F.col("export_us").alias("at_us"), "label",
         F.when(F.col("label") == V.BENIGN, V.UNKNOWN).otherwise(F.col("label")).alias("family"),
         (total / (total + 20.0)).alias("score"), F.lit(p.base_threshold).alias("threshold"),

@@ -33,6 +33,8 @@ ASSET_CASE = """CASE dst WHEN '192.168.1.10' THEN 'Serveur web'
   WHEN '192.168.1.11' THEN 'Base de données' WHEN '192.168.1.12' THEN 'Serveur DNS'
   ELSE 'Serveur de fichiers' END"""
 
+INCIDENT_ID = """('0x' || substr(md5(concat_ws('|', capture_id, dedup_key, first_value(end_us) OVER g,
+        first_value(seq) OVER g)), 1, 15))::BIGINT"""
 CTE: dict[str, str] = {
     "base0": """SELECT event_id e, user_id u, event_type et, value v, props, ts wall,
         (epoch_us(ts) - 1704067200000000) // 2592 t FROM events""",
@@ -139,8 +141,8 @@ CTE: dict[str, str] = {
         FROM alerts WINDOW w AS (PARTITION BY dedup_key ORDER BY end_us, seq)""",
     "grouped": """SELECT *, sum(brk) OVER (PARTITION BY dedup_key ORDER BY end_us, seq) part
         FROM broken""",
-    "sessions": """SELECT *, min(seq) OVER (PARTITION BY dedup_key, part) incident_id
-        FROM grouped""",
+    "sessions": f"""SELECT *, {INCIDENT_ID} incident_id FROM grouped
+        WINDOW g AS (PARTITION BY capture_id, dedup_key, part ORDER BY end_us, seq)""",
     "ranked": """SELECT *, max(score) OVER (PARTITION BY incident_id ORDER BY wall_us, seq
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) best FROM sessions""",
     "records": "SELECT * FROM ranked WHERE best IS NULL OR score > best",
@@ -150,7 +152,7 @@ CTE: dict[str, str] = {
     "assets": f"""SELECT * FROM (VALUES {_rows([(c, n, k) for c, n, k, _ in V.DEFAULT_ASSETS])})
         a(cidr, name, criticality)""",
     "gathered": f"""SELECT incident_id id, any_value(dedup_key) dedup_key, any_value(s.family) family,
-        arg_min(src, seq) src, arg_min(dst, seq) dst, arg_min(dport, seq) dport,
+        min(seq) first_seq, arg_min(src, seq) src, arg_min(dst, seq) dst, arg_min(dport, seq) dport,
         arg_min(proto, seq) proto, min(wall) first_seen, max(wall) last_seen,
         count(*) occurrences, max(score) score_max, avg(score) score_mean,
         arg_max(threshold, score) threshold, CAST(sum(bytes) AS BIGINT) total_bytes,
@@ -178,7 +180,8 @@ CTE: dict[str, str] = {
         CASE WHEN score >= 0.92 OR score - threshold >= 0.25 THEN 'CRITICAL'
              WHEN score - threshold >= 0.10 THEN 'HIGH' ELSE 'MEDIUM' END severity,
         packets, bytes, greatest(end_us - start_us, 0) / 1e6 duration, label truth FROM sessions""",
-    "predictions": f"""SELECT capture_id, seq, family truth, CASE WHEN seq % 97 = 0 THEN 'UNKNOWN'
+    "attacks": "SELECT * FROM predictions WHERE truth <> 'BENIGN'",
+    "predictions": f"""SELECT capture_id, seq, CASE WHEN seq % 13 = 0 THEN 'BENIGN' ELSE family END truth, CASE WHEN seq % 97 = 0 THEN 'UNKNOWN'
         WHEN seq % 5 = 0 THEN {_list(V.ATTACK_FAMILIES)}[1 + (seq * 7) % 9] ELSE family END predicted,
         score FROM flows""",
     "ranking": "SELECT label <> 'BENIGN' truth, score FROM flows",
@@ -195,7 +198,7 @@ CTE: dict[str, str] = {
         CASE WHEN e % 5 = 0 THEN ['TP', 'FP', 'BENIGN'][1 + e % 3] END verdict,
         CASE WHEN e % 7 = 0 THEN 'note ' || e END note
         FROM (SELECT * FROM base WHERE et = 'error') b
-        ASOF JOIN (SELECT id FROM incidents) i ON b.e <= i.id""",
+        ASOF JOIN (SELECT id, first_seq FROM incidents) i ON b.e <= i.first_seq""",
     "acted": """SELECT a.*, i.status status_0, i.verdict verdict_0, i.assignee assignee_0,
         last_value(a.verdict IGNORE NULLS) OVER w pv, last_value(a.assignee IGNORE NULLS) OVER w pa
         FROM actions a JOIN incidents i ON i.id = a.incident_id

@@ -15,7 +15,7 @@ from packetloom.operators import (
 )
 from packetloom.params import Params
 from packetloom.plans import views as VW
-from packetloom.plans.oracle import NOW, OPEN, sql
+from packetloom.plans.oracle import INCIDENT_ID, NOW, OPEN, sql
 from packetloom.session import materialise, ship
 
 P = Params()
@@ -159,12 +159,11 @@ def bucket_rollup(s, d):
 @query("buckets_append", BUCKET_SQL)
 def buckets_append(s, d):
     """Rollups of whole seconds appended in two runs."""
-    from packetloom.sources.tables import Table
-    table = Table.scratch(s, "buckets")
-    early = F.col("at_us") < 500_000_000
-    table.append(RU.bucket_rollup(flows(s, d).where(early)))
-    table.append(RU.bucket_rollup(flows(s, d).where(~early)))
-    return table.read()
+    from packetloom.session import scratch_path
+    path, early = scratch_path(s, "buckets"), F.col("at_us") < 500_000_000
+    for part in (early, ~early):
+        RU.bucket_rollup(flows(s, d).where(part)).write.mode("append").parquet(path)
+    return s.read.parquet(path)
 
 
 @query("host_rollup", """SELECT ip, flows_out, flows_in, bytes_out, bytes_in, alerts,
@@ -220,12 +219,11 @@ def host_score_mean(s, d):
 
 @query("audit_append", "SELECT * FROM audit")
 def audit_append(s, d):
-    from packetloom.sources.tables import Table
-    table = Table.scratch(s, "audit")
-    log = VW.audit_view(s, d)
-    table.append(log.where("id % 2 = 0"))
-    table.append(log.where("id % 2 = 1"))
-    return table.read()
+    from packetloom.session import scratch_path
+    path, log = scratch_path(s, "audit"), VW.audit_view(s, d)
+    for rest in (0, 1):
+        log.where(F.col("id") % 2 == rest).write.mode("append").parquet(path)
+    return s.read.parquet(path)
 
 
 @query("audit_read", "SELECT * FROM audit ORDER BY ts DESC, id DESC LIMIT 200")
@@ -252,19 +250,55 @@ def incidents_all(s, d):
     return VW.incident_view(s, d).select(*INCIDENT_COLUMNS)
 
 
+def three_captures(alerts: DataFrame) -> DataFrame:
+    """Sequence numbers that start anew in each of three captures."""
+    return alerts.withColumn("capture_id", F.concat(F.lit("cap"), F.col("seq") % 3)).withColumn(
+        "seq", F.expr("seq div 3"))
+
+
+BY_CAPTURE_SQL = """WITH {prefix}, al AS (
+      SELECT * REPLACE ('cap' || (seq % 3) AS capture_id, seq // 3 AS seq) FROM alerts),
+    br AS (SELECT *, CASE WHEN end_us - lag(end_us) OVER (PARTITION BY capture_id, dedup_key
+        ORDER BY end_us, seq) <= 60000000 THEN 0 ELSE 1 END brk FROM al),
+    gr AS (SELECT *, sum(brk) OVER (PARTITION BY capture_id, dedup_key ORDER BY end_us, seq) part FROM br),
+    se AS (SELECT *, ID incident_id FROM gr
+        WINDOW g AS (PARTITION BY capture_id, dedup_key, part ORDER BY end_us, seq))
+    SELECT incident_id AS id, any_value(capture_id) AS capture_id, any_value(dedup_key) AS dedup_key,
+      count(*) AS occurrences, CAST(sum(bytes) AS BIGINT) AS total_bytes, round(max(score), 6) AS score_max,
+      min(seq) AS first_seq FROM se GROUP BY incident_id""".replace("ID", INCIDENT_ID, 1)
+BY_CAPTURE = ["id", "capture_id", "dedup_key", "occurrences", "total_bytes", "score_max", "first_seq"]
+
+
+@query("incidents_by_capture", BY_CAPTURE_SQL)
+def incidents_by_capture(s, d):
+    """Captures whose sequence numbers overlap keep incidents of their own."""
+    alerts = three_captures(VW.alert_view(s, d))
+    return I.build_incidents(alerts, dims.default_assets(s), P, at="end_us").select(*BY_CAPTURE)
+
+
+@query("incidents_by_capture_stream", BY_CAPTURE_SQL)
+def incidents_by_capture_stream(s, d):
+    from packetloom.streaming.sinks import IncidentSink, run_to_end
+    rows = three_captures(flows(s, d)).select(
+        *VERDICT, "sport", "dport", "proto", "confidence", "label", "start_us")
+    sink = IncidentSink(s, dims.default_assets(s), P)
+    run_to_end(stream_of(rows, landed(rows, "verdicts-in")).where("seq >= 0"), "incidents-out", sink)
+    return sink.incidents.last().select(*BY_CAPTURE)
+
+
 @query("incidents_upsert", INCIDENT_SQL)
 def incidents_upsert(s, d):
     """An older state of half the incidents, then the final state of all."""
-    from packetloom.sources.tables import Table
+    from packetloom.sources.tables import Batches
     final = incidents(s, d)
     older = final.where("id % 2 = 0").withColumn("occurrences", F.lit(1).cast("long"))
-    table = Table.scratch(s, "incidents")
-    table.overwrite(older)
-    table.overwrite(I.incidents_upsert(table.read(), final))
-    return table.read().select(*INCIDENT_COLUMNS)
+    table = Batches.scratch(s, "incidents")
+    table.write(older, 0)
+    table.write(I.incidents_upsert(table.last(before=1), final), 1)
+    return table.last().select(*INCIDENT_COLUMNS)
 
 
-@query("incident_export", """SELECT id, i.family, occurrences, least(occurrences, 1000) AS alerts,
+@query("incident_export", """SELECT id, i.family, occurrences, occurrences AS alerts,
     least(distinct_dports, 20) AS ports, round(top_score, 4) AS top_score, mitre_technique AS technique
     FROM incidents i JOIN (SELECT incident_id, max(score) top_score FROM stored GROUP BY 1) a
     ON a.incident_id = i.id""")
@@ -540,7 +574,8 @@ def host_incidents(s, d):
 
 
 @query("host_families", f"""SELECT ip, family, CAST(sum(occurrences) AS BIGINT) AS occurrences
-    FROM (SELECT * FROM {TOUCHING}) GROUP BY ip, family""")
+    FROM (SELECT src ip, * FROM incidents UNION ALL
+      SELECT dst ip, * FROM incidents WHERE src <> dst) GROUP BY ip, family""")
 def host_families(s, d):
     return R.host_families(incidents(s, d), hosts(s, d))
 
@@ -909,7 +944,7 @@ def roc_auc(s, d):
     round(score_max, 6) AS score_max, round(score_mean, 6) AS score_mean, total_bytes, total_packets,
     distinct_dports, distinct_peers FROM gathered""")
 def incident_aggregate(s, d):
-    return I.incident_aggregate(sessions(s, d))
+    return I.incident_aggregate(sessions(s, d)).drop("capture_id", "first_seq")
 
 
 @query("incident_peak", """SELECT incident_id, seq, round(limit_, 6) AS threshold FROM (
@@ -1402,18 +1437,18 @@ def family_recall(s, d):
 @query("class_report", """SELECT label, CASE WHEN named = 0 THEN 0 ELSE round(hits / named, 6) END AS precision,
     CASE WHEN support = 0 THEN 0 ELSE round(hits / support, 6) END AS recall,
     round(2 * hits / (support + named), 6) AS f1, support FROM (
-      SELECT f.family label, (SELECT count(*) FROM predictions WHERE truth = f.family) support,
-        (SELECT count(*) FROM predictions WHERE predicted = f.family) named,
-        (SELECT count(*) FROM predictions WHERE predicted = f.family AND truth = f.family) hits
+      SELECT f.family label, (SELECT count(*) FROM attacks WHERE truth = f.family) support,
+        (SELECT count(*) FROM attacks WHERE predicted = f.family) named,
+        (SELECT count(*) FROM attacks WHERE predicted = f.family AND truth = f.family) hits
       FROM families f WHERE f.family NOT IN ('UNKNOWN', 'BENIGN')) WHERE support + named > 0""")
 def class_report(s, d):
     return E.class_report(VW.prediction_view(s, d))
 
 
 @query("macro_f1", """SELECT round(avg(2 * hits / (support + named)), 6) AS macro_f1 FROM (
-      SELECT f.family label, (SELECT count(*) FROM predictions WHERE truth = f.family) support,
-        (SELECT count(*) FROM predictions WHERE predicted = f.family) named,
-        (SELECT count(*) FROM predictions WHERE predicted = f.family AND truth = f.family) hits
+      SELECT f.family label, (SELECT count(*) FROM attacks WHERE truth = f.family) support,
+        (SELECT count(*) FROM attacks WHERE predicted = f.family) named,
+        (SELECT count(*) FROM attacks WHERE predicted = f.family AND truth = f.family) hits
       FROM families f WHERE f.family NOT IN ('UNKNOWN', 'BENIGN'))""")
 def macro_f1(s, d):
     return E.macro_f1(E.class_report(VW.prediction_view(s, d)))
@@ -1422,7 +1457,7 @@ def macro_f1(s, d):
 ALL_LABELS = [*V.ATTACK_FAMILIES, V.UNKNOWN, V.BENIGN]
 MATRIX = "SELECT f.family AS truth, " + ", ".join(
     f"count(*) FILTER (predicted = '{x}') AS {x}" for x in ALL_LABELS) + (
-    " FROM families f LEFT JOIN predictions p ON p.truth = f.family GROUP BY 1")
+    " FROM families f LEFT JOIN attacks p ON p.truth = f.family GROUP BY 1")
 
 
 @query("confusion_matrix", MATRIX)
@@ -1520,8 +1555,8 @@ def triage_diff(s, d):
 def triage_bulk(s, d):
     """Every flood incident judged a false positive, in requests of at most 500 ids."""
     rows = incidents(s, d)
-    # requests are cut by id range; a range holds at most 500 ids
-    ids = rows.where("family = 'DOS_FLOOD'").groupBy(F.expr("id div 500").alias("batch")).agg(
+    # requests are cut by first alert; a range holds at most 500 ids
+    ids = rows.where("family = 'DOS_FLOOD'").groupBy(F.expr("first_seq div 500").alias("batch")).agg(
         F.collect_list("id").alias("ids"))
     events = TR.triage_bulk(ids, F.lit(VW.NOW), F.col("batch"), "analyst", verdict="FP")
     return TR.triage_apply(rows, events).select("id", "status", "verdict")
@@ -1646,7 +1681,7 @@ def threshold_stream(s, d):
     return out.where("seq >= 0").select("seq", "threshold", "is_alert", "suppressed")
 
 
-VERDICT = ["seq", "end_us", "at_us", "src", "dst", "fwd_bytes", "bwd_bytes", "packets", "bytes",
+VERDICT = ["capture_id", "seq", "end_us", "at_us", "src", "dst", "fwd_bytes", "bwd_bytes", "packets", "bytes",
            "score", "threshold", "is_alert", "family"]
 
 
@@ -1665,7 +1700,7 @@ def incident_session_stream(s, d):
     from packetloom.streaming.sinks import incident_session_stream as merge, run_to_end
     rows = flows(s, d).where("is_alert").select(*VERDICT)
     out = run_to_end(merge(stream_of(rows, landed(rows, "alerts-in")), P), "sessions-out")
-    return s.read.parquet(out).where(F.unix_micros("first_seen") < FUTURE_US)
+    return s.read.parquet(out).where(F.unix_micros("first_seen") < FUTURE_US).drop("capture_id")
 
 
 @query("hosts_stream", """SELECT ip, flows_out, flows_in, bytes_out, bytes_in, alerts, last_us
@@ -1676,7 +1711,7 @@ def hosts_stream(s, d):
     sink = HostSink(s, dims.default_assets(s), P)
     feed = stream_of(rows, landed(rows, "verdicts-in")).where("seq >= 0")
     run_to_end(feed, "hosts-out", sink)
-    return sink.table.read().select(
+    return sink.table.last().select(
         "ip", "flows_out", "flows_in", "bytes_out", "bytes_in", "alerts", "last_us")
 
 
@@ -1702,7 +1737,7 @@ def incidents_stream(s, d):
     rows = flows(s, d).select(*VERDICT, "sport", "dport", "proto", "confidence", "label", "start_us")
     sink = IncidentSink(s, dims.default_assets(s), P)
     run_to_end(stream_of(rows, landed(rows, "verdicts-in")).where("seq >= 0"), "incidents-out", sink)
-    return sink.incidents.read().select(
+    return sink.incidents.last().select(
         "id", "dedup_key", "family", "src", "occurrences", "severity", "priority", "total_bytes")
 
 
@@ -1719,7 +1754,8 @@ FLAGSHIP_SQL = """WITH RECURSIVE {prefix}, scored AS (
     br AS (SELECT *, CASE WHEN export_us - lag(export_us) OVER (PARTITION BY dedup_key
         ORDER BY export_us, flow_id) <= 60000000 THEN 0 ELSE 1 END brk FROM al),
     gr AS (SELECT *, sum(brk) OVER (PARTITION BY dedup_key ORDER BY export_us, flow_id) part FROM br),
-    inc AS (SELECT arg_min(flow_id, (export_us, flow_id)) id, dedup_key, any_value(family) family,
+    inc AS (SELECT ('0x' || substr(md5(concat_ws('|', 'events', dedup_key, min(export_us),
+          arg_min(flow_id, (export_us, flow_id)))), 1, 15))::BIGINT id, dedup_key, any_value(family) family,
         arg_min(dst, (export_us, flow_id)) dst, min(export_us) first_seen, max(export_us) last_seen,
         count(*) occurrences, max(score) score_max, CAST(sum(bf + bb) AS BIGINT) total_bytes,
         count(DISTINCT dport) distinct_dports FROM gr GROUP BY dedup_key, part),

@@ -135,17 +135,17 @@ def prediction_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = f"""case when seq % 97 = 0 then 'UNKNOWN'
                     when seq % 5 = 0 then {wrong} else family end"""
     return flow_view(spark, sf_dir).select(
-        "capture_id", "seq", F.col("family").alias("truth"),
+        "capture_id", "seq", F.expr("case when seq % 13 = 0 then 'BENIGN' else family end").alias("truth"),
         F.expr(predicted).alias("predicted"), "score")
 
 
 def triage_view(spark: SparkSession, sf_dir: str, incidents: DataFrame) -> DataFrame:
-    """Error events as analyst actions on the incident with the next id."""
+    """Error events as analyst actions on the incident that opens next."""
     actions = base(spark, sf_dir).where("et = 'error'").select(
         (-F.col("e")).alias("neg"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"),
         "e", "u", "wall_us")
     marks = incidents.select(
-        (-F.col("id")).alias("neg"), F.lit(0).alias("kind"), "id",
+        (-F.col("first_seq")).alias("neg"), F.lit(0).alias("kind"), "id",
         F.lit(None).cast("long").alias("e"), F.lit(None).cast("long").alias("u"),
         F.lit(None).cast("long").alias("wall_us"))
     found = running(actions.unionByName(marks), [], ["neg", "kind"],

@@ -221,7 +221,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     from packetloom.functions.scalars import ipv4_text
 
     return net.select(
-        F.element_at(F.split("path", "/"), -1).alias("capture_id"), "seq", "ts_us",
+        F.col("path").alias("capture_id"), "seq", "ts_us",  # files of one name in two folders differ
         ipv4_text(_number(F.col("ip") + 12, 4)).alias("src"),
         ipv4_text(_number(F.col("ip") + 16, 4)).alias("dst"),
         F.when(tcp, "tcp").when(udp, "udp").when(icmp, "icmp").otherwise("other").alias("proto"),

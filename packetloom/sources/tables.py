@@ -5,46 +5,43 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.session import scratch_path
 
 
 @dataclass
-class Table:
-    """A Parquet table in versions. A version becomes current only when it is complete."""
+class Batches:
+    """A folder for each micro-batch. A batch that runs again overwrites its own folder.
+
+    What a batch reads was written by the batches before it, so nothing half-written is seen.
+    """
 
     spark: SparkSession
     path: str
 
     @classmethod
-    def scratch(cls, spark: SparkSession, name: str) -> Table:
+    def scratch(cls, spark: SparkSession, name: str) -> Batches:
         return cls(spark, scratch_path(spark, name))
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and done(n))
-
-    def exists(self) -> bool:
-        return bool(self._versions())
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._versions()[-1]}")
-
-    def append(self, df: DataFrame) -> None:
-        current = self._versions() or [0]
-        df.write.mode("append").parquet(f"{self.path}/v{current[-1]}")
-
-    def overwrite(self, df: DataFrame) -> None:
-        """Write the next version; ``df`` may read the current one."""
-        nxt = (self._versions() or [-1])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{nxt}")
+    def write(self, df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """All batches, or those before one; None if there are none."""
+        try:
+            found = self.spark.read.parquet(self.path)
+        except AnalysisException:  # nothing was written yet
+            return None
+        found = found.withColumn("batch", F.col("batch").cast("long"))
+        return found if before is None else found.where(F.col("batch") < before)
+
+    def last(self, before: int | None = None) -> DataFrame | None:
+        """The newest batch: the state of a table that every batch writes whole."""
+        found = self.read(before)
+        newest = found.agg(F.max("batch")).first()[0] if found is not None else None
+        return None if newest is None else found.where(F.col("batch") == newest).drop("batch")
 
 
 _NOTE = "features"

@@ -41,9 +41,9 @@ class _Host(StatefulProcessor):
             yield shape(*[row[c] for c in self.columns], *self.step(state, row))
         if alarm:
             self.handle.deleteTimer(alarm)
-        alarm = 0
-        if self.keep_s is not None:
-            alarm = last // 1000 + self.keep_s * 1000 + 1
+        alarm = alarm or 0
+        if self.keep_s is not None:  # a late row never brings the alarm forward
+            alarm = max(alarm, last // 1000 + self.keep_s * 1000 + 1)
             self.handle.registerTimer(alarm)
         self.held.update((pickle.dumps(state), alarm))
 

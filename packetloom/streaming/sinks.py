@@ -10,7 +10,7 @@ from packetloom.functions import scalars as S
 from packetloom.operators import incidents as I, rollups as RU
 from packetloom.params import SECOND, Params
 from packetloom.session import scratch_path
-from packetloom.sources.tables import Table
+from packetloom.sources.tables import Batches
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,36 +48,30 @@ def incident_session_stream(alerts: DataFrame, p: Params = Params(),
     """Incidents as session windows per dedup key; a gap of exactly the limit still merges."""
     keyed = alerts.withColumn("dedup_key", S.dedup_key()).withWatermark("ts", lateness)
     session = F.session_window("ts", f"{p.dedup_s} seconds")
-    return keyed.groupBy("dedup_key", session).agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min("seq").alias("incident_id"),
+    keys = [*I.capture_keys(alerts), "dedup_key"]
+    first = F.min(F.struct(F.unix_micros("ts").alias("at"), "seq"))
+    return keyed.groupBy(*keys, session).agg(
+        F.count(F.lit(1)).alias("occurrences"), first.alias("head"),
         F.max("score").alias("score_max"), F.sum("bytes").alias("total_bytes"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-    ).select("incident_id", "dedup_key", "occurrences", "score_max", "total_bytes",
+    ).withColumn("incident_id", S.incident_id(
+        *[F.col(c) for c in keys], F.col("head.at"), F.col("head.seq")),
+    ).select("incident_id", *keys, "occurrences", "score_max", "total_bytes",
              "first_seen", "last_seen")
 
 
 class HostSink:
-    """Sum-merges each micro-batch into the host table.
-
-    Versions carry the batch number, so a batch that is run again after a failure is
-    recognised and not added twice.
-    """
+    """Sum-merges each micro-batch into the host table; each batch writes the table after it."""
 
     def __init__(self, spark: SparkSession, assets: DataFrame, p: Params = Params()):
         self.assets, self.p = assets, p
-        self.table = Table.scratch(spark, "hosts")
+        self.table = Batches.scratch(spark, "hosts")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         deltas = RU.host_rollup(batch)
-        if self.table.exists():
-            current = self.table.read()
-            if current.agg(F.max("batch")).first()[0] >= number:
-                return
-            current = current.drop("asset_name", "criticality", "batch")
-        else:
-            current = RU.empty_hosts(deltas)
-        merged = RU.hosts_upsert(current, deltas, self.assets, self.p)
-        self.table.overwrite(merged.withColumn("batch", F.lit(number).cast("long")))
+        current = self.table.last(before=number)
+        current = RU.empty_hosts(deltas) if current is None else current.drop("asset_name", "criticality")
+        self.table.write(RU.hosts_upsert(current, deltas, self.assets, self.p), number)
 
 
 class TickSink:
@@ -85,60 +79,52 @@ class TickSink:
 
     def __init__(self, spark: SparkSession, p: Params = Params()):
         self.p = p
-        self.ticks = Table.scratch(spark, "ticks")
-        self.open = Table.scratch(spark, "open")
+        self.ticks = Batches.scratch(spark, "ticks")
+        self.open = Batches.scratch(spark, "open")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        prior = self.ticks.read() if self.ticks.exists() else None
-        if prior is not None and not prior.where(F.col("batch") == number).isEmpty():
-            return  # already written before a restart
-        keyed = batch.where("is_alert").withColumn("dedup_key", S.dedup_key())
-        heads = keyed.groupBy("dedup_key").agg(F.max("at_us").alias("last_us"))
-        if self.open.exists():
-            heads = heads.unionByName(self.open.read()).groupBy("dedup_key").agg(
-                F.max("last_us").alias("last_us"))
         now = batch.agg(F.max("at_us")).first()[0]
         if now is None:
             return
+        keys = [*I.capture_keys(batch), "dedup_key"]
+        keyed = batch.where("is_alert").withColumn("dedup_key", S.dedup_key())
+        heads = keyed.groupBy(*keys).agg(F.max("at_us").alias("last_us"))
+        before = self.open.last(before=number)
+        if before is not None:
+            heads = heads.unionByName(before).groupBy(*keys).agg(F.max("last_us").alias("last_us"))
         # incidents whose gap has passed leave the open set
-        self.open.overwrite(heads.where(F.col("last_us") >= now - self.p.dedup_s * SECOND))
-        opened = self.open.read().count()
+        self.open.write(heads.where(F.col("last_us") >= now - self.p.dedup_s * SECOND), number)
+        opened = self.open.last().count()
         row = batch.agg(
             F.count(F.lit(1)).alias("flows"), F.sum("packets").alias("packets"),
             F.sum("bytes").alias("bytes"), S.count_if(F.col("is_alert")).alias("alerts"),
             F.avg("score").alias("score_mean"), F.max("score").alias("score_max"),
             F.avg("threshold").alias("threshold_mean"))
+        prior = self.ticks.read(before=number)
         past = prior.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in
                            ("flows", "alerts")]).first() if prior is not None else (0, 0)
-        self.ticks.append(row.withColumns({
-            "batch": F.lit(number).cast("long"), "at_us": F.lit(now),
-            "touched": F.lit(keyed.select("dedup_key").distinct().count()),
+        self.ticks.write(row.withColumns({
+            "at_us": F.lit(now), "touched": F.lit(keyed.select(*keys).distinct().count()),
             "open_incidents": F.lit(opened).cast("long"),
             "flows_total": F.col("flows") + F.lit(past[0]),
-            "alerts_total": F.col("alerts") + F.lit(past[1])}))
+            "alerts_total": F.col("alerts") + F.lit(past[1])}), number)
 
 
 class IncidentSink:
-    """Keeps alerts and recomputes the incidents a batch touched."""
+    """Appends each batch's alerts and recomputes the incidents of the keys that it touched."""
 
     def __init__(self, spark: SparkSession, assets: DataFrame, p: Params = Params()):
         self.assets, self.p = assets, p
-        self.alerts = Table.scratch(spark, "alerts")
-        self.incidents = Table.scratch(spark, "incidents")
+        self.alerts = Batches.scratch(spark, "alerts")
+        self.incidents = Batches.scratch(spark, "incidents")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        new = batch.where("is_alert").withColumns({
-            "dedup_key": S.dedup_key(), "batch": F.lit(number).cast("long")})
-        kept = self.alerts.read() if self.alerts.exists() else new.limit(0)
-        # alerts of a batch run again replace the ones it wrote before
-        kept = kept.where(F.col("batch") != number)
-        self.alerts.overwrite(kept.unionByName(new))
-        stored = self.alerts.read()
-        touched = new.select("dedup_key").distinct()
+        keys = [*I.capture_keys(batch), "dedup_key"]
+        self.alerts.write(batch.where("is_alert").withColumn("dedup_key", S.dedup_key()), number)
+        stored = self.alerts.read(before=number + 1)
+        touched = stored.where(F.col("batch") == number).select(*keys).distinct()
         fresh = I.build_incidents(
-            stored.join(touched, "dedup_key", "left_semi").drop("dedup_key", "batch"),
-            self.assets, self.p)
-        if self.incidents.exists():
-            self.incidents.overwrite(I.incidents_upsert(self.incidents.read(), fresh))
-        else:
-            self.incidents.overwrite(fresh)
+            stored.join(touched, keys, "left_semi").drop("dedup_key", "batch"), self.assets, self.p)
+        current = self.incidents.last(before=number)
+        self.incidents.write(
+            fresh if current is None else I.incidents_upsert(current, fresh, touched), number)

@@ -5,7 +5,7 @@ import pytest
 from packetloom import schemas
 from packetloom.functions.payload import payload_entropy, payload_entropy_arrow
 from packetloom.sources.pcap import located_ranges, pcap_scan, pcap_unsupported
-from packetloom.sources.tables import Table, dataset_read, dataset_write
+from packetloom.sources.tables import Batches, dataset_read, dataset_write
 
 
 def ipv4(proto, body, src="1.2.3.4", dst="5.6.7.8", options=0):
@@ -101,10 +101,17 @@ def test_dataset_refuses_another_feature_list(spark, tmp_path):
         dataset_read(spark, str(tmp_path / "d"), ("b", "a"))
 
 
-def test_an_unfinished_version_is_not_read(spark, tmp_path):
-    t = Table(spark, str(tmp_path / "t"))
-    t.overwrite(spark.range(3))
-    (tmp_path / "t" / "v1").mkdir()
-    assert t.read().count() == 3
-    t.overwrite(spark.range(5))
-    assert t.read().count() == 5
+def test_a_batch_that_runs_again_replaces_its_own_rows(spark, tmp_path):
+    t = Batches(spark, str(tmp_path / "t"))
+    assert t.read() is None and t.last() is None
+    t.write(spark.range(3), 0)
+    t.write(spark.range(9), 1)  # half done, say
+    t.write(t.last(before=1).limit(2), 1)
+    assert t.read().count() == 5 and t.last().count() == 2 and t.read(before=1).count() == 3
+
+
+def test_captures_of_one_name_in_two_folders_differ(spark, tmp_path):
+    for day in ("day1", "day2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "x.pcap").write_bytes(capture([(3, 250, ether(ipv4(6, tcp(1, 2, 2))))]))
+    assert len({r.capture_id for day in ("day1", "day2") for r in scan(spark, tmp_path / day)}) == 2
