@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import lookup, partitions, stored
+from packetloom.llm.common import cleaned_up, lookup, partitions, stored
 from packetloom.llm.winnow import anchors, byte_grams, runs, slices
 from packetloom.llm.words import chunks, gram_hashes
 from packetloom.session import scratch_path
@@ -78,8 +78,9 @@ def classes(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("class", F.xxhash64("text"))
     name, spark = f"classes_{uuid.uuid4().hex}", docs.sparkSession
     one = rows.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("size"), F.first("text").alias("text"))
-    one.write.bucketBy(partitions(spark), "class").sortBy("class").option("compression", "zstd").option(
-        "path", scratch_path(spark, "classes")).saveAsTable(name)
+    with cleaned_up(spark):
+        one.write.bucketBy(partitions(spark), "class").sortBy("class").option("compression", "zstd").option(
+            "path", scratch_path(spark, "classes")).saveAsTable(name)
     return rows.select("doc_id", "id", "class"), spark.table(name)
 
 
@@ -97,10 +98,11 @@ def shared_anchors(texts: DataFrame, unit: Unit, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("class").take(pa.array(owner[new])), pa.array(h[new], pa.int64())], ["class", "h"])
 
-    found = texts.select("class", "text").mapInArrow(find, "class long, h long")
-    found = stored(found, "anchors")
+    # both uses read one exchange: a row for each anchor and class crosses once
+    found = texts.select("class", "text").mapInArrow(find, "class long, h long").repartition(
+        partitions(texts.sparkSession), "h")
     twice = found.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a != b").select("h")
-    return stored(found.join(twice, "h", "left_semi").groupBy("class").agg(F.collect_list("h").alias("hashes")), "shared")
+    return stored(found.join(twice.hint("merge"), "h").groupBy("class").agg(F.collect_list("h").alias("hashes")), "shared")
 
 
 def contexts(texts: DataFrame, shared: DataFrame, unit: Unit, length: int) -> DataFrame:
