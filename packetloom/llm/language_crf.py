@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, StructType
 from packetloom.llm.common import table, unused
 
 #: Labelled documents per language that the model is fitted on: the bound of the training sample.
-PER_LANGUAGE = 150
+PER_LANGUAGE = 100
 #: log2 of the feature table; with float32 weights it takes 4 bytes x languages for each entry.
 BITS = 17
 GRAMS = (1, 2, 3, 4)
@@ -154,30 +154,33 @@ def fit(texts: list[str], labels: list[str], bits: int = BITS, rounds: int = ROU
     ids, truth, chain = ids[order], truth[order], chain[order]
     begins = np.concatenate([[True], chain[1:] != chain[:-1]])
 
-    feats, starts = features(words, bits)
-    per_word = np.diff(np.append(starts, len(feats)))
+    parts = [features(words[a:a + 20_000], bits) for a in range(0, len(words), 20_000)]
+    per_word = np.concatenate([np.diff(np.append(begin, len(found))) for found, begin in parts])
+    feats = np.concatenate([found.astype(np.int32) for found, _ in parts])
+    starts = np.cumsum(per_word) - per_word
+    del parts
     k, v = len(names), len(words)
-    right = np.zeros((len(ids), k))
+    right = np.zeros((len(ids), k), np.float32)
     right[np.arange(len(ids)), truth] = 1
     inner = np.flatnonzero(~begins)
     seen = np.zeros((k, k))
     np.add.at(seen, (truth[inner - 1], truth[inner]), 1)
-    weights, jumps = np.zeros((1 << bits, k)), np.zeros((k, k))
+    # one row of weights per label: the driver holds one label's features at a time
+    weights, jumps = np.zeros((k, 1 << bits), np.float32), np.zeros((k, k))
     size_w, size_j = np.full_like(weights, 1e-8), np.full_like(jumps, 1e-8)
     for _ in range(rounds):
-        scores = np.add.reduceat(weights[feats], starts, axis=0)[ids]
+        scores = np.stack([np.add.reduceat(weights[j][feats], starts) for j in range(k)], 1)[ids]
         likely, pairs = marginals(scores, begins, jumps)
         miss = right - likely
-        by_word = np.stack([np.bincount(ids, miss[:, j], v) for j in range(k)], 1)
-        spread = np.repeat(by_word, per_word, axis=0)
-        slope = np.stack([np.bincount(feats, spread[:, j], 1 << bits) for j in range(k)], 1)
-        slope -= SHRINK * len(ids) * weights
-        size_w += slope ** 2
-        weights += RATE * slope / np.sqrt(size_w)
+        for j in range(k):
+            by_word = np.bincount(ids, miss[:, j], v).astype(np.float32)
+            slope = np.bincount(feats, np.repeat(by_word, per_word), 1 << bits) - SHRINK * len(ids) * weights[j]
+            size_w[j] += slope ** 2
+            weights[j] += RATE * slope / np.sqrt(size_w[j])
         step = seen - pairs
         size_j += step ** 2
         jumps += RATE * step / np.sqrt(size_j)
-    return LanguageModel(names, weights.astype(np.float32), jumps.astype(np.float32))
+    return LanguageModel(names, np.ascontiguousarray(weights.T), jumps.astype(np.float32))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
