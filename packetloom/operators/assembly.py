@@ -195,12 +195,21 @@ def moments(prefix: str, n: str, total: Column, squares: str) -> dict[str, Colum
     return {f"mean_{prefix}": mean, f"std_{prefix}": std}
 
 
+def measured(packets: DataFrame) -> DataFrame:
+    """Length and entropy in place of the payload, so that no shuffle carries it."""
+    if "payload" not in packets.columns:
+        return packets
+    return packets.withColumns({
+        "payload_len": F.octet_length("payload").cast("long"),
+        "entropy": payload_entropy_arrow("payload")}).drop("payload")
+
+
 def flow_sums(directed: DataFrame) -> DataFrame:
     """One aggregate per flow: everything the features and the clock need."""
     fwd, flags = F.col("forward"), F.col("flags")
     bit = lambda b: S.has_flag(flags, b)
     size = F.col("size").cast("long")
-    length = F.octet_length("payload").cast("long")
+    length = F.col("payload_len")
     iat = S.seconds(F.col("iat_us"))
     at = F.struct(*ORDER)
     some = length > 0
@@ -231,8 +240,7 @@ def flow_sums(directed: DataFrame) -> DataFrame:
         "label": F.coalesce(
             F.max_by("label", F.when(F.col("label") != V.BENIGN, at)), F.lit(V.BENIGN)),
     }
-    measured = directed.withColumn("entropy", payload_entropy_arrow("payload"))
-    return measured.groupBy("capture_id", "flow_id").agg(
+    return measured(directed).groupBy("capture_id", "flow_id").agg(
         *[c.alias(k) for k, c in aggs.items()])
 
 
@@ -287,7 +295,7 @@ def flow_export(flows: DataFrame, packets: DataFrame, p: Params = Params(),
 
 def assemble_flows(packets: DataFrame, p: Params = Params(), clock: str = "capture") -> DataFrame:
     """Packets of any number of captures to exported flows with 33 features."""
-    directed = flow_direction(flow_boundaries(packets, p, clock))
+    directed = flow_direction(flow_boundaries(measured(packets), p, clock))
     # one narrow row per flow, read twice by the clock look-up
     flows = materialise(flow_features(flow_sums(directed)), "flows")
     return flow_export(flows, packets, p, clock)

@@ -72,12 +72,19 @@ def asset_lookup(df: DataFrame, ip: str, assets: DataFrame, p: Params = Params()
         }).drop("_num", *helpers)
     # large inventory: resolve each distinct address once, by shuffle, then join back
     addresses = df.select(F.col(ip).alias("_ip")).distinct().withColumn("_num", S.ipv4_number(F.col("_ip")))
+    # every address is in 0.0.0.0/0: that one network is a default, not a key
+    every = nets.where("length = 0").select(F.col("asset").alias("_every"))
+    narrow = [x for x in lengths if x]
     tried = addresses.withColumn(
-        "length", F.explode(F.array(*[F.lit(x) for x in lengths]))
+        "length", F.explode(F.array(*[F.lit(x) for x in narrow]).cast("array<int>"))
     ).withColumn("network", _mask(F.col("_num"), F.col("length")))
     best = tried.join(nets, ["length", "network"]).groupBy("_ip").agg(
         F.max_by("asset", "length").alias("_asset"))
-    return df.join(best, F.col(ip) == F.col("_ip"), "left").withColumns({
+    joined = df.join(best, F.col(ip) == F.col("_ip"), "left")
+    if 0 in lengths:
+        joined = joined.join(F.broadcast(every), number.isNotNull(), "left").withColumn(
+            "_asset", F.coalesce("_asset", "_every")).drop("_every")
+    return joined.withColumns({
         "asset_name": F.coalesce(F.col("_asset.name"), F.lit(name)),
         "asset_criticality": F.coalesce(F.col("_asset.criticality"), F.lit(crit)),
     }).drop("_ip", "_asset")

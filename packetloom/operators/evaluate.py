@@ -13,6 +13,7 @@ from packetloom.operators.incidents import count_incidents
 from packetloom.operators.slices import RunSum, running
 from packetloom.params import Params
 
+LATENCY_SLOT_US = 60_000_000
 SCORE_SLICES = 65_536  # slices of the score axis for running sums over all scores
 
 
@@ -103,11 +104,16 @@ def attack_window_latency(verdicts: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def attack_window_latency_each(verdicts: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per window: its own first alert between start and end."""
+    """Per window: its own first alert between start and end.
+
+    Alerts and windows meet in slots of time, so that an alert only sees the windows around it.
+    """
+    slot = lambda c: F.floor(F.col(c) / F.lit(LATENCY_SLOT_US))
     alerts = verdicts.where(F.col("is_alert") & (F.col("label") != V.BENIGN)).select(
-        "capture_id", F.col("label").alias("family"), "export_us")
+        "capture_id", F.col("label").alias("family"), "export_us", slot("export_us").alias("_slot"))
+    spread = windows.withColumn("_slot", F.explode(F.sequence(slot("start_us"), slot("end_us"))))
     inside = F.col("export_us").between(F.col("start_us"), F.col("end_us"))
-    return (windows.join(alerts, ["capture_id", "family"]).where(inside)
+    return (spread.join(alerts, ["capture_id", "family", "_slot"]).where(inside)
             .groupBy("capture_id", "family", "start_us")
             .agg((S.seconds(F.min("export_us") - F.first("start_us"))).alias("latency_s")))
 

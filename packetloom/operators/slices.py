@@ -159,12 +159,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                spread_on: Sequence[str], salts: int = 32, rank: str | None = None) -> DataFrame:
+                spread_on: Sequence[str], salts: int | None = None, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``, which must be total.
 
     Ranked inside salted sub-groups first (salt from the ``spread_on`` columns), so at
-    most n rows per salt of a busy key meet in the final ranking.
+    most n rows per salt of a busy key meet in the final ranking. By default there are as many
+    salts as shuffle partitions, which follow the size of the data.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
     place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
     first = salted.withColumn("_rn", place(*keys, "_salt")).where(F.col("_rn") <= n)

@@ -16,9 +16,14 @@ from packetloom.sources.tables import Batches
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def late_rows(progress: list) -> int:
+    """Rows that came after the watermark had passed them and were dropped."""
+    return sum(state.numRowsDroppedByWatermark for p in progress for state in p.stateOperators)
+
+
 def run_to_end(df: DataFrame, name: str, sink: Callable | None = None,
-               mode: str = "append") -> str:
-    """Drain what has landed and stop; returns the output path."""
+               mode: str = "append", counts: dict[str, int] | None = None) -> str:
+    """Drain what has landed and stop; returns the output path. ``counts`` gets the late rows."""
     # keyed state with timers needs this store; the session default does not offer them
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = scratch_path(df.sparkSession, name)
@@ -27,7 +32,10 @@ def run_to_end(df: DataFrame, name: str, sink: Callable | None = None,
         writer = writer.format("parquet").option("path", out).outputMode(mode)
     else:
         writer = writer.foreachBatch(sink).outputMode("append")
-    writer.start().awaitTermination()
+    query = writer.start()
+    query.awaitTermination()
+    if counts is not None:
+        counts["late"] = late_rows(query.recentProgress)
     return out
 
 
