@@ -37,6 +37,10 @@ PIPELINE_SHINGLE, PIPELINE_SHARE = 5, 80
 PART = 0.25
 #: Classes up to this many are broadcast to pick their texts; 40 bytes each.
 BROADCAST_KEYS = 500_000
+#: What hashing and shuffling one subset costs, in entries of a list that is scanned.
+ENUMERATE = 10
+#: Signatures that a task hands on at once.
+HANDED_ON = 200_000
 #: Star rounds before the remaining pairs are compared.
 STARS = 3
 
@@ -130,7 +134,7 @@ def subsets(n: int, share: int) -> int:
 def boundary(scan: float, share: int) -> int:
     """The largest size up to which enumerating costs no more than scanning lists of that length."""
     n = 1
-    while subsets(n + 1, share) <= (n + 2 - overlap(n + 1, n + 1, share)) * max(scan, 2.0):
+    while ENUMERATE * subsets(n + 1, share) <= (n + 2 - overlap(n + 1, n + 1, share)) * scan:
         n += 1
     return n
 
@@ -141,22 +145,29 @@ def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, found = [], []
-            for i, (n, whole) in enumerate(zip(b.column("n").to_pylist(), b.column("whole").to_pylist(), strict=True)):
-                items = np.frombuffer(whole, np.int64)
-                out = []
+
+            def handed_on(b=b, at=at, found=found) -> pa.RecordBatch:
+                where = pa.array(np.concatenate(at) if at else [], pa.int64())
+                out = pa.array(np.concatenate(found) if found else [], pa.int64())
+                at.clear()
+                found.clear()
+                return pa.RecordBatch.from_arrays(
+                    [*(b.column(c).take(where) for c in ("key", "n", "apart")), out], ["key", "n", "apart", "h"])
+
+            for i, (n, whole) in enumerate(zip(b.column("n").to_pylist(), b.column("whole"), strict=True)):
+                items = np.frombuffer(whole.as_buffer(), np.int64)
                 if small * 100 // share >= n:  # it may meet a small set
                     sizes = {overlap(n, m, share) for m in partner_sizes(n, share) if min(n, m) <= small}
-                    for k in sorted(s for s in sizes if s <= n):
-                        for gone in combinations(range(n), n - k):
-                            rest = np.delete(items, gone)
-                            out.append(_key(rest))
+                    own_subsets = [_key(np.delete(items, gone)) for k in sizes if k <= n for gone in combinations(range(n), n - k)]
+                    found.append(np.array(own_subsets, np.int64))
+                    at.append(np.full(len(own_subsets), i))
                 if n > small:
-                    out.extend(items[:n - (-(-share * n // 100)) + 1].tolist())
-                at.extend([i] * len(out))
-                found.extend(out)
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(where) for c in ("key", "n", "apart")), pa.array(found, pa.int64())], ["key", "n", "apart", "h"])
+                    prefix = items[:n - (-(-share * n // 100)) + 1]
+                    found.append(prefix)
+                    at.append(np.full(len(prefix), i))
+                if sum(map(len, found[-2:])) > HANDED_ON or i % 64 == 63 and sum(map(len, found)) > HANDED_ON:
+                    yield handed_on()
+            yield handed_on()
 
     each = own.mapInArrow(lists, "key long, n long, apart double, h long")
     twice = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
