@@ -20,7 +20,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINES = (
     "flow_assembly", "flow_aggregate", "host_window_sums", "host_window_distinct", "dst_window",
     "pair_repeat_max", "beacon_regularity", "incident_sessions", "incident_aggregate",
-    "adaptive_threshold", "bucket_rollup", "host_rollup", "global_prev_ts", "average_precision",
+    "adaptive_threshold", "flow_dataset", "pcap_scan", "bucket_rollup", "host_rollup", "global_prev_ts", "average_precision",
 )
 
 

@@ -1771,6 +1771,14 @@ FLAGSHIP_SQL = """WITH RECURSIVE {prefix}, scored AS (
       first_seen, last_seen, total_bytes, distinct_dports, round(score_max, 6) AS score_max FROM pri"""
 
 
+@query("packets_to_verdicts")
+def packets_to_verdicts(s, d):
+    """The whole main path: every flow with its score, family and judgement, on all features."""
+    from packetloom.plans.flagship import packets_to_verdicts as judge
+    return judge(packets(s, d), P).select(
+        "flow_id", "score", "threshold", "is_alert", "suppressed", "family", "confidence", "label")
+
+
 @query("packets_to_incidents", FLAGSHIP_SQL)
 def packets_to_incidents(s, d):
     from packetloom.plans.flagship import packets_to_incidents as flagship
