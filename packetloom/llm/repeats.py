@@ -5,10 +5,10 @@
    shuffled again.
 2. Windows are looked for where their anchors are shared with another class (`winnow`).
 3. Around each shared anchor the windows that it stands for are cut out as one context. Equal
-   contexts are counted once, whatever the number of documents that have them.
+   contexts of an anchor that stands at very many places are counted once before they move.
 4. Contexts are grouped into shards by anchor, and an index over a shard (`Solver`) tells for each
-   window the smallest id of a document that has it. Anchors with very many contexts go
-   window by window through an aggregation instead.
+   window the smallest id of a document that has it. Anchors with very many different contexts
+   go window by window through an aggregation instead.
 5. Contexts are joined back to the places where they stand, and what is covered by repeated
    windows is removed.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import cleaned_up, lookup, partitions, stored
+from packetloom.llm.common import cleaned_up, lookup, partitions, small, stored
 from packetloom.llm.winnow import anchors, byte_grams, runs, slices
 from packetloom.llm.words import chunks, gram_hashes
 from packetloom.session import scratch_path
@@ -135,28 +135,39 @@ def contexts(texts: DataFrame, shared: DataFrame, unit: Unit, length: int) -> Da
 
 def solved(places: DataFrame, unit: Unit, length: int, solve: Solver, hot: int) -> DataFrame:
     """code, skip, count, source: `count` windows of a context from `skip` on start first in document source."""
-    once = stored(places.groupBy("h", "code", "windows", "context").agg(
-        F.min("first").alias("source"), F.max("first").alias("latest")), "distinct")
-    size = once.agg(F.sum(F.length("context")), F.count("*")).first()
+    size = places.agg(F.sum(F.length("context")), F.count("*")).first()
+    columns = ["h", "code", "windows", "context", "source", "latest"]
     if not size[1]:
-        return once.select("code", F.lit(0).alias("skip"), F.lit(0).alias("count"), "source")
+        return places.select("code", F.lit(0).alias("skip"), F.lit(0).alias("count"), F.col("first").alias("source"))
     shards = max(1, -(-size[0] // (SHARD * (6 if unit.words else 1))))
-    many = once.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h")
+    # what stands at very many places is counted once before it moves; of the rest a shard holds all places
+    busy = stored(places.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h"), "busy")
+    plain = places.join(small(busy), "h", "left_anti").select(
+        "h", "code", "windows", "context", F.col("first").alias("source"), F.col("first").alias("latest"))
+    once = stored(places.join(small(busy), "h").groupBy("h", "code", "windows", "context").agg(
+        F.min("first").alias("source"), F.max("first").alias("latest")).select(*columns), "distinct")
+    many = stored(once.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h"), "many")
 
     def shard(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        bodies, windows = group.column("context").to_pylist(), group.column("windows").to_numpy().astype(np.int64)
-        best = solve(bodies, windows, group.column("source").to_numpy())
+        coded = group.column("context").combine_chunks().dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        turn = np.argsort(which, kind="stable")
+        begin = np.flatnonzero(np.diff(which[turn], prepend=-1))
+        column = lambda name: group.column(name).to_numpy()[turn]
+        windows, codes = column("windows").astype(np.int64)[begin], column("code")[begin]
+        source, latest = np.minimum.reduceat(column("source"), begin), np.maximum.reduceat(column("latest"), begin)
+        best = solve(coded.dictionary.to_pylist(), windows, source)
         owner = np.repeat(np.arange(len(windows)), windows)
         skip = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         turn = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (best[1:] != best[:-1])]))
         count = np.diff(np.append(turn, len(owner)))
-        used = best[turn] < group.column("latest").to_numpy()[owner[turn]]
+        used = best[turn] < latest[owner[turn]]
         turn, count = turn[used], count[used]
-        return pa.table([group.column("code").take(pa.array(owner[turn])), pa.array(skip[turn], pa.int32()),
+        return pa.table([pa.array(codes[owner[turn]], pa.int64()), pa.array(skip[turn], pa.int32()),
                          pa.array(count, pa.int32()), pa.array(best[turn], pa.int64())], ["code", "skip", "count", "source"])
 
-    cold = once.join(many, "h", "left_anti").withColumn("shard", F.pmod("h", F.lit(shards)))
+    cold = plain.unionByName(once.join(small(many), "h", "left_anti").select(*columns)).withColumn(
+        "shard", F.pmod("h", F.lit(shards)))
     out = cold.select("shard", "code", "windows", "context", "source", "latest").groupBy("shard").applyInArrow(
         shard, "code long, skip int, count int, source long")
     # an anchor with very many contexts: its windows, one by one, to the smallest source
@@ -166,7 +177,7 @@ def solved(places: DataFrame, unit: Unit, length: int, solve: Solver, hot: int)
     else:
         symbols = F.col("context")
         window = F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.unhex(F.md5(F.substring("symbols", i, F.lit(length)))))
-    each = once.join(many, "h").withColumn("symbols", symbols).select("code", "source", "latest", F.posexplode(window).alias("skip", "window"))
+    each = once.join(small(many), "h").withColumn("symbols", symbols).select("code", "source", "latest", F.posexplode(window).alias("skip", "window"))
     least = each.groupBy("window").agg(F.min("source").alias("least"))
     single = each.join(least, "window").filter("least < latest").select(
         "code", F.col("skip").cast("int").alias("skip"), F.lit(1).alias("count"), F.col("least").alias("source"))
