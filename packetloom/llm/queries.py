@@ -19,5 +19,7 @@ QUERIES = {
 ORACLE = {
     "op1_ngram_jaccard_join": jaccard_join.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
+    "op5_quotation_linking": quote_links.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
+    "op7_substring_dedup": fm_index.SQL,
 }

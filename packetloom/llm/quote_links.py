@@ -119,3 +119,45 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role,
+         regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+l AS (SELECT r, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM m),
+x AS (SELECT r, conv_id, turn, p, regexp_replace(line, '^(?:[ \t]*>)+', '') AS body,
+             length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS lv FROM l),
+y AS (SELECT *, lag(lv) OVER w AS pl, coalesce(lead(lv) OVER w, 0) AS nl FROM x
+      WINDOW w AS (PARTITION BY r ORDER BY p)),
+own AS (
+  SELECT r, regexp_replace(trim(regexp_replace(string_agg(body, chr(10) ORDER BY p), '\n{3,}', chr(10) || chr(10), 'g'), ' '),
+                           '^\n+|\n+$', '', 'g') AS text
+  FROM y WHERE lv = 0 AND NOT (nl > 0 AND regexp_matches(trim(body, ' '),
+                               '(?i)^(on|am|le|el)\b.*(wrote|schrieb|écrit|escribió)\s*:$')) GROUP BY r),
+run AS (SELECT *, sum(CASE WHEN p = 1 OR lv <> pl OR trim(body, ' ') = '' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY r ORDER BY p) AS run FROM y),
+said AS (
+  SELECT r, conv_id, turn, any_value(lv) AS lv, string_agg(body, chr(10) ORDER BY p) AS s FROM run GROUP BY r, conv_id, turn, run
+  UNION ALL SELECT r, conv_id, turn, lv, body FROM y),
+unit AS (SELECT conv_id, turn, lv, s FROM (
+  SELECT conv_id, turn, lv, lower(trim(regexp_replace(s, '\s+', ' ', 'g'), ' ')) AS s FROM said) WHERE s <> ''),
+quote AS (SELECT conv_id, turn, s, min(lv) AS lv FROM unit WHERE lv > 0 GROUP BY ALL),
+written AS (SELECT conv_id, s, min(turn) AS parent FROM unit WHERE lv = 0 GROUP BY ALL),
+link AS (SELECT q.conv_id, q.turn, w.parent, min(q.lv) AS lv, sum(length(q.s)) AS chars, count(*) AS k
+         FROM quote q JOIN written w ON w.conv_id = q.conv_id AND w.s = q.s AND w.parent < q.turn GROUP BY ALL),
+best AS (SELECT conv_id, turn, arg_max(parent, (-lv, chars, parent)) AS parent, sum(k)::BIGINT AS n_linked
+         FROM link GROUP BY ALL),
+climb AS (
+  SELECT conv_id, turn, parent AS up, 1 AS depth FROM best
+  UNION ALL
+  SELECT c.conv_id, c.turn, b.parent, c.depth + 1 FROM climb c JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.up),
+root AS (SELECT conv_id, turn, arg_max(up, depth) AS root_turn, max(depth) AS reply_depth FROM climb GROUP BY ALL),
+marks AS (SELECT r, count(*) FILTER (lv > 0) AS n_quoted FROM y GROUP BY r)
+SELECT m.conv_id, m.turn, role, coalesce(text, '') AS text, best.parent AS parent_turn,
+       coalesce(root_turn, m.turn) AS root_turn, coalesce(reply_depth, 0) AS reply_depth, n_quoted,
+       coalesce(n_linked, 0) AS n_linked, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') AS chat
+FROM m JOIN marks USING (r) LEFT JOIN own USING (r)
+LEFT JOIN best ON best.conv_id = m.conv_id AND best.turn = m.turn
+LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn
+"""
