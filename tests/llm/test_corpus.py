@@ -500,3 +500,27 @@ def test_word_split_is_that_of_the_contract():
     from packetloom.llm.words import split
     ids, words, count = split(pa.array(texts))
     assert [words[i] for i in ids] == [w for t in texts for w in WORD.findall(t or "")] and count.tolist() == [3, 0, 0, 1, 0]
+
+
+def test_sql_of_the_quotes_says_the_same(spark):
+    import duckdb
+
+    from compare import table as cells
+    rng, words = random.Random(8), vocabulary(21)
+    lines, rows = [" ".join(rng.choices(words, k=6)) for _ in range(12)], []
+    for c in range(12):
+        for t in range(8):
+            body = []
+            for _ in range(rng.randint(0, 6)):
+                depth = rng.choice([0, 0, 1, 1, 2])
+                body.append(rng.choice(["", "> ", ">"] if depth else [""]) * depth + rng.choice([*lines, "", "On Monday X wrote:"]))
+            rows.append((c, t, rng.choice(["user", None]), "\n".join(body)))
+    names = ["conv_id", "turn", "role", "text"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cursor = con.execute(quote_links.SQL)
+    got = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(got.columns) and set(names) <= set(columns)
+    assert cells(got.columns, [tuple(r) for r in got.collect()]) == cells(columns, cursor.fetchall())
