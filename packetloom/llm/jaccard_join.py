@@ -26,15 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import lookup, only, stored, table, without
+from packetloom.llm.common import lookup, only, partitions, stored, table, without
 from packetloom.llm.graphs import components
 from packetloom.llm.words import chunks, gram_hashes, split, word_hashes
 
 SHINGLE, SHARE = 4, 85
 #: Near copies in the pipeline.
 PIPELINE_SHINGLE, PIPELINE_SHARE = 5, 80
-#: Part of the hash range whose shingles are counted before the join.
-PART = 0.25
 #: Classes up to this many are broadcast to pick their texts; 40 bytes each.
 BROADCAST_KEYS = 500_000
 #: What hashing and shuffling one subset costs, in entries of a list that is scanned.
@@ -63,10 +61,14 @@ def _key(items: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, n, key (of the set), low (its hashes in the first PART of the range)."""
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
+    """doc_id, text_hash, n, key (of the set), low (its hashes in the counted part of the range).
+
+    The part is twice what a document may lack, so that about half of it must be shared.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    edge = int(PART * 2**63)
+    edge = 2**63 * min(100, 2 * (100 - share)) // 100
+    edge = min(edge, 2**63 - 1)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +92,10 @@ def linkable(sets: DataFrame, share: int) -> tuple[DataFrame, float]:
     one = sets.filter("n > 0").groupBy("key").agg(
         F.min("n").alias("n"), F.min(F.size("low")).alias("k"), F.count("*").alias("copies"),
         F.min(F.struct("text_hash", "doc_id")).alias("of"))
-    rows = sets.filter("n > 0").select("key", F.explode("low").alias("h"))
+    # both uses read one exchange
+    rows = sets.filter("n > 0").select("key", F.explode("low").alias("h")).repartition(partitions(sets.sparkSession), "h")
     shared = rows.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("df"))
-    hits = rows.join(shared.filter("a != b").select("h", "df"), "h").groupBy("key").agg(
+    hits = rows.join(shared.filter("a != b").select("h", "df").hint("merge"), "h").groupBy("key").agg(
         F.count("*").alias("rows"), F.avg("df").alias("df"))
     # the copies of a class have the same shingles, so each has its share of the rows
     found = stored(one.join(hits, "key", "left").select(
@@ -139,39 +142,60 @@ def boundary(scan: float, share: int) -> int:
     return n
 
 
-def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
-    """key, n, apart, h: what sets must have in common to be linked, at least one of it."""
+def subset_signatures(own: DataFrame, small: int, share: int) -> DataFrame:
+    """key, h: the subsets that a small set and a partner of either kind must have in common."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, found = [], []
+            keys, found = [], []
+            for key, n, whole in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("whole"), strict=True):
+                items = np.frombuffer(whole.as_buffer(), np.int64)
+                sizes = {overlap(n, m, share) for m in partner_sizes(n, share) if min(n, m) <= small}
+                for k in sorted(x for x in sizes if x <= n):
+                    for gone in combinations(range(n), n - k):
+                        keys.append(key)
+                        found.append(_key(np.delete(items, gone)))
+                if len(keys) > HANDED_ON:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.int64())], ["key", "h"])
+                    keys, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.int64())], ["key", "h"])
 
-            def handed_on(b=b, at=at, found=found) -> pa.RecordBatch:
-                where = pa.array(np.concatenate(at) if at else [], pa.int64())
-                out = pa.array(np.concatenate(found) if found else [], pa.int64())
-                at.clear()
-                found.clear()
-                return pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(where) for c in ("key", "n", "apart")), out], ["key", "n", "apart", "h"])
+    return own.filter(F.col("n") <= small * 100 // share).select("key", "n", "whole").mapInArrow(lists, "key long, h long")
 
-            for i, (n, whole) in enumerate(zip(b.column("n").to_pylist(), b.column("whole"), strict=True)):
-                items = np.frombuffer(whole.as_buffer(), np.int64)
-                if small * 100 // share >= n:  # it may meet a small set
-                    sizes = {overlap(n, m, share) for m in partner_sizes(n, share) if min(n, m) <= small}
-                    own_subsets = [_key(np.delete(items, gone)) for k in sizes if k <= n for gone in combinations(range(n), n - k)]
-                    found.append(np.array(own_subsets, np.int64))
-                    at.append(np.full(len(own_subsets), i))
-                if n > small:
-                    prefix = items[:n - (-(-share * n // 100)) + 1]
-                    found.append(prefix)
-                    at.append(np.full(len(prefix), i))
-                if sum(map(len, found[-2:])) > HANDED_ON or i % 64 == 63 and sum(map(len, found)) > HANDED_ON:
-                    yield handed_on()
-            yield handed_on()
-
-    each = own.mapInArrow(lists, "key long, n long, apart double, h long")
+
+def prefix_signatures(own: DataFrame, small: int, share: int) -> DataFrame:
+    """key, h: of each large set the rarest shingles, at least one of which a large partner shares.
+
+    Shingles that no other large set has come first in the order and meet nobody, so only what
+    they leave of the prefix is listed.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("n").to_numpy()
+            items = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("whole")]
+            for k in range(0, len(items), 256):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key")[k:k + 256].take(pa.array(np.repeat(np.arange(len(items[k:k + 256])), size[k:k + 256]))),
+                     pa.array(np.concatenate(items[k:k + 256]), pa.int64())], ["key", "h"])
+
+    large = own.filter(F.col("n") > small)
+    rows = large.select("key", "n", "whole").mapInArrow(every, "key long, h long").repartition(
+        partitions(own.sparkSession), "h")
+    shared = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    each = rows.join(shared.hint("merge"), "h").groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("df", "h"))).alias("rarest"))
+    prefix = F.col("n") - F.ceil(F.lit(share) * F.col("n") / 100) + 1
+    left = (prefix - (F.col("n") - F.size("rarest"))).cast("int")
+    return each.join(large.select("key", "n"), "key").withColumn("left", left).filter("left > 0").select(
+        "key", F.explode(F.slice("rarest", F.lit(1), F.col("left"))).alias("x")).select("key", "x.h")
+
+
+def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
+    """key, n, apart, h: what linked sets have in common, at least one of it."""
+    each = stored(subset_signatures(own, small, share).unionByName(prefix_signatures(own, small, share)), "signatures")
     twice = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
-    return each.join(twice, "h")
+    return each.join(twice, "h").join(own.select("key", "n", "apart"), "key")
 
 
 def near(share: int):
@@ -262,7 +286,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) ->
     are judged each; a null doc_id is never the smallest while there is another. An empty table gives
     no rows; other columns are not looked at.
     """
-    sets = stored(shingle_sets(docs, shingle), "sets")
+    sets = stored(shingle_sets(docs, shingle, share), "sets")
     keys, scan = linkable(sets, share)
     own = stored(whole_sets(docs, keys, shingle), "linkable-sets")
     lists = stored(signatures(own, boundary(scan, share), share), "lists")
