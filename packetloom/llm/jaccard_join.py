@@ -164,7 +164,8 @@ def subset_signatures(own: DataFrame, small: int, share: int) -> DataFrame:
 
 
 def prefix_signatures(own: DataFrame, small: int, share: int) -> DataFrame:
-    """key, h: of each large set the rarest shingles, at least one of which a large partner shares.
+    """key, h, at: of each large set the rarest shingles, at least one of which a large partner
+    shares, and their places in the order.
 
     Shingles that no other large set has come first in the order and meet nobody, so only what
     they leave of the prefix is listed.
@@ -188,12 +189,15 @@ def prefix_signatures(own: DataFrame, small: int, share: int) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.lit(share) * F.col("n") / 100) + 1
     left = (prefix - (F.col("n") - F.size("rarest"))).cast("int")
     return each.join(large.select("key", "n"), "key").withColumn("left", left).filter("left > 0").select(
-        "key", F.explode(F.slice("rarest", F.lit(1), F.col("left"))).alias("x")).select("key", "x.h")
+        "key", (F.col("n") - F.size("rarest")).alias("before"),
+        F.posexplode(F.slice("rarest", F.lit(1), F.col("left"))).alias("i", "x")).select(
+        "key", "x.h", (F.col("before") + F.col("i")).alias("at"))
 
 
 def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
-    """key, n, apart, h: what linked sets have in common, at least one of it."""
-    each = stored(subset_signatures(own, small, share).unionByName(prefix_signatures(own, small, share)), "signatures")
+    """key, n, apart, h, at: what linked sets have in common, at least one of it."""
+    subsets = subset_signatures(own, small, share).withColumn("at", F.lit(0).cast("long"))
+    each = stored(subsets.unionByName(prefix_signatures(own, small, share)), "signatures")
     twice = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     return each.join(twice, "h").join(own.select("key", "n", "apart"), "key")
 
@@ -203,6 +207,12 @@ def near(share: int):
     return (100 * n >= share * m) & (100 * m >= share * n)
 
 
+def within_reach(share: int):
+    """Places x and y of the first shingle in common leave room for the intersection that a link needs."""
+    n, m = F.col("n"), F.col("m")
+    return F.least(n - F.col("x"), m - F.col("y")) * (100 + share) >= share * (n + m)
+
+
 def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
     """a, b, differ (size of the symmetric difference), linked, of pairs (a, b)."""
     left = own.select(F.col("key").alias("a"), F.col("whole").alias("left"))
@@ -259,9 +269,9 @@ def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
     groups = stored(groups.join(mixed, "h"), "groups")
     across = groups.select("h", F.col("comp").alias("c")).join(groups.select("h", "comp"), "h").filter("c < comp")
     far = F.broadcast(done.limit(0)) if done is None else done
-    one = current.select("h", "comp", F.col("key").alias("b"), "n")
-    other = current.select("h", F.col("comp").alias("c"), F.col("key").alias("a"), F.col("n").alias("m"))
-    pairs = across.join(other, ["h", "c"]).join(one, ["h", "comp"]).filter(near(share)).select(
+    one = current.select("h", "comp", F.col("key").alias("b"), "n", F.col("at").alias("x"))
+    other = current.select("h", F.col("comp").alias("c"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("y"))
+    pairs = across.join(other, ["h", "c"]).join(one, ["h", "comp"]).filter(near(share) & within_reach(share)).select(
         "a", "b", "n", "m").distinct()
     seen = far.select("a", "b").union(far.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     pairs = pairs.join(seen, ["a", "b"], "left_anti")
