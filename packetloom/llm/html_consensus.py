@@ -1,9 +1,11 @@
 """HTML extraction by host-wide consensus on the path of the main container.
 
 Every page is read once into blocks of text with the path of elements around them (tags with
-their class, digits out). The container that holds most of a page's text in its deepest element
-gets the page's vote; votes are summed per host and path in Spark, and pages are read
-again with the paths that won on their host.
+their class, digits out). A page's candidates are the containers around all of its text outside
+link lists, down to an article or main. It votes for the outermost one that differs from the
+innermost in nothing, votes are summed per host and path in Spark, and each page gives the
+text of its candidate with the most votes. So what a host's vote decides is which link lists belong to
+the article; no other text is left out.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import lookup, stored, table
 from packetloom.llm.url_templates import host_and_path
 
-#: A container must hold this share of a page's text to get its vote.
+#: What `best` asks of a container; votes and texts don't depend on it.
 MAJORITY = 0.75
-#: A path that won on the host is used on a page if it holds this share of the page's text.
-ENOUGH = 0.5
 #: Winning paths per host, best first.
 WINNERS = 5
+#: Containers that are the article: no vote goes below them.
+ARTICLE = {"article", "main"}
 
 #: Elements whose text is no text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp"}
@@ -71,7 +73,8 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.paths: list[str] = []  # of each container, in page order
-        self.parents: list[int] = []
+        self.tags: list[str] = []
+        self.cuts: list[tuple[int, ...]] = []  # containers around each element that is left out
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -158,8 +161,10 @@ class Page:
                 container = len(self.paths)
                 up = chain[-1] if chain else -1
                 self.paths.append((self.paths[up] + ">" if up >= 0 else "") + names)
-                self.parents.append(up)
+                self.tags.append(tag)
                 chain = (*chain, container)
+            if out and not dropped:
+                self.cuts.append(chain)
             open_tags.append((tag, container, out))
             dropped += out
             links += tag == "a"
@@ -196,15 +201,38 @@ class Page:
         good = [c for c, m in held.items() if whole and m >= MAJORITY * whole]
         return max(good, key=lambda c: (self.paths[c].count(">"), -c), default=-1)
 
+    def shared(self) -> tuple[list[int], list[int], int]:
+        """Containers around all text outside link lists, outermost first and down to an article;
+        of each block, how many of them hold it; and which of them the page votes for, -1 if there are none.
+
+        A container stands for all of its path, so that an article in pieces of one path is whole.
+        """
+
+        def depth(chain: tuple[int, ...], most: int) -> int:
+            for k in range(min(most, len(chain))):
+                if chain[k] != common[k] and self.paths[chain[k]] != self.paths[common[k]]:
+                    return k
+            return min(most, len(chain))
+
+        common: tuple[int, ...] | None = None
+        for chain in dict.fromkeys(b.chain for b in self.blocks if b.linked * 2 <= len(b.text)):
+            common = chain if common is None else common[:depth(chain, len(common))]
+        common = common or ()
+        last = next((k for k, c in enumerate(common) if self.tags[c] in ARTICLE), len(common) - 1)
+        common = common[:last + 1]
+        depths = {chain: depth(chain, len(common)) for chain in dict.fromkeys([*(b.chain for b in self.blocks), *self.cuts])}
+        vote = last
+        if common and self.tags[common[last]] not in ARTICLE:
+            # down to where the last link list or left out element is left behind
+            vote = max((k for k in depths.values() if k <= last), default=0)
+        return list(common), [depths[b.chain] for b in self.blocks], vote
+
     def text(self, winners: list[str]) -> str:
-        held, whole = self.mass()
-        for path in winners:
-            # the outermost containers of that path
-            found = {c for c, p in enumerate(self.paths) if p == path}
-            if found and whole and sum(held.get(c, 0) for c in found) >= ENOUGH * whole:
-                return "\n".join(b.text for b in self.blocks if found & set(b.chain))
-        own = self.best()
-        return "\n".join(b.text for b in self.blocks if own < 0 or own in b.chain)
+        """Text of the first of the paths that is around all text outside link lists, or else of the page's own vote."""
+        common, depths, vote = self.shared()
+        at = {self.paths[c]: k for k, c in enumerate(common)}
+        k = next((at[path] for path in winners if path in at), vote)
+        return "\n".join(b.text for b, d in zip(self.blocks, depths, strict=True) if d > k)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -215,9 +243,9 @@ def votes(pages: DataFrame) -> DataFrame:
             count: dict[tuple[str, str], int] = defaultdict(int)
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 page = Page(html.as_py() or "")
-                best = page.best()
+                common, _, best = page.shared()
                 if best >= 0:
-                    count[host, page.paths[best]] += 1
+                    count[host, page.paths[common[best]]] += 1
             keys = list(count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
@@ -231,8 +259,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of each row of pages (page_id, url, html): page_id, url, text, n_chars, host.
 
     Blocks in page order, one a line, white space within a block as one space. Elements beside the
-    article are left out wherever they stand. A page on which no path of its host holds half of its
-    text uses the container that it voted for itself. A null or empty html, or one without text,
+    article are left out wherever they stand. A page on which no path of its host is around all text
+    outside link lists uses the container that it voted for itself. A null or empty html, or one without text,
     gives an empty text. Repeated rows are extracted each; an empty table gives no rows; other
     columns are not looked at.
     """

@@ -427,6 +427,26 @@ def test_votes_outweigh_a_page_of_its_own_kind():
     assert odd.text(["body>main"]).endswith("\nrest of it")
 
 
+def test_no_text_of_an_article_is_left_behind(spark):
+    body, links = "<div class='body'>" + "long text " * 80 + "</div>", "<ul>" + "<li><a href='/x'>some other page</a>" * 9 + "</ul>"
+    lead = "<h1>Title</h1><p>The lead is told here</p>" + body
+    split = "<div class='a'>" + "one half " * 30 + "</div>" + links + "<div class='b'>" + "other half " * 20 + "</div>"
+    kinds = {
+        "article": (f"<article>{lead}</article>{links}", "Title\nThe lead"),
+        "wrapper": (f"{links}<div class='w'>{lead}</div>", "Title\nThe lead"),
+        "parts": (f"{links}<div class='part1'>first piece of text</div><div class='part2'>second</div>", "first piece of text\nsecond"),
+    }
+    for name, (html, begin) in kinds.items():
+        rows = [(i, f"http://{name}.org/{i}", f"<html><body><nav>menu</nav>{html}</body></html>") for i in range(4)]
+        rows += [(9, f"http://{name}.org/9", f"<html><body><nav>menu</nav>{split}</body></html>")]
+        got = {r.page_id: r.text for r in html_consensus.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[9].startswith("one half") and got[9].endswith("other half"), name
+        if name != "parts":
+            assert all(got[i].startswith(begin) and got[i].endswith("long text") for i in range(4)), name
+        else:
+            assert all(got[i].endswith(begin) for i in range(4))
+
+
 # --- 10
 
 
