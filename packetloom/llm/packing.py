@@ -6,7 +6,8 @@ classes of WIDTH tokens, gives a linear program over patterns (classes that fit
 columns are priced by dynamic programming over an unbounded knapsack until no pattern improves
 or the bound of Farley proves the rest small. Every split of the token table then rounds the
 patterns to its share and gives their places to its documents, ranked by id within a length.
-Documents that no well-filled pattern took are laid end to end and cut where a sequence is full.
+A sequence is used if it is well filled by the tokens themselves; documents that none of these took are laid
+end to end and cut where a sequence is full.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Lengths are rounded up to a multiple of this; it divides the capacity.
 WIDTH = 8
-#: Patterns that leave more than this share of a sequence empty are not used.
+#: Sequences of a pattern that leave more than this share of their tokens empty are not used.
 SLACK = 0.02
 #: Column generation ends when the plan is proved to be within this share of the optimum.
 GAP = 0.002
@@ -156,6 +157,7 @@ def place(n: np.ndarray, order: np.ndarray, plan: list, total: int, capacity: in
     share = len(ranked) / max(total, 1)
     good = sorted(((x, p) for x, p in plan if sum(w * k for w, k in p.items()) * WIDTH >= (1 - SLACK) * capacity),
                   key=lambda xp: -xp[0])
+    line = []  # documents that no well-filled sequence holds
     for again in (False, True):  # each pattern to its share, then while its classes are there
         for x, pattern in good:
             times = min((queue[w][1] - queue[w][0]) // k if w in queue else 0 for w, k in pattern.items())
@@ -168,13 +170,17 @@ def place(n: np.ndarray, order: np.ndarray, plan: list, total: int, capacity: in
                 queue[w][0] += times * k
                 slots.append(ranked[a:a + times * k].reshape(times, k))
             who = np.concatenate(slots, 1)
+            full = rest[who].sum(1) >= (1 - SLACK) * capacity  # in tokens, as classes are rounded up
+            line.append(who[~full].ravel())
+            who = who[full]
+            times = len(who)
             ends = np.cumsum(rest[who], 1)
             parts.append((who.ravel(), (whole[who] * capacity).ravel(), rest[who].ravel(),
                           np.repeat(at + np.arange(times), who.shape[1]), (ends - rest[who]).ravel()))
             at += times
-    left = [ranked[a:b] for a, b in queue.values() if b > a]
-    if left:
-        who = np.concatenate(left)
+    line += [ranked[a:b] for a, b in queue.values() if b > a]
+    who = np.concatenate(line) if line else ranked
+    if len(who):
         ends = np.cumsum(rest[who])
         begins = ends - rest[who]
         # the line of what is left is cut at each document's end and at each full sequence

@@ -229,6 +229,16 @@ def test_packing_of_equal_lengths(spark):
     assert empty < 1024  # cut where a sequence is full
 
 
+@pytest.mark.parametrize("short", [0, 8])
+def test_packing_of_many_short_documents(spark, short):
+    nine = "word" + " word" * 7
+    assert len(packing._encoder(packing.TOKENIZER)(nine)) == 8
+    texts = {i: "word " * 300 + "w" * (i % 7) for i in range(40)} | {100 + i: nine if short else "" for i in range(600)}
+    empty, used = check_packing(packing.pack(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)).collect(), texts)
+    assert empty < 1024 + 0.02 * used
+
+
 def test_packing_keeps_repeated_rows(docs, empty):
     got = packing.pack(docs)
     assert got.filter("start = 0").count() == docs.count()
