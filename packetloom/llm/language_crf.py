@@ -32,8 +32,10 @@ GRAMS = (1, 2, 3, 4)
 ROUNDS, RATE, SHRINK = 20, 0.3, 1e-4
 #: Text handled at once in a task.
 CHUNK = 4_000_000
-#: The pipeline rejects documents with no language or with a lower score than this.
+#: The pipeline rejects documents with no language, or whose words have on average a probability in their own best
+#: language under LEAST; with more than four languages, under CHANCE times what guessing gives.
 LEAST = 0.4
+CHANCE = 1.6
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,17 +196,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
 
 def _judge(model: LanguageModel, texts: pa.Array, spans: bool):
-    """(language, score, spans) of each text."""
+    """(language, score, certainty of the words, spans) of each text."""
     n, k = len(texts), len(model.labels)
     ids, words, text, begins = tokens(texts)
     letters = pc.match_substring_regex(pa.array(words, pa.string()), r"\pL").to_numpy(zero_copy_only=False).astype(bool)
     if not len(ids) or not k:
-        return [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
     likely, _ = marginals(model.scores(words)[ids], begins, model.jumps)
     counted = letters[ids]
     total = np.stack([np.bincount(text[counted], likely[counted, j], n) for j in range(k)], 1)
     size = np.bincount(text[counted], minlength=n)
     mean = total / np.maximum(size, 1)[:, None]
+    sure = np.bincount(text[counted], likely[counted].max(1), n) / np.maximum(size, 1)
     best = mean.argmax(1)
     said = [model.labels[b] if s else UNKNOWN for b, s in zip(best, size, strict=True)]
     runs: list[list] = [[] for _ in range(n)]
@@ -214,14 +217,15 @@ def _judge(model: LanguageModel, texts: pa.Array, spans: bool):
         for a, b in zip(turn, np.append(turn[1:], len(ids)), strict=True):
             lang = UNKNOWN if label[a] == k else model.labels[label[a]]
             runs[text[a]].append({"lang": lang, "words": int(b - a)})
-    return said, np.clip(mean[np.arange(n), best], 0, 1) * (size > 0), runs
+    return said, np.clip(mean[np.arange(n), best], 0, 1) * (size > 0), np.clip(sure, 0, 1), runs
 
 
-def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, ...]) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, ...], by_word: bool = False) -> DataFrame:
     """Adds columns to every row of docs, which has a text, under two or three names.
 
     The first is a language of the model, or und with score 0 if the text is null or has no letter;
-    the second the mean probability of that language over the words that have a letter; the
+    the second the mean probability of that language over the words that have a letter, or, by word,
+    of each word's own best language; the
     third the runs of words of one language, in order. Other columns stay as they are.
     """
     spans = len(names) > 2
@@ -238,8 +242,8 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, ...]) -> D
                 if at >= len(text):
                     break
                 part = batch.slice(at, end - at)
-                said, score, runs = _judge(model.value, part.column("text"), spans)
-                more = [pa.array(said, pa.string()), pa.array(score, pa.float64())]
+                said, score, sure, runs = _judge(model.value, part.column("text"), spans)
+                more = [pa.array(said, pa.string()), pa.array(sure if by_word else score, pa.float64())]
                 if spans:
                     more.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))))
                 yield pa.RecordBatch.from_arrays(
@@ -271,5 +275,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of a known language, in the columns they came with."""
     lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
-    found = identify(docs, train(docs), (lang, score))
-    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST)).drop(lang, score)
+    model = train(docs)
+    least = min(LEAST, CHANCE / max(len(model.labels), 1))
+    found = identify(docs, model, (lang, score), by_word=True)
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -179,6 +179,19 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("mixed", [3, 4])
+def test_documents_of_many_languages_are_kept(spark, mixed):
+    letters = ("abcde", "fghij", "klmno", "pqrst")
+    rng, langs = random.Random(5), ("aa", "bb", "cc", "dd")[:mixed]
+    words = {x: ["".join(rng.choices(letters[k], k=rng.randint(3, 7))) for _ in range(200)] for k, x in enumerate(langs)}
+    rows = [(i, " ".join(rng.choices(words[x], k=30)) + ".", x) for i in range(40) for x in langs]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    switched = " ".join(" ".join(rng.choices(words[x], k=20)) + "." for x in langs)
+    rows += [(900, switched, None), (901, "12 %% 34", None)]
+    kept = language_crf.keep_languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {901}
+
+
 def test_language_id_without_labels(docs, empty):
     got = language_crf.language_id(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in got.collect()} == {("und", 0.0)}
