@@ -1,6 +1,6 @@
 """HTML extraction by host-wide consensus on the path of the main container.
 
-Every page is read once into blocks of text with the path of elements around them (tags with
+Every page is read once, into blocks of text with the path of elements around them (tags with
 their class, digits out). A page's candidates are the containers around all of its text outside
 link lists, down to an article or main. It votes for the outermost one that differs from the
 innermost in nothing, votes are summed per host and path in Spark, and each page gives the
@@ -13,10 +13,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import lookup, stored, table
@@ -24,8 +25,6 @@ from packetloom.llm.url_templates import host_and_path
 
 #: What `best` asks of a container; votes and texts don't depend on it.
 MAJORITY = 0.75
-#: Winning paths per host, best first.
-WINNERS = 5
 #: Containers that are the article: no vote goes below them.
 ARTICLE = {"article", "main"}
 
@@ -235,24 +234,48 @@ class Page:
         return "\n".join(b.text for b, d in zip(self.blocks, depths, strict=True) if d > k)
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path, n: the pages of a host that vote for a path."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host of each row with what its text takes: lines, and of each line how many candidates hold it.
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths has a digest of the path of each candidate, outermost first, vote the one that the page votes
+    for (-1: none), and layout a digest of host, paths and vote.
+    """
+
+    def digest(text: str) -> str:
+        return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: dict[tuple[str, str], int] = defaultdict(int)
+            lines, depths, paths, votes, layouts = [], [], [], [], []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 page = Page(html.as_py() or "")
-                common, _, best = page.shared()
-                if best >= 0:
-                    count[host, page.paths[common[best]]] += 1
-            keys = list(count)
+                common, depth, vote = page.shared()
+                lines.append([b.text for b in page.blocks])
+                depths.append(depth)
+                paths.append([digest(page.paths[c]) for c in common])
+                votes.append(vote)
+                layouts.append(digest("\n".join([host, str(vote), *paths[-1]])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array(list(count.values()), pa.int64())], ["host", "path", "n"])
+                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(layouts, pa.string()),
+                 pa.array(paths, pa.list_(pa.string())), pa.array(votes, pa.int32()),
+                 pa.array(lines, pa.list_(pa.string())), pa.array(depths, pa.list_(pa.int32()))],
+                ["page_id", "url", "host", "layout", "paths", "vote", "lines", "depths"])
+
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "host", "html").mapInArrow(
+        read, f"page_id {id_type}, url string, host string, layout string, paths array<string>, vote int, "
+              "lines array<string>, depths array<int>")
+
 
-    found = pages.select("host", "html").mapInArrow(vote, "host string, path string, n long")
-    return found.groupBy("host", "path").agg(F.sum("n").alias("n"))
+def chosen(read: DataFrame) -> DataFrame:
+    """layout, size (its pages), k: the candidate with the most votes on the host, of equal ones the page's own; -1: none."""
+    layouts = stored(read.groupBy("layout").agg(
+        F.first("host").alias("host"), F.first("paths").alias("paths"), F.first("vote").alias("vote"), F.count("*").alias("size")), "layouts")
+    votes = layouts.filter("vote >= 0").groupBy("host", F.get("paths", F.col("vote")).alias("path")).agg(F.sum("size").alias("n"))
+    tries = layouts.select("layout", "host", "vote", "size", F.posexplode_outer("paths").alias("k", "path"))
+    best = F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (F.col("k") == F.col("vote")).alias("own"), "k"))
+    return tries.join(votes, ["host", "path"], "left").groupBy("layout").agg(
+        F.first("size").alias("size"), F.coalesce(best["k"], F.lit(-1)).alias("k"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -264,27 +287,13 @@ def extract(pages: DataFrame) -> DataFrame:
     gives an empty text. Repeated rows are extracted each; an empty table gives no rows; other
     columns are not looked at.
     """
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"))
-    ranked = Window.partitionBy("host").orderBy(F.desc("n"), "path")
-    won = votes(rows).withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= WINNERS)
-    won = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "path"))).alias("paths"))
-    size = rows.groupBy("host").agg(F.count("*").alias("size"))
-    facts = stored(size.join(won, "host", "left").select("host", "size", F.coalesce(
-        F.col("paths.path"), F.array().cast("array<string>")).alias("paths")), "paths")
+    read = stored(parsed(pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"))), "pages")
+    facts = stored(chosen(read), "chosen")
     total = facts.agg(F.sum("size")).first()[0] or 0
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [Page(html.as_py() or "").text(paths.as_py()) for html, paths in zip(
-                batch.column("html"), batch.column("paths"), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64()), batch.column("host")],
-                ["page_id", "url", "text", "n_chars", "host"])
-
-    return lookup(rows, facts, "host", F.col("size"), total).select("page_id", "url", "html", "host", "paths").mapInArrow(
-        read, f"page_id {id_type}, url string, text string, n_chars long, host string")
+    lines = F.filter("lines", lambda line, i: F.get("depths", i) > F.col("k"))
+    found = lookup(read.select("page_id", "url", "host", "layout", "lines", "depths"), facts, "layout", F.col("size"), total)
+    return found.withColumn("text", F.concat_ws("\n", lines)).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -470,6 +470,20 @@ def test_no_text_of_an_article_is_left_behind(spark):
             assert all(got[i].endswith(begin) for i in range(4))
 
 
+def test_every_layout_of_a_host_has_its_votes(spark):
+    links = "<ul>" + "<li><a href='/x'>some other page</a>" * 9 + "</ul>"
+    rows = []
+    for k in range(8):  # all pages but one of a layout have text beside the text, so that the wider container gets the votes
+        inner = f"<div class='kind{'abcdefgh'[k]}'>{{}}<div class='in'>told here {'long text ' * 20}</div>{links}</div>"
+        rows += [(100 * k + i, inner.format("<p>by an author</p>")) for i in range(20 - k)] + [(100 * k + 99, inner.format(""))]
+    pages = spark.createDataFrame([(i, "http://h.org/x", f"<body><nav>menu</nav>{html}</body>") for i, html in rows],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_consensus.extract(pages).collect()}
+    assert len(got) == len(rows)
+    assert all(got[100 * k].startswith("by an author\ntold") and got[100 * k].endswith("page") for k in range(8))
+    assert all(got[100 * k + 99].startswith("told here") and got[100 * k + 99].endswith("some other page") for k in range(8))
+
+
 # --- 10
 
 
