@@ -39,6 +39,9 @@ DROP_WORDS = {
     "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "share",
     "sharing", "social", "comment", "comments", "commentlist", "disqus", "respond", "login", "signup", "search", "toc",
 }
+#: Beside one of these pieces of a class such a word says nothing of the element: with-sidebar, ad-free.
+BEFORE = {"with", "without", "has", "have", "no", "not", "non", "hide"}
+AFTER = {"free", "less"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center"}
 KEEP = {"html", "body", "main", "article"}
 INLINE = {
@@ -66,20 +69,42 @@ class Block:
         self.text, self.linked, self.chain = text, linked, chain
 
 
+class Marked:
+    """An element whose class, id or role is in DROP_WORDS: what is in it that would be text without the mark."""
+
+    __slots__ = ("chars", "articles", "whole", "inner")
+
+    def __init__(self, chars: int, articles: int, whole: bool, inner: bool):
+        self.chars, self.articles = chars, articles
+        self.whole, self.inner = whole, inner  # a class on its own, not a piece of one; in another marked element
+
+
 class Page:
-    """Blocks of a page outside what DROP and RAW exclude, and its containers."""
+    """Blocks of a page outside what DROP and RAW exclude, and its containers.
+
+    A word in class, id or role doesn't leave out an element around an article or main, or around most of
+    the page's text, if the page has no article or main elsewhere; nor, if the word is only a piece of a class, one
+    around most of the text at all. Elements with pieces of such words stay as well if nothing else would be left.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.paths: list[str] = []  # of each container, in page order
         self.tags: list[str] = []
         self.cuts: list[tuple[int, ...]] = []  # containers around each element that is left out
-        self._read(html)
-
-    def _read(self, html: str) -> None:
-        open_tags: list[tuple[str, int, bool]] = []  # tag, container or -1, dropped
+        spared = self._read(html, frozenset())
+        if spared:
+            for found in (self.blocks, self.paths, self.tags, self.cuts):
+                found.clear()
+            self._read(html, spared)
+
+    def _read(self, html: str, spared: frozenset[int]) -> frozenset[int]:
+        """Reads the page; gives the marked elements, by where they begin, that are not to be left out."""
+        open_tags: list[tuple[str, int, bool, bool, int]] = []  # tag, container or -1, dropped, by its tag, where if marked
         chain: tuple[int, ...] = ()
         dropped = links = 0
+        beside = marks = lost = articles = clean = 0  # open elements dropped by tag, marked; text and articles in marked ones
+        marked: dict[int, Marked] = {}
         words: list[str] = []
         linked = 0
         at = 0
@@ -93,8 +118,12 @@ class Page:
             linked = 0
 
         def say(text: str) -> None:
-            nonlocal linked
-            if dropped or not text:
+            nonlocal linked, lost
+            if not text:
+                return
+            if dropped:
+                if not beside:
+                    lost += sum(map(len, unescape(text).split()))
                 return
             text = unescape(text)
             words.append(text)
@@ -102,12 +131,17 @@ class Page:
                 linked += len(" ".join(text.split()))
 
         def close(k: int) -> None:
-            nonlocal chain, dropped, links
+            nonlocal chain, dropped, links, beside, marks
             while len(open_tags) > k:
-                tag, container, out = open_tags.pop()
+                tag, container, out, hard, begin = open_tags.pop()
                 if container >= 0:
                     chain = chain[:-1]
                 dropped -= out
+                beside -= hard
+                if begin >= 0:
+                    marks -= 1
+                    own = marked[begin]
+                    own.chars, own.articles = lost - own.chars, articles - own.articles
                 links -= tag == "a"
 
         end = len(html)
@@ -154,7 +188,12 @@ class Page:
                         break
             if tag in VOID or m[3].endswith("/"):
                 continue
-            names, out = self._named(tag, m[3])
+            names, hard, mark = self._named(tag, m[3])
+            begin = m.start() if mark and not hard and not beside else -1
+            out = hard or (mark > 0 and m.start() not in spared)
+            if tag in ARTICLE and not beside and not hard:
+                articles += marks > 0
+                clean += not marks
             container = -1
             if tag in CONTAINERS and not dropped and not out:
                 container = len(self.paths)
@@ -164,24 +203,41 @@ class Page:
                 chain = (*chain, container)
             if out and not dropped:
                 self.cuts.append(chain)
-            open_tags.append((tag, container, out))
+            open_tags.append((tag, container, out, hard, begin))
             dropped += out
+            beside += hard
+            if begin >= 0:
+                marks += 1
+                marked[begin] = Marked(lost, articles, mark == 2, marks > 1)
             links += tag == "a"
         flush()
+        close(0)
+        if spared or not marked:
+            return frozenset()
+        most = lost + sum(len(b.text) - b.text.count(" ") for b in self.blocks)
+        keep = frozenset(begin for begin, own in marked.items() if (
+            own.chars * 2 > most and not (own.whole and clean)) or (own.articles and not clean))
+        if not clean and not self.blocks:  # nothing stands outside
+            keep |= {begin for begin, own in marked.items() if not own.whole and not own.inner}
+        return keep
 
     @staticmethod
-    def _named(tag: str, attributes: str) -> tuple[str, bool]:
-        """Tag with its classes, digits out, and whether the element is not part of an article."""
-        classes, marks, hidden = [], set(), False
+    def _named(tag: str, attributes: str) -> tuple[str, bool, int]:
+        """Tag with its classes, digits out; whether the element can be no part of an article; and whether its names
+        say so: 1 with a piece of a name, 2 with a whole name."""
+        classes, mark, hidden = [], 0, False
         for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             name, value = name.lower(), unescape(value.strip("\"'"))
             if name == "class":
                 classes = sorted({re.sub(r"\d+", "", c) for c in value.lower().split()})
             if name in ("class", "id", "role"):
-                marks.update(x.lower() for x in _PIECES.findall(value))
+                for token in value.split():
+                    pieces = [x.lower() for x in _PIECES.findall(token)]
+                    for k, piece in enumerate(pieces):
+                        if piece in DROP_WORDS and BEFORE.isdisjoint(pieces[k - 1:k]) and AFTER.isdisjoint(pieces[k + 1:k + 2]):
+                            mark = max(mark, 1 + (len(pieces) == 1))
             hidden |= name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower())
-        out = hidden or tag in DROP or (tag not in KEEP and bool(marks & DROP_WORDS))
-        return ".".join([tag, *classes]), out
+        return ".".join([tag, *classes]), hidden or tag in DROP, 0 if tag in KEEP else mark
 
     def mass(self) -> tuple[dict[int, float], float]:
         """Text outside links in each container, and in all."""

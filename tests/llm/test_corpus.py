@@ -484,6 +484,20 @@ def test_every_layout_of_a_host_has_its_votes(spark):
     assert all(got[100 * k + 99].startswith("told here") and got[100 * k + 99].endswith("some other page") for k in range(8))
 
 
+@pytest.mark.parametrize("name", [
+    "class='content with-sidebar'", "class='no-sidebar'", "class='ad-free'", "class='has-header'", "id='search-page'", "class='search'"])
+@pytest.mark.parametrize("tag", ["article", "p"])
+def test_wrappers_are_not_left_out_for_a_word_in_their_class(name, tag):
+    ad, story = "<div class='ad'>Buy this</div>", f"<{tag}>" + "the story " * 9 + f"</{tag}>"
+    want = ("the story " * 9).strip()
+    assert html_consensus.Page(f"<body><nav>menu</nav><div {name}>{ad}{story}</div>{ad}</body>").text([]) == want
+    beside = f"<div id='comments'><article>{'a comment ' * 40}</article></div><div class='cookie-notice'>Accept</div>"
+    assert html_consensus.Page(f"<body><article>{'the story ' * 9}</article>{ad}{beside}</body>").text([]) == want
+    assert html_consensus.Page(f"<body><article></article>{ad}</body>").text([]) == ""
+    halves = "<div class='search-left'>one half</div><div class='search-right'>and other</div>"
+    assert html_consensus.Page(f"<body>{halves}</body>").text([]) == "one half\nand other"
+
+
 # --- 10
 
 
