@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import decontaminate, exact_dedup, fm_index, html_consensus, jaccard_join, language_crf, packing, quote_links, suffix_arrays, url_templates
+from packetloom.llm import decontaminate, exact_dedup, filter_audit, fm_index, html_consensus, jaccard_join, language_crf, packing, quote_links, suffix_arrays, url_templates
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_arrays.op8_suffix_array_dedup,
     "op9_html_extraction": html_consensus.op9_html_extraction,
     "op10_url_filters": url_templates.op10_url_filters,
+    "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": jaccard_join.SQL,
@@ -22,4 +23,5 @@ ORACLE = {
     "op5_quotation_linking": quote_links.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op7_substring_dedup": fm_index.SQL,
+    "op11_filter_interaction_audit": filter_audit.SQL,
 }
