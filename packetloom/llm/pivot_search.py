@@ -37,7 +37,7 @@ def quantised(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), length)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ class PivotTable:
         for r in few.withColumn("held", held).filter(F.col("held") <= SAMPLE_VALUES).collect():
             drawn[r["length"]].append((r["vec_id"], r["v"]))
         for n, found in drawn.items():
-            self.sample[n] = [i for i, _ in found], np.array([v for _, v in found], dtype=np.int64).reshape(-1, n)
+            self.sample[n] = [i for i, _ in found], np.array([v for _, v in found], dtype=np.int64).reshape(len(found), n)
         self.pivots = {n: _far_apart(v, pivots) for n, (_, v) in self.sample.items()}
         chosen = self.pivots
 
@@ -134,7 +134,7 @@ class _Block:
     def __init__(self, rows: Sequence, length: int, tab: PivotTable, k: int):
         self.number = [r["number"] for r in rows]
         self.ids = [r["vec_id"] for r in rows]
-        self.v = np.array([r["v"] for r in rows], dtype=np.int64).reshape(-1, length)
+        self.v = np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), length)
         self.d = _distances(self.v, tab.pivots.get(length, np.zeros((1, length)))).T
         ids, sample = tab.sample.get(length, ([], np.zeros((0, length), dtype=np.int64)))
         self.bars: list[int | None] = []
