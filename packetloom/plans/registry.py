@@ -22,7 +22,7 @@ P = Params()
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, DataFrame | str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -123,12 +123,34 @@ def frame_decode(s, d):
     return readable(decode_frames(VW.frame_view(packets(s, d)))).drop("capture_id", "label")
 
 
+def captures(s, d) -> str:
+    """The packets as capture files, written once per session."""
+    key = (s.sparkContext.applicationId, "captures", d)
+    if key not in _STORED:
+        _STORED[key] = VW.write_captures(packets(s, d))
+    return _STORED[key]
+
+
 @query("pcap_scan", f"SELECT ts_us, {DECODED} FROM packets")
 def pcap_scan(s, d):
-    """Capture files written from the packets, then read in byte ranges far smaller than a file."""
     from packetloom.sources.pcap import pcap_scan as scan
-    folder = VW.write_captures(packets(s, d))
-    return readable(scan(s, folder, split_bytes=50_000)).drop("capture_id", "label", "seq")
+    return readable(scan(s, captures(s, d))).drop("capture_id", "label", "seq")
+
+
+@query("pcap_ranges", f"SELECT ts_us, {DECODED} FROM packets")
+def pcap_ranges(s, d):
+    """The same in byte ranges that are far smaller than a file."""
+    from packetloom.sources.pcap import pcap_scan as scan
+    return readable(scan(s, captures(s, d), split_bytes=100_000)).drop("capture_id", "label", "seq")
+
+
+@query("pcap_stream", f"SELECT ts_us, {DECODED} FROM packets")
+def pcap_stream(s, d):
+    """The folder of captures followed as a stream."""
+    from packetloom.sources.pcap import pcap_stream as source
+    from packetloom.streaming.sinks import run_to_end
+    out = run_to_end(source(s, captures(s, d)).drop("ts"), "captures-out")
+    return readable(s.read.parquet(out)).drop("capture_id", "label", "seq")
 
 
 @query("alerts_append_capped", """SELECT incident_id, seq, row_number() OVER (

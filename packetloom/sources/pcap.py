@@ -1,184 +1,25 @@
-"""Classic pcap captures as packet rows.
-
-Python only finds where records begin; all header fields are decoded by column
-expressions. A capture is cut into byte ranges, so one huge file is read by many tasks.
-A range looks for its first record by plausibility, and the guess is then proved: the
-walk through the range before must end exactly there, or the range is read again from
-where it did end.
-"""
+"""Classic pcap captures as packet rows: the scan, the stream, and decoding by column expressions."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyarrow import fs as afs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window as W
 
 from packetloom import fixed_values as V
-from packetloom import schemas
-from packetloom.session import materialise
-
-# File magic as little-endian reads it -> (byte order, ticks per microsecond).
-MAGICS = {0xA1B2C3D4: ("<", 1), 0xA1B23C4D: ("<", 1000), 0xD4C3B2A1: (">", 1), 0x4D3CB2A1: (">", 1000)}
-# Link type -> bytes before the network header (Ethernet may add VLAN tags).
-LINKS = {1: 14, 0: 4, 101: 0, 12: 0, 14: 0}
-HEADER, RECORD = 24, 16
-PROOF = 32           # consecutive plausible records that end the search
-LARGEST = 1 << 18    # largest record believed while searching
-BATCH = 4096
-
-
-class Capture:
-    """Random access to one file: its header, and its records from a given offset."""
-
-    def __init__(self, path: str):
-        where, name = afs.FileSystem.from_uri(path)
-        self.file = where.open_input_file(name)
-        self.size = self.file.size()
-        head = self.file.read_at(HEADER, 0)
-        magic = struct.unpack("<I", head[:4])[0] if len(head) == HEADER else None
-        self.problem = None
-        if magic not in MAGICS:
-            self.problem = "not a classic pcap file"
-            return
-        self.order, self.ticks = MAGICS[magic]
-        self.link = struct.unpack(f"{self.order}I", head[20:24])[0]
-        if self.link not in LINKS:
-            self.problem = f"link type {self.link} is not supported"
-        self.record = struct.Struct(f"{self.order}IIII")
-
-    def walk(self, start: int, stop: int, chunk: int = 1 << 22) -> Iterator[tuple]:
-        """(offset, seconds, fraction, wire length, frame) of records beginning in [start, stop).
-
-        The last tuple has no frame: it tells where the next record begins.
-        """
-        at, base, data = start, start, b""
-        while at < stop:
-            for need in (RECORD, None):
-                if need is None:
-                    need = RECORD + length
-                if at - base + need > len(data):
-                    data = self.file.read_at(max(chunk, need), at)
-                    base = at
-                if len(data) - (at - base) < need:  # a truncated tail is not a record
-                    yield self.size, 0, 0, 0, None
-                    return
-                if need == RECORD:
-                    sec, frac, length, wire = self.record.unpack_from(data, at - base)
-            body = at - base + RECORD
-            yield at, sec, frac, wire or length, data[body:body + length]
-            at += RECORD + length
-        yield at, 0, 0, 0, None
-
-    def _plausible(self, at: int, left: int) -> bool:
-        second = None
-        for _ in range(left):
-            if at + RECORD > self.size:
-                return at == self.size
-            sec, frac, length, wire = self.record.unpack(self.file.read_at(RECORD, at))
-            near = second is None or abs(sec - second) < 86_400
-            if not near or frac >= 1_000_000 * self.ticks or length > LARGEST or 0 < wire < length:
-                return False
-            second, at = sec, at + RECORD + length
-        return True
-
-    def first_record(self, start: int) -> int:
-        for at in range(start, self.size):
-            if self._plausible(at, PROOF):
-                return at
-        return self.size
-
-
-RANGES = "path string, part long, start long, stop long, next long"
-
-
-def _ranges(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
-    """Byte ranges of all files; only names and sizes are read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    last = F.greatest(F.ceil(F.col("length") / F.lit(split_bytes)) - 1, F.lit(0))
-    cut = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return cut.select("path", "length", "part", (F.col("part") * split_bytes).alias("lo"),
-                      F.least((F.col("part") + 1) * split_bytes, F.col("length")).alias("hi"))
-
-
-def _scatter(df: DataFrame) -> DataFrame:
-    """One range per task as far as the cluster allows."""
-    return df.repartition(F.col("path"), F.col("part"))
-
-
-def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            capture = Capture(r.path)
-            if capture.problem:
-                continue
-            known = getattr(r, "start", None)
-            if known is None or pd.isna(known):
-                known = HEADER if r.part == 0 else capture.first_record(int(r.lo))
-            end = int(known)
-            for at, *_, frame in capture.walk(int(known), int(r.hi)):
-                end = at
-            rows.append((r.path, r.part, int(known), int(r.hi), max(end, int(known))))
-        yield pd.DataFrame(rows, columns=["path", "part", "start", "stop", "next"])
-
-
-def located_ranges(spark: SparkSession, path: str, split_bytes: int = 1 << 27) -> DataFrame:
-    """Ranges whose first record is certain."""
-    todo = _ranges(spark, path, split_bytes)
-    if todo.where("part > 0").isEmpty():
-        return todo.select("path", "part", F.lit(HEADER).cast("long").alias("start"),
-                           F.col("hi").alias("stop"), F.col("length").alias("next"))
-    found = materialise(_scatter(todo).mapInPandas(_locate, RANGES), "ranges")
-    while True:
-        follows = F.lag("next").over(W.partitionBy("path").orderBy("part"))  # a row per range
-        judged = found.withColumn("true_start", follows)
-        wrong = judged.where(F.col("true_start") != F.col("start"))
-        if wrong.isEmpty():
-            return found
-        again = wrong.select("path", "part", F.col("true_start").alias("start"),
-                             F.col("stop").alias("hi"), F.lit(0).alias("lo"))
-        redone = _scatter(again).mapInPandas(_locate, RANGES)
-        found = materialise(
-            found.join(wrong.select("path", "part"), ["path", "part"], "left_anti")
-            .unionByName(redone), "ranges")
-
-
-FRAMES = "path string, seq long, ts_us long, wire int, link int, frame binary"
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["path", "seq", "ts_us", "wire", "link", "frame"]
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            capture, rows = Capture(r.path), []
-            if capture.problem:
-                continue
-            for at, sec, frac, wire, frame in capture.walk(int(r.start), int(r.stop)):
-                if frame is None:
-                    break
-                us = sec * 1_000_000 + frac // capture.ticks
-                rows.append((r.path, at, us, wire, capture.link, frame))
-                if len(rows) == BATCH:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-
-def pcap_frames(spark: SparkSession, path: str, split_bytes: int = 1 << 27) -> DataFrame:
-    """Raw frames; ``seq`` is the record's byte offset, so file order needs no counting."""
-    return _scatter(located_ranges(spark, path, split_bytes)).mapInPandas(_read, FRAMES)
+from packetloom.sources import capture
 
 
 def pcap_unsupported(spark: SparkSession, path: str) -> DataFrame:
     """Files the reader leaves out, with the reason."""
     def look(batches):
         for pdf in batches:
-            rows = [(p, Capture(p).problem) for p in pdf["path"]]
-            yield pd.DataFrame([r for r in rows if r[1]], columns=["path", "reason"])
+            found = []
+            for p in pdf["path"]:
+                where, name = afs.FileSystem.from_uri(p)
+                with where.open_input_file(name) as file:
+                    found.append(capture.header(file.read_at(capture.HEADER, 0)))
+            bad = [isinstance(f, str) for f in found]
+            yield pdf[bad].assign(reason=[f for f in found if isinstance(f, str)])
 
     files = spark.read.format("binaryFile").load(path).select("path")
     return files.repartition("path").mapInPandas(look, "path string, reason string")
@@ -236,7 +77,12 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     )
 
 
-def pcap_scan(spark: SparkSession, path: str, split_bytes: int = 1 << 27) -> DataFrame:
+def pcap_scan(spark: SparkSession, path: str, split_bytes: int = capture.SPLIT) -> DataFrame:
     """A folder of captures as packet rows in the standard schema."""
-    packets = decode_frames(pcap_frames(spark, path, split_bytes))
-    return packets.select(*schemas.PACKETS.names)
+    return capture.register(spark).read.format("capture").option("split", split_bytes).load(path)
+
+
+def pcap_stream(spark: SparkSession, path: str, split_bytes: int = capture.SPLIT) -> DataFrame:
+    """Captures of a folder as they appear and grow."""
+    packets = capture.register(spark).readStream.format("capture").option("split", split_bytes).load(path)
+    return packets.withColumn("ts", F.timestamp_micros("ts_us"))

@@ -1,10 +1,12 @@
+import random
 import struct
 
 import pytest
 
 from packetloom import schemas
 from packetloom.functions.payload import payload_entropy, payload_entropy_arrow
-from packetloom.sources.pcap import located_ranges, pcap_scan, pcap_unsupported
+from packetloom.sources import capture as source
+from packetloom.sources.pcap import decode_frames, pcap_scan, pcap_stream, pcap_unsupported
 from packetloom.sources.tables import Batches, dataset_read, dataset_write
 
 
@@ -73,15 +75,89 @@ def test_unsupported_files_are_reported(spark, tmp_path):
         "link type 105 is not supported", "not a classic pcap file"]
 
 
-def test_ranges_of_one_file_give_every_record_once(spark, tmp_path):
-    # payloads that look like record headers, to lead the search astray
+def baited():
+    """Payloads that look like record headers, to lead the search astray."""
     bait = struct.pack("<IIII", 5, 5, 30, 30) + bytes(30)
-    frames = [(5, i, ether(ipv4(6, tcp(i % 60000, 80, 16, bait * (1 + i % 9))))) for i in range(150)]
-    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    return [(5, i, ether(ipv4(6, tcp(i % 60000, 80, 16, bait * (1 + i % 9))))) for i in range(150)]
+
+
+def test_ranges_of_one_file_give_every_record_once(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(capture(baited()))
     whole = scan(spark, tmp_path)
-    parts = scan(spark, tmp_path, split_bytes=5000)
-    assert len(whole) == 150 and whole == parts
-    assert located_ranges(spark, str(tmp_path), 5000).count() > 5
+    assert len(whole) == 150 and whole == scan(spark, tmp_path, split_bytes=5000)
+
+
+@pytest.mark.parametrize("order, seed", [("<", 1), (">", 2), ("<", 3)])
+def test_records_are_found_from_anywhere(tmp_path, order, seed):
+    """Every split of a file gives every record once, also where zeros and bait look like records."""
+    rng = random.Random(seed)
+    bait = struct.pack(f"{order}IIII", 5, 5, 30, 30)
+    body = lambda: rng.choice([bytes(rng.randrange(200)), bait * rng.randrange(9), bait + bytes(30), rng.randbytes(rng.randrange(120))])
+    frames = [(rng.randrange(2**32), rng.randrange(10**6), ether(ipv4(6, tcp(1, 2, 16, body())))) for _ in range(120)]
+    raw = capture(frames, order, tail=b"\1" * rng.randrange(9))
+    (file := tmp_path / "a.pcap").write_bytes(raw)
+    want = [r.as_py() for b in source.packets(source.Range(str(file), 0, len(raw)), 600) for r in b.column("seq")]
+    assert len(want) == 120
+    for split in (97, 700, 2500):
+        parts = source.cut({str(file): len(raw)}, split)
+        assert [r.as_py() for p in parts for b in source.packets(p, 600) for r in b.column("seq")] == want
+
+
+def test_a_chain_of_bait_across_records_is_seen_through(tmp_path):
+    """Records written so that a false chain goes on from one payload into the next one."""
+    frames, false = [], struct.pack("<IIII", 5, 5, 84, 84)
+    for i in range(60):  # each payload holds one false header that ends at the one of the next record
+        frames.append((9, i, bytes(20) + false + bytes(48)))
+    raw = capture(frames, link=101)
+    (file := tmp_path / "a.pcap").write_bytes(raw)
+    buffered = source.Buffered(str(file), 100)
+    for lo in range(400, len(raw) - 200, 37):
+        data, base, at = buffered.range(lo, len(raw))
+        assert (at - 24) % 100 == 0 and at + 100 > lo >= at and base == 24
+
+
+def test_decoding_in_numpy_equals_column_expressions(spark, tmp_path):
+    rng = random.Random(4)
+    frames = []
+    for i in range(300):
+        ip = ipv4(rng.choice([1, 6, 17, 47]), rng.randbytes(rng.randrange(60)), f"{i % 256}.2.3.4", options=rng.randrange(3))
+        whole = ether(ip, rng.choice([0x0800, 0x0800, 0x86DD]), rng.choice([(), (0x8100,), (0x88A8, 0x8100)]))
+        frames.append((i, i, whole[:rng.choice([len(whole), rng.randrange(len(whole))])]))
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    at, rows = 24, []
+    for i, _, f in frames:
+        rows.append(("a", at, i * 1_000_001, len(f) + 5, 1, bytearray(f)))
+        at += 16 + len(f)
+    plain = decode_frames(spark.createDataFrame(rows, "path string, seq long, ts_us long, wire int, link int, frame binary"))
+    names = [c for c in schemas.PACKETS.names if c != "capture_id"]
+    assert sorted(plain.select(names).collect()) == sorted(pcap_scan(spark, str(tmp_path)).select(names).collect())
+
+
+def test_patterns_folders_and_hidden_files(spark, tmp_path):
+    one = capture([(3, 250, ether(ipv4(6, tcp(1, 2, 2))))])
+    for name in ("a.pcap", "b.cap", ".c.pcap", "_d.pcap", "sub/e.pcap"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(one)
+    found = lambda path: sorted(r.capture_id.rsplit("/", 1)[1] for r in pcap_scan(spark, path).collect())
+    assert found(str(tmp_path)) == ["a.pcap", "b.cap", "e.pcap"]
+    assert found(f"{tmp_path}/*.pcap") == ["a.pcap", "e.pcap"] and found(f"file://{tmp_path}/b.cap") == ["b.cap"]
+
+
+def test_a_stream_follows_a_capture_that_grows(spark, tmp_path):
+    frames = baited()
+    raw, folder = capture(frames), tmp_path / "in"
+    folder.mkdir()
+    seen = []
+    for k, size in enumerate((10, 400, 2_000, 2_001, 20_000, len(raw))):  # cut in headers and frames
+        (folder / "a.pcap").write_bytes(raw[:size])
+        query = (pcap_stream(spark, str(folder), 3000).select("seq").writeStream.format("parquet")
+                 .option("checkpointLocation", str(tmp_path / "ckpt")).option("path", str(tmp_path / "out"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        seen.append(spark.read.schema("seq long").parquet(str(tmp_path / "out")).count())
+    want = sorted(r.seq for r in scan(spark, folder))
+    assert sorted(r.seq for r in spark.read.schema("seq long").parquet(str(tmp_path / "out")).collect()) == want
+    assert len(want) == 150 and seen[0] == 0 and seen == sorted(seen) and seen[4] > seen[3]
 
 
 def test_entropy(spark):
