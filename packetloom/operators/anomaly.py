@@ -15,23 +15,19 @@ from packetloom.functions import scalars as S
 from packetloom.operators.quantiles import column_quantiles, grid_quantiles
 from packetloom.params import Params
 
-EXACT_ROWS = 1_000_000  # below this, quantiles use the built-in exact aggregate
-
 
 # scaling
 
-def robust_fit(df: DataFrame, names: tuple[str, ...] = V.FEATURES,
-               limit: int = EXACT_ROWS) -> DataFrame:
+def robust_fit(df: DataFrame, names: tuple[str, ...] = V.FEATURES) -> DataFrame:
     """(feature, median, scale): scale is the 5-95 % range, 1 where that is zero."""
-    q = column_quantiles(df, names, (0.05, 0.5, 0.95), limit)
+    q = column_quantiles(df, names, (0.05, 0.5, 0.95))
     spread = F.col("q2") - F.col("q0")
     return q.select(F.col("column").alias("feature"), F.col("q1").alias("median"),
                     F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
 
 
-def baseline_median(df: DataFrame, names: tuple[str, ...] = V.FEATURES,
-                    limit: int = EXACT_ROWS) -> DataFrame:
-    q = column_quantiles(df, names, (0.5,), limit)
+def baseline_median(df: DataFrame, names: tuple[str, ...] = V.FEATURES) -> DataFrame:
+    q = column_quantiles(df, names, (0.5,))
     return q.select(F.col("column").alias("feature"), F.col("q0").alias("median"))
 
 
@@ -175,10 +171,10 @@ def iforest_score(forest: Forest, df: DataFrame):
 
 # calibration
 
-def ecdf_fit(raw: DataFrame, column: str = "raw", limit: int = EXACT_ROWS) -> DataFrame:
+def ecdf_fit(raw: DataFrame, column: str = "raw") -> DataFrame:
     """(i, prob, value, tail_scale): benign quantile grid, forced to increase."""
-    grid = grid_quantiles(raw, column, V.GRID_POINTS, V.GRID_TOP, limit)
-    median = column_quantiles(raw, [column], (0.5,), limit).select(F.col("q0").alias("median"))
+    grid = grid_quantiles(raw, column, V.GRID_POINTS, V.GRID_TOP)
+    median = column_quantiles(raw, [column], (0.5,)).select(F.col("q0").alias("median"))
     # the grid has a fixed number of rows, so one ordered pass over it is small
     upto = W.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     rising = F.max("value").over(upto) + F.col("i") * F.lit(1e-12)

@@ -32,9 +32,9 @@ class Detector:
 
 
 def fit_anomaly(benign: DataFrame, names: tuple[str, ...] = V.FEATURES, trees: int = 220,
-                sample: int = 4096, seed: int = 0, limit: int = A.EXACT_ROWS) -> Detector:
+                sample: int = 4096, seed: int = 0) -> Detector:
     """Scale, forest and calibration from benign flows (columns: id and the features)."""
-    scaling = materialise(A.robust_fit(benign, names, limit), "scaling")
+    scaling = materialise(A.robust_fit(benign, names), "scaling")
     medians = A.in_order(scaling, names, "median")
     scales = A.in_order(scaling, names, "scale")
     vectors = materialise(benign.select(
@@ -43,7 +43,7 @@ def fit_anomaly(benign: DataFrame, names: tuple[str, ...] = V.FEATURES, trees: i
     forest = A.load_forest(trees_table)
     raw = materialise(
         vectors.select(A.iforest_score(forest, vectors)("vec").alias("raw")), "raw")
-    grid = materialise(A.ecdf_fit(raw, "raw", limit), "grid")
+    grid = materialise(A.ecdf_fit(raw, "raw"), "grid")
     return Detector(names, trees_table, grid, scaling)
 
 

@@ -10,11 +10,10 @@ from packetloom import fixed_values as V
 from packetloom.functions import scalars as S
 from packetloom.operators.dims import family_info
 from packetloom.operators.incidents import count_incidents
-from packetloom.operators.slices import RunSum, running
+from packetloom.operators.prefix import Sum, prefix_scan
 from packetloom.params import Params
 
 LATENCY_SLOT_US = 60_000_000
-SCORE_SLICES = 65_536  # slices of the score axis for running sums over all scores
 
 
 def truth_join(flows: DataFrame, verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,10 +25,8 @@ def _steps(df: DataFrame) -> DataFrame:
     """Distinct scores from high to low, with running positives and rows."""
     per = df.groupBy("score").agg(
         S.count_if(F.col("truth")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    # highest first: order and slice on the negated score
-    per = per.withColumn("_down", -F.col("score"))
-    return running(per, [], ["_down"], F.floor(F.col("_down") * SCORE_SLICES),
-                   tp=RunSum(F.col("pos")), seen=RunSum(F.col("n"))).drop("_down")
+    # ranges of equally many scores, wherever on the axis they lie
+    return prefix_scan(per, [F.col("score").desc()], tp=Sum(F.col("pos")), seen=Sum(F.col("n")))
 
 
 def pr_curve(df: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact linear-interpolation quantiles of columns of any length.
 
-Up to a size limit the built-in ``percentile`` is used. It keeps all distinct values of a
-group in one place, so beyond the limit the order statistics are located by distributed
-ranking: values are cut into balanced ranges at approximate quantiles, counted, and
-ranked by a running count; only the rows that hold a wanted rank remain.
+The built-in ``percentile`` keeps all distinct values of a group in one place. Here values are
+counted, a prefix scan over even ranges tells which ranks each one covers, and only the rows
+that hold a wanted rank remain.
 """
 
 from __future__ import annotations
@@ -12,30 +11,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packetloom.operators.slices import RunSum, running
-
-RANGES = 256  # ranges the values of a column are cut into
+from packetloom.operators.prefix import Sum, prefix_scan
 
 
 def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, lo, hi, total): zero-based ranks each distinct value covers."""
-    points = F.array(*[F.lit((i + 1) / RANGES) for i in range(RANGES - 1)])
-    cuts = df.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in columns]).first()
     named = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in columns])
     values = (df.select(F.explode(named).alias("e")).select("e.*")
               .where(F.col("value").isNotNull()).groupBy("column", "value").count())
-    where = F.lit(0)
-    for c in columns:
-        edges = sorted(set(cuts[c] or []))
-        if edges:
-            # one binary-search-free bucket number: edges below the value
-            bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]),
-                                     lambda e: e < F.col("value")))
-            where = F.when(F.col("column") == c, bucket).otherwise(where)
-    upto = running(values, ["column"], ["value"], where.cast("long"), hi=RunSum(F.col("count")))
-    totals = values.groupBy("column").agg(F.sum("count").alias("total"))  # one row per column
+    upto = prefix_scan(values, ["value"], ["column"], hi=Sum(F.col("count")))
+    totals = upto.groupBy("column").agg(F.max("hi").alias("total"))  # one row per column
     return upto.join(F.broadcast(totals), "column").select(
         "column", "value", (F.col("hi") - F.col("count")).alias("lo"),
         (F.col("hi") - 1).alias("hi"), "total")
@@ -45,16 +32,8 @@ def _between(lower: Column, upper: Column, fraction: Column) -> Column:
     return lower + (upper - lower) * fraction
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     limit: int) -> DataFrame:
-    """(column, q0, q1, ...) with one row per column."""
-    if df.limit(limit + 1).count() <= limit:
-        at = F.array(*[F.lit(float(x)) for x in probs])
-        wide = df.agg(*[F.percentile(c, at).alias(c) for c in columns])
-        named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q"))
-                          for c in columns])
-        long = wide.select(F.explode(named).alias("e")).select("e.*")
-        return long.select("column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, q0, q1, ...) with one row per column; NULL quantiles where no value is known."""
     ranked = _ranked(df, columns)
     picks = {}
     for i, x in enumerate(probs):
@@ -63,20 +42,16 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         picks[f"_a{i}"] = F.max(F.when(holds(F.floor(h)), F.col("value")))
         picks[f"_b{i}"] = F.max(F.when(holds(F.ceil(h)), F.col("value")))
         picks[f"_f{i}"] = F.max(h - F.floor(h))
-    rows = ranked.groupBy("column").agg(*[c.alias(n) for n, c in picks.items()])
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    rows = every.join(ranked.groupBy("column").agg(*[c.alias(n) for n, c in picks.items()]), "column", "left")
     return rows.select("column", *[
         _between(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_f{i}")).alias(f"q{i}")
         for i in range(len(probs))])
 
 
-def grid_quantiles(df: DataFrame, column: str, points: int, top: float, limit: int) -> DataFrame:
+def grid_quantiles(df: DataFrame, column: str, points: int, top: float) -> DataFrame:
     """(i, prob, value): ``points`` evenly spaced quantiles on 0..top."""
     step = top / (points - 1)
-    if df.limit(limit + 1).count() <= limit:
-        probs = F.array(*[F.lit(i * step if i < points - 1 else top) for i in range(points)])
-        return df.agg(F.percentile(column, probs).alias("q")).select(
-            F.posexplode("q").alias("i", "value")).select(
-            "i", (F.col("i") * step).alias("prob"), "value")
     ranked = _ranked(df.select(F.col(column).alias("v")), ["v"])
     # grid positions whose lower or upper rank may fall on this value, with one to spare
     unit = F.lit(step) * F.greatest(F.col("total") - 1, F.lit(1))

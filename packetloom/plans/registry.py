@@ -1259,8 +1259,8 @@ def baseline_median(s, d):
 @query("baseline_median_ranked", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6)::DOUBLE AS median FROM flows" for c in SCALED))
 def baseline_median_ranked(s, d):
-    """The form for columns of any length."""
-    return A.baseline_median(flows(s, d), SCALED, limit=0)
+    """Of rows that came in another order and in many files."""
+    return A.baseline_median(flows(s, d).repartition(16, "seq"), SCALED)
 
 
 GRID = """SELECT i, i * 0.999 / 2000 AS prob, max(q) OVER (ORDER BY i) + i * 1e-12 AS value,
@@ -1279,7 +1279,7 @@ def ecdf_fit(s, d):
 @query("ecdf_fit_ranked", f"""SELECT i, round(prob * 10, 6) AS prob, round(value, 6) AS value,
     round(greatest(tail, 1e-6), 6) AS tail_scale FROM ({GRID})""")
 def ecdf_fit_ranked(s, d):
-    grid = A.ecdf_fit(flows(s, d), "score", limit=0)
+    grid = A.ecdf_fit(flows(s, d).repartition(16, "seq"), "score")
     return grid.withColumn("prob", F.col("prob") * 10)
 
 

@@ -90,20 +90,40 @@ def test_calibrator_recovers_the_normal_curve(spark):
     assert (np.diff(ys) >= 0).all() and at(8) < at(40) < 1 and at(1e6) < 1
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles_equal_numpy(spark, limit):
+def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"a": rng.normal(size=3001), "b": rng.integers(0, 5, 3001)})
     df = spark.createDataFrame(pdf)
-    got = {r["column"]: r for r in Q.column_quantiles(df, ["a", "b"], (.05, .5, .95), limit).collect()}
+    got = {r["column"]: r for r in Q.column_quantiles(df, ["a", "b"], (.05, .5, .95)).collect()}
     for c in ("a", "b"):
         want = np.quantile(pdf[c], [.05, .5, .95])
         assert [got[c][f"q{i}"] for i in range(3)] == pytest.approx(list(want))
-    grid = Q.grid_quantiles(df, "a", 2001, .999, limit).toPandas().sort_values("i")
+    grid = Q.grid_quantiles(df, "a", 2001, .999).toPandas().sort_values("i")
     assert list(grid["value"]) == pytest.approx(
         list(np.quantile(pdf["a"], np.linspace(0, .999, 2001))))
 
 
+def test_quantiles_of_unknown_and_equal_values(spark):
+    df = spark.createDataFrame([(None, 4.0, 1.0)] * 5 + [(None, 4.0, None)] * 3, "a double, b double, c double")
+    got = {r["column"]: (r.q0, r.q1) for r in Q.column_quantiles(df, ["a", "b", "c"], (.1, .9)).collect()}
+    assert got == {"a": (None, None), "b": (4.0, 4.0), "c": (1.0, 1.0)}
+
+
+def test_ranges_of_a_curve_are_even_where_scores_crowd(spark):
+    """Running sums over scores that all lie above 0.99 do not meet in a few tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        df = spark.range(20_000).select((1 - F.col("id") / 2e6 - 1e-9).alias("score"), (F.col("id") % 3 == 0).alias("truth"))
+        curve = E.pr_curve(df)
+        sizes = [r["count"] for r in curve.groupBy(F.input_file_name()).count().collect()]
+        ordered = curve.orderBy(F.col("score").desc()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    assert [r.seen for r in ordered] == list(range(1, 20_001)) and [r.tp for r in ordered[:4]] == [1, 1, 1, 2]
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     rng = np.random.default_rng(6)
