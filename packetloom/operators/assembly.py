@@ -1,23 +1,21 @@
 """Packets to bidirectional flows.
 
-Cuts that need no state (after a reset, or a silence the capture clock has noticed) come
-from the previous packet of the key. Between such hard cuts lies an island; only islands
-that can still split (two FINs, longer than the active limit, a lone SYN left waiting)
-are folded in order. A flow is named by the sequence number of its first packet.
+Packets get the time of the packet before them in their capture, whatever its key, and are walked
+in order of key and time (`boundaries`); a flow is named by the sequence number of its first
+packet. Sums per flow give the features, and the capture's clock tells when a flow is exported.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom import fixed_values as V
 from packetloom.functions import scalars as S
 from packetloom.functions.payload import payload_entropy_arrow
-from packetloom.operators.clocks import export_clock, global_prev_ts
-from packetloom.operators.ordered_fold import fold_sliced
-from packetloom.operators.slices import Last, Prev, has_group_over, running, time_slice
-from packetloom.params import SECOND, Params
+from packetloom.operators import boundaries as B
+from packetloom.operators.clocks import export_clock
+from packetloom.operators.prefix import Before, prefix_scan
+from packetloom.params import Params
 from packetloom.session import materialise
 
 KEY = ["capture_id", "key_lo", "key_hi", "key_lo_port", "key_hi_port", "proto"]
@@ -28,157 +26,31 @@ def canonical_key(packets: DataFrame) -> DataFrame:
     return packets.withColumns(S.canonical_columns())
 
 
-def _pure_syn() -> Column:
-    return S.has_flag(F.col("flags"), V.SYN) & ~S.has_flag(F.col("flags"), V.ACK)
-
-
-def _ends(at: Column) -> Column:
-    return F.when(at, F.struct(
-        F.col("seq").alias("flow_id"), F.col("src").alias("init_src"),
-        F.col("sport").alias("init_sport"),
-        F.col("dst").alias("init_dst"), F.col("dport").alias("init_dport")))
-
+def flow_boundaries(packets: DataFrame, p: Params = Params(), clock: str = "capture") -> DataFrame:
+    """Add ``flow_id``, the flow's initiator and ``iat_us`` to every packet.
 
-def _with_islands(packets: DataFrame, p: Params, clock: str, busy: bool) -> DataFrame:
-    """Add previous-packet columns, ``hard`` and ``island``."""
+    ``capture`` cuts a flow only once some packet of the capture has passed its deadline,
+    ``deadline`` by the packet's own time.
+    """
     if clock == "capture":
-        keyed = global_prev_ts(packets).withColumnRenamed("g_us", "clock_us")
+        clocked = prefix_scan(packets, ORDER, ["capture_id"], _b_clock=Before(F.col("ts_us")))
     elif clock == "deadline":
-        keyed = packets.withColumn("clock_us", F.col("ts_us"))
+        clocked = packets.withColumn("_b_clock", F.col("ts_us"))
     else:
         raise ValueError("clock must be 'capture' or 'deadline'")
-    part = time_slice(F.col("ts_us"), p.slice_s * SECOND) if busy else None
-    before = running(
-        canonical_key(keyed), KEY, ORDER, part,
-        _prev=Prev(F.struct(
-            F.col("ts_us").alias("ts"),
-            S.has_flag(F.col("flags"), V.RST).alias("rst"),
-            _pure_syn().alias("syn"))),
-    )
-    prev = F.col("_prev")
-    hard = prev.isNull() | prev["rst"] | (F.col("clock_us") >= prev["ts"] + p.idle_us)
-    # a bare SYN in front of this packet, and time enough for it to have been exported
-    waited = ~hard & prev["syn"] & (F.col("clock_us") >= prev["ts"] + p.syn_us)
-    marked = before.withColumns({
-        "prev_us": prev["ts"], "hard": hard, "waited": F.coalesce(waited, F.lit(False)),
-    }).drop("_prev")
-    headed = running(marked, KEY, ORDER, part, head=Last(_ends(F.col("hard"))))
-    return headed.withColumn("island", F.col("head")["flow_id"])
-
-
-def _cut(state: Column, x: Column, p: Params) -> Column:
-    lone_syn = (state["n"] == 1) & state["syn"]
-    idle = F.when(lone_syn, F.lit(p.syn_us)).otherwise(F.lit(p.idle_us))
-    deadline = F.least(state["last"] + idle, state["start"] + p.active_us)
-    return (state["fins"] >= 2) | (x["clock_us"] >= deadline)
-
-
-def _fold_native(rows: DataFrame, p: Params) -> DataFrame:
-    """Soft cuts of islands that fit in an array: an in-JVM fold over the ordered packets."""
-    item = F.struct("ts_us", "seq", "clock_us", "syn", "fin")
-    folded = rows.groupBy("capture_id", "island").agg(
-        F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("last"),
-        F.lit(0).alias("fins"), F.lit(0).alias("n"), F.lit(False).alias("syn"),
-        F.array().cast("array<bigint>").alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        first = s["n"] == 0
-        cut = ~first & _cut(s, x, p)
-        fresh = first | cut
-        return F.struct(
-            F.when(fresh, x["ts_us"]).otherwise(s["start"]).alias("start"),
-            x["ts_us"].alias("last"),
-            (F.when(fresh, F.lit(0)).otherwise(s["fins"]) + x["fin"]).alias("fins"),
-            F.when(fresh, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-            F.when(fresh, x["syn"]).otherwise(s["syn"]).alias("syn"),
-            F.when(cut, F.concat(s["cuts"], F.array(x["seq"]))).otherwise(s["cuts"]).alias("cuts"),
-        )
-
-    cuts = F.aggregate("items", start, step, lambda s: s["cuts"])
-    return folded.select("capture_id", F.explode(cuts).alias("seq"))
-
-
-CUT_SCHEMA = T.StructType([
-    T.StructField("capture_id", T.StringType()), T.StructField("seq", T.LongType())])
-
-
-def _fold_rows(p: Params):
-    """The same rule over pandas rows, with the open flow as carried state."""
-
-    def fold(state, rows: pd.DataFrame):
-        cuts = []
-        values = rows[["ts_us", "seq", "clock_us", "syn", "fin"]].itertuples(index=False)
-        for ts, seq, clock, syn, fin in values:
-            if state is None:
-                state = (int(ts), int(ts), int(fin), 1, bool(syn))
-                continue
-            begun, last, fins, n, lone = state
-            idle = p.syn_us if n == 1 and lone else p.idle_us
-            if fins >= 2 or clock >= min(last + idle, begun + p.active_us):
-                cuts.append(seq)
-                state = (int(ts), int(ts), int(fin), 1, bool(syn))
-            else:
-                state = (begun, int(ts), fins + int(fin), n + 1, lone)
-        out = pd.DataFrame({
-            "capture_id": pd.Series([rows["capture_id"].iloc[0]] * len(cuts), dtype=object),
-            "seq": pd.Series(cuts, dtype="int64")})
-        return out, state
-
-    return fold
-
-
-def _doubtful(islands: DataFrame, p: Params) -> DataFrame:
-    """Islands that may hold more than one flow."""
-    fin = S.has_flag(F.col("flags"), V.FIN).cast("int")
-    return (
-        islands.groupBy("capture_id", "island")
-        .agg(F.sum(fin).alias("fins"), F.max("waited").alias("waits"),
-             (F.max(F.greatest("ts_us", "clock_us")) - F.min("ts_us")).alias("span"),
-             F.count(F.lit(1)).alias("rows"))
-        .where((F.col("fins") >= 2) | F.col("waits") | (F.col("span") >= p.active_us))
-        .select("capture_id", "island", "rows")
-    )
-
-
-def _soft_cuts(rows: DataFrame, p: Params, busy: bool) -> DataFrame:
-    shaped = rows.select(
-        "capture_id", "island", "rows", *ORDER, "clock_us",
-        F.coalesce(_pure_syn(), F.lit(False)).alias("syn"),
-        S.has_flag(F.col("flags"), V.FIN).cast("int").alias("fin"))
-    if not busy:
-        return _fold_native(shaped, p)
-    small = _fold_native(shaped.where(F.col("rows") <= p.group_rows), p)
-    large = shaped.where(F.col("rows") > p.group_rows).drop("rows")
-    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return small.unionByName(fold_sliced(
-        large, ["capture_id", "island"], ORDER, _fold_rows(p), CUT_SCHEMA, max(2, pieces)))
-
-
-def flow_boundaries(packets: DataFrame, p: Params = Params(), clock: str = "capture") -> DataFrame:
-    """Add ``flow_id``, the flow's initiator and ``iat_us`` to every packet."""
-    # only a key with more packets than the limit can hold an island with more
-    busy = has_group_over(canonical_key(packets), KEY, p.group_rows)
-    # read by both branches below
-    islands = materialise(_with_islands(packets, p, clock, busy), "islands")
-    doubtful = _doubtful(islands, p)
-    tagged = islands.join(doubtful, ["capture_id", "island"], "left")
-    clear = tagged.where(F.col("rows").isNull()).withColumn("begins", F.col("hard"))
-    unclear = tagged.where(F.col("rows").isNotNull())
-    soft = _soft_cuts(unclear, p, busy).withColumn("soft", F.lit(True))
-    cut = unclear.join(soft, ["capture_id", "seq"], "left").withColumn(
-        "begins", F.col("hard") | F.coalesce("soft", F.lit(False))).drop("head", "soft")
-    part = time_slice(F.col("ts_us"), p.slice_s * SECOND) if busy else None
-    settled = running(cut, ["capture_id", "island"], ORDER, part,
-                      head=Last(_ends(F.col("begins"))))
-    named = clear.unionByName(settled)
-    gap = F.col("ts_us") - F.col("prev_us")
-    return named.select(
-        *packets.columns, *[k for k in KEY if k not in packets.columns],
-        F.col("head.*"),
-        F.when(~F.col("begins") & (gap > 0), gap).alias("iat_us"),
-    )
+    flags, bit = F.coalesce("flags", F.lit(0)), lambda on, value: F.when(on, F.lit(value)).otherwise(F.lit(0))
+    kind = (bit(S.has_flag(flags, V.SYN) & ~S.has_flag(flags, V.ACK), B.SYN_ALONE) + bit(S.has_flag(flags, V.FIN), B.FIN)
+            + bit(S.has_flag(flags, V.RST), B.RST) + bit(S.lower_end_is_source(), B.LOWER))
+    keyed = canonical_key(clocked).withColumns({
+        "_b_k1": F.xxhash64(*KEY), "_b_k2": F.xxhash64(F.lit(1), *KEY), "_b_kind": kind,
+        "_b_clock": F.coalesce("_b_clock", F.lit(B.LONG_AGO))})
+    marked = B.mark_flows(keyed, p)
+    end = lambda low, high: F.when(F.col("_b_lower"), F.col(low)).otherwise(F.col(high))
+    return marked.select(
+        *packets.columns, *[k for k in KEY if k not in packets.columns], F.col("_b_flow").alias("flow_id"),
+        end("key_lo", "key_hi").alias("init_src"), end("key_lo_port", "key_hi_port").alias("init_sport"),
+        end("key_hi", "key_lo").alias("init_dst"), end("key_hi_port", "key_lo_port").alias("init_dport"),
+        F.col("_b_iat").alias("iat_us"))
 
 
 def flow_direction(bounded: DataFrame) -> DataFrame:
@@ -295,7 +167,9 @@ def flow_export(flows: DataFrame, packets: DataFrame, p: Params = Params(),
 
 def assemble_flows(packets: DataFrame, p: Params = Params(), clock: str = "capture") -> DataFrame:
     """Packets of any number of captures to exported flows with 33 features."""
-    directed = flow_direction(flow_boundaries(measured(packets), p, clock))
+    # stored, since ranges are drawn from a sample of it before the rows move
+    slim = materialise(measured(packets), "packets")
+    directed = flow_direction(flow_boundaries(slim, p, clock))
     # one narrow row per flow, read twice by the clock look-up
     flows = materialise(flow_features(flow_sums(directed)), "flows")
-    return flow_export(flows, packets, p, clock)
+    return flow_export(flows, slim, p, clock)

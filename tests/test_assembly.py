@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from model import ACK, FIN, PSH, RST, SYN, event_loop, packet, packet_frame
 from packetloom import fixed_values as V
+from packetloom.operators import boundaries
 from packetloom.operators.assembly import assemble_flows, flow_boundaries
 from packetloom.params import Params
 
@@ -89,10 +91,58 @@ def test_equals_the_event_loop_on_random_captures(spark, seed):
     assert got == event_loop(packets)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_busy_keys_take_the_sliced_path_to_the_same_flows(spark, seed):
-    frame = packet_frame(spark, random_capture(seed + 50, 240))
-    one = flow_boundaries(frame, Params()).select("seq", "flow_id", "iat_us").collect()
-    tiny = Params(group_rows=2, slice_s=7)
-    two = flow_boundaries(frame, tiny).select("seq", "flow_id", "iat_us").collect()
-    assert sorted(one) == sorted(two)
+def one_key(seed, n=500):
+    """Packets of one key without a pause, so that ranges have no certain begin of a flow."""
+    rng = random.Random(seed)
+    t, out = 0.0, []
+    for _ in range(n):
+        t += rng.choice([0, .5, 2.9, 3, 9, 14])
+        flags = rng.choice([ACK] * 30 + [SYN, FIN, SYN | FIN] + [RST] * (seed % 2))
+        out.append(packet(t, *(("b", "a", 80, 1000) if rng.random() < .4 else ()), flags=flags))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("parts", [3, 40])
+def test_ranges_of_one_key_pass_on_their_open_flow(spark, seed, parts):
+    packets = one_key(seed) if seed < 4 else random_capture(seed, 300)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = flow_boundaries(packet_frame(spark, packets), Params()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    flows, last = {}, {}
+    for r in sorted(got, key=lambda r: r.seq):
+        f = flows.setdefault(r.flow_id, [0, r.ts_us, r.src, r.sport])
+        f[0] += 1
+        assert (r.init_src, r.init_sport) == tuple(f[2:])
+        key = (r.key_lo, r.key_hi, r.key_lo_port, r.key_hi_port)
+        gap = r.ts_us - last.get(key, r.ts_us)
+        assert r.iat_us == (gap if r.seq != r.flow_id and gap > 0 else None)
+        last[key] = r.ts_us
+    assert [(k, n, s) for k, (n, s, *_) in sorted(flows.items())] == [x[:3] for x in event_loop(packets)]
+
+
+def test_summaries_compose():
+    """Walking a key in pieces from the summaries' states equals walking it whole."""
+    rng = np.random.default_rng(3)
+    rules = boundaries.Rules.of(Params())
+    for turn in range(60):
+        n = int(rng.integers(2, 400))
+        ts = np.cumsum(rng.choice([0, 400_000, 2_900_000, 3_000_000, 9_000_000], n))
+        clock = np.concatenate([[boundaries.LONG_AGO], ts[:-1]])
+        kind = rng.choice([0] * 20 + [1, 2, 3, 8, 10], n).astype(np.int64)
+        columns = (np.zeros(n, np.int64), np.zeros(n, np.int64), ts, np.arange(n), clock, kind)
+        whole = boundaries.Walk(rules).batch(*columns)[0]
+        cuts = [0, *sorted(rng.choice(np.arange(1, n), min(n - 1, 5), replace=False).tolist()), n]
+        state, flows = None, []
+        for a, b in zip(cuts, cuts[1:]):
+            piece = [c[a:b] for c in columns]
+            flows += boundaries.Walk(rules, state, certain=True).batch(*piece)[0].tolist()
+            guess = boundaries.Walk(rules)
+            for lo, hi in ((a, (a + b) // 2), ((a + b) // 2, b)):
+                if hi > lo:
+                    guess.batch(*[c[lo:hi] for c in columns])
+            state = guess.summary().after(state, rules)
+        assert flows == whole.tolist()
