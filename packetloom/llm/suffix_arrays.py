@@ -20,6 +20,8 @@ from packetloom.llm.repeats import LENGTH, NEVER, Unit, repeats
 BLOCK = 500_000
 #: Bytes in an anchor.
 ANCHOR = 16
+#: Symbols in one packed number, and bits of each.
+PACKED, BITS = 7, 9
 
 
 def suffix_array(text: np.ndarray, key: np.ndarray | None = None, have: int = 1) -> np.ndarray:
@@ -52,16 +54,30 @@ def suffix_array(text: np.ndarray, key: np.ndarray | None = None, have: int = 1)
         have *= 2
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+def packed(text: np.ndarray) -> np.ndarray:
+    """The PACKED symbols from each place on as one number; text is below 2 ** BITS."""
+    padded = np.concatenate([text, np.zeros(PACKED + 1, np.int64)])
+    out = np.zeros(len(text), np.int64)
+    for j in range(PACKED):
+        out = (out << BITS) | padded[j:j + len(text)]
+    return out
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int,
+                    keys: np.ndarray | None = None) -> np.ndarray:
     """Symbols that each suffix shares with the one before it in order, at most `most`.
 
     By Kasai's rule a suffix shares at least one less than the suffix one symbol to its left.
-    The rule is followed in all contexts (starts, sizes) at once.
+    The rule is followed in all contexts (starts, sizes) at once. keys are the packed symbols, so
+    that PACKED of them are compared at a time.
     """
     n = len(text)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(most + 1, text.dtype)])
+    step, values = (1, text) if keys is None else (PACKED, keys)
+    padded = np.concatenate([values, np.zeros(most + 1, np.int64)])
+    # a difference below each of these leaves one leading symbol more
+    below = np.array([1]) if keys is None else 1 << BITS * np.arange(PACKED, dtype=np.int64)
     found = np.zeros(n, np.int64)
     turn = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[turn], sizes[turn]
@@ -74,10 +90,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, siz
         going = np.flatnonzero((other >= 0) & (now < most))
         while len(going):
             p, q, m = at[going], other[going], now[going]
-            same = (padded[p + m] == padded[q + m]) & (np.maximum(p, q) + m < n)
-            going = going[same]
-            now[going] += 1
-            going = going[now[going] < most]
+            same = step - np.searchsorted(below, padded[p + m] ^ padded[q + m], "right")
+            m += np.minimum(same, np.minimum(n - np.maximum(p, q) - m, most - m))
+            now[going] = m
+            going = going[(same == step) & (m < most) & (np.maximum(p, q) + m < n)]
         shared[:k] = now
         found[at] = now
     out = found[order]
@@ -108,22 +124,20 @@ def smallest(order: np.ndarray, prefixes: np.ndarray, place: np.ndarray, source:
 
 def _block(bodies: list[bytes], windows: np.ndarray, first: np.ndarray, length: int):
     """Sorted different windows of a block, the smallest source of each, and which one each window is."""
-    text, starts, sizes, place, owner = laid_out([np.frombuffer(b, np.uint8).astype(np.int64) + 1 for b in bodies], windows)
-    padded = np.concatenate([text, np.zeros(8, np.int64)])
-    packed = np.zeros(len(text), np.int64)
-    for j in range(7):  # seven symbols of nine bits
-        packed = (packed << 9) | padded[j:j + len(text)]
-    order = suffix_array(text, packed, 7)
+    flat = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int64) + 1
+    text, starts, sizes, place, owner = laid_out(np.split(flat, np.cumsum([len(b) for b in bodies])[:-1]), windows)
+    keys = packed(text)
+    order = suffix_array(text, keys, PACKED)
     slot = np.empty(len(order), np.int64)
     slot[order] = np.arange(len(order))
-    prefixes = common_prefixes(text, order, starts, sizes, length)
+    prefixes = common_prefixes(text, order, starts, sizes, length, keys)
     group, least = smallest(order, prefixes, place, first[owner], length)
     mine = group[slot[place]]
     real, which = np.unique(mine, return_inverse=True)
     one = np.zeros(len(least), np.int64)
     one[mine] = place
-    keys = (text[one[real][:, None] + np.arange(length)] - 1).astype(np.uint8)
-    return np.ascontiguousarray(keys).view(f"S{length}").ravel(), least[real], which
+    found = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), length)[one[real]]
+    return np.ascontiguousarray(found).view(f"S{length}").ravel(), least[real], which
 
 
 def solve(bodies: list[bytes], windows: np.ndarray, first: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> np.ndarray:
