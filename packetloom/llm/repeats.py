@@ -130,21 +130,21 @@ def contexts(texts: DataFrame, shared: DataFrame, unit: Unit, length: int) -> Da
     rows = texts.join(shared, "class").select("class", "first", "text", "hashes")
     return stored(rows.mapInArrow(
         cut, "class long, first long, h long, place long, windows int, context binary"
-    ).withColumn("code", F.xxhash64("h", "context")), "contexts")
+    ).withColumns({"code": F.xxhash64("h", "context"), "code2": F.xxhash64(F.lit(2), "context", "h")}), "contexts")
 
 
 def solved(places: DataFrame, unit: Unit, length: int, solve: Solver, hot: int) -> DataFrame:
-    """code, skip, count, source: `count` windows of a context from `skip` on start first in document source."""
+    """code, code2, skip, count, source: `count` windows of a context from `skip` on start first in document source."""
     size = places.agg(F.sum(F.length("context")), F.count("*")).first()
-    columns = ["h", "code", "windows", "context", "source", "latest"]
+    columns = ["h", "code", "code2", "windows", "context", "source", "latest"]
     if not size[1]:
-        return places.select("code", F.lit(0).alias("skip"), F.lit(0).alias("count"), F.col("first").alias("source"))
+        return places.select("code", "code2", F.lit(0).alias("skip"), F.lit(0).alias("count"), F.col("first").alias("source"))
     shards = max(1, -(-size[0] // (SHARD * (6 if unit.words else 1))))
     # what stands at very many places is counted once before it moves; of the rest a shard holds all places
     busy = stored(places.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h"), "busy")
     plain = places.join(small(busy), "h", "left_anti").select(
-        "h", "code", "windows", "context", F.col("first").alias("source"), F.col("first").alias("latest"))
-    once = stored(places.join(small(busy), "h").groupBy("h", "code", "windows", "context").agg(
+        "h", "code", "code2", "windows", "context", F.col("first").alias("source"), F.col("first").alias("latest"))
+    once = stored(places.join(small(busy), "h").groupBy("h", "code", "code2", "windows", "context").agg(
         F.min("first").alias("source"), F.max("first").alias("latest")).select(*columns), "distinct")
     many = stored(once.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h"), "many")
 
@@ -154,7 +154,8 @@ def solved(places: DataFrame, unit: Unit, length: int, solve: Solver, hot: int)
         turn = np.argsort(which, kind="stable")
         begin = np.flatnonzero(np.diff(which[turn], prepend=-1))
         column = lambda name: group.column(name).to_numpy()[turn]
-        windows, codes = column("windows").astype(np.int64)[begin], column("code")[begin]
+        windows = column("windows").astype(np.int64)[begin]
+        codes = [column(c)[begin] for c in ("code", "code2")]
         source, latest = np.minimum.reduceat(column("source"), begin), np.maximum.reduceat(column("latest"), begin)
         best = solve(coded.dictionary.to_pylist(), windows, source)
         owner = np.repeat(np.arange(len(windows)), windows)
@@ -163,13 +164,14 @@ def solved(places: DataFrame, unit: Unit, length: int, solve: Solver, hot: int)
         count = np.diff(np.append(turn, len(owner)))
         used = best[turn] < latest[owner[turn]]
         turn, count = turn[used], count[used]
-        return pa.table([pa.array(codes[owner[turn]], pa.int64()), pa.array(skip[turn], pa.int32()),
-                         pa.array(count, pa.int32()), pa.array(best[turn], pa.int64())], ["code", "skip", "count", "source"])
+        return pa.table([*(pa.array(c[owner[turn]], pa.int64()) for c in codes), pa.array(skip[turn], pa.int32()),
+                         pa.array(count, pa.int32()), pa.array(best[turn], pa.int64())],
+                        ["code", "code2", "skip", "count", "source"])
 
     cold = plain.unionByName(once.join(small(many), "h", "left_anti").select(*columns)).withColumn(
         "shard", F.pmod("h", F.lit(shards)))
-    out = cold.select("shard", "code", "windows", "context", "source", "latest").groupBy("shard").applyInArrow(
-        shard, "code long, skip int, count int, source long")
+    out = cold.select("shard", *columns[1:]).groupBy("shard").applyInArrow(
+        shard, "code long, code2 long, skip int, count int, source long")
     # an anchor with very many contexts: its windows, one by one, to the smallest source
     if unit.words:
         symbols = F.split(F.col("context").cast("string"), " ")
@@ -177,10 +179,11 @@ def solved(places: DataFrame, unit: Unit, length: int, solve: Solver, hot: int)
     else:
         symbols = F.col("context")
         window = F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.unhex(F.md5(F.substring("symbols", i, F.lit(length)))))
-    each = once.join(small(many), "h").withColumn("symbols", symbols).select("code", "source", "latest", F.posexplode(window).alias("skip", "window"))
+    each = once.join(small(many), "h").withColumn("symbols", symbols).select(
+        "code", "code2", "source", "latest", F.posexplode(window).alias("skip", "window"))
     least = each.groupBy("window").agg(F.min("source").alias("least"))
     single = each.join(least, "window").filter("least < latest").select(
-        "code", F.col("skip").cast("int").alias("skip"), F.lit(1).alias("count"), F.col("least").alias("source"))
+        "code", "code2", F.col("skip").cast("int").alias("skip"), F.lit(1).alias("count"), F.col("least").alias("source"))
     return stored(out.unionByName(single), "solved")
 
 
@@ -189,8 +192,8 @@ def repeats(docs: DataFrame, text: Column, unit: Unit, solve: Solver, length: in
     rows, texts = classes(docs, text)
     shared = shared_anchors(texts, unit, length)
     places = contexts(texts, shared, unit, length)
-    found = places.select("class", "first", "place", "code").join(
-        solved(places, unit, length, solve, hot), "code").filter("source < first")
+    found = places.select("class", "first", "place", "code", "code2").join(
+        solved(places, unit, length, solve, hot), ["code", "code2"]).filter("source < first")
     begin = F.col("place") + F.col("skip")
     spans = found.groupBy("class").agg(F.collect_list(F.struct(
         begin.alias("start"), (begin + F.col("count") - 1 + length).alias("end"))).alias("spans"))
