@@ -1,8 +1,9 @@
 """Sliding aggregates over [t - span, t] for keys of any size.
 
-Rows are first combined per key and microsecond, then copied into the time slices their
-presence reaches. Within a slice a running sum over arrivals and departures gives the
-value at every moment: linear work, where a RANGE frame would be rows times window.
+Every row becomes an arrival and a departure, these are combined per key and moment, and a
+running sum over them gives the value at each moment: linear work, where a RANGE frame would be
+rows times window. The running sums are prefix scans over ranges of equally many events, so a key
+with most of the rows has as many tasks as its rows need, however they lie in time.
 """
 
 from __future__ import annotations
@@ -12,112 +13,86 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-HOME = "_home"
-
+from packetloom.operators.prefix import Before, Sum, prefix_scan
 
-def _reach(at: Column, span: int, width: int) -> Column:
-    """Slices in which a row at ``at`` can still be seen."""
-    return F.sequence(F.floor(at / F.lit(width)), F.floor((at + span) / F.lit(width)))
+HOME = "_home"
 
 
-def _in_slices(df: DataFrame, at: str, span: int, width: int) -> DataFrame:
-    return (df.withColumn("_slice", F.explode(_reach(F.col(at), span, width)))
-            .withColumn(HOME, F.col("_slice") == F.floor(F.col(at) / F.lit(width))))
+def _asked(changes: DataFrame, keys: list[str], at: str, names: Sequence[str]) -> DataFrame:
+    """Running sums of changes (keys, _at, _ask, names) at the moments that are asked for."""
+    per = changes.groupBy(*keys, "_at").agg(F.max("_ask").alias("_ask"), *[F.sum(n).alias(n) for n in names])
+    moved = per.withColumnsRenamed({n: f"_d_{n}" for n in names})
+    run = prefix_scan(moved, ["_at"], keys, **{n: Sum(F.col(f"_d_{n}")) for n in names})
+    return run.where("_ask").select(*keys, F.col("_at").alias(at), *names)
 
 
-def sliding_sums(df: DataFrame, keys: Sequence[str], at: str, width: int,
+def sliding_sums(df: DataFrame, keys: Sequence[str], at: str,
                  sums: dict[str, tuple[int, Column]]) -> DataFrame:
     """One row per key and time with each sum over its own span. Values must be integers."""
     keys = list(keys)
-    spans = sorted({span for span, _ in sums.values()})
-    per = df.groupBy(*keys, at).agg(*[F.sum(c).alias(n) for n, (_, c) in sums.items()])
-    spread = _in_slices(per, at, spans[-1], width)
     zero = F.lit(0).cast("long")
-    arrive = F.struct(F.col(at).alias("_at"), F.col(HOME).alias("_ask"),
-                      *[F.col(n).cast("long").alias(n) for n in sums])
+    arrive = F.struct(F.col(at).alias("_at"), F.lit(True).alias("_ask"),
+                      *[c.cast("long").alias(n) for n, (_, c) in sums.items()])
     leave = [
         F.struct((F.col(at) + span + 1).alias("_at"), F.lit(False).alias("_ask"),
-                 *[(-F.col(n).cast("long") if s == span else zero).alias(n)
-                   for n, (s, _) in sums.items()])
-        for span in spans]
-    events = spread.select(*keys, "_slice", F.explode(F.array(arrive, *leave)).alias("e")).select(
-        *keys, "_slice", "e.*")
-    # default frame: RANGE up to the current row, ties included
-    w = W.partitionBy(*keys, "_slice").orderBy("_at")
-    return (events.withColumns({n: F.sum(n).over(w) for n in sums})
-            .where("_ask").select(*keys, F.col("_at").alias(at), *sums))
-
-
-def sliding_distinct(df: DataFrame, keys: Sequence[str], at: str, width: int,
+                 *[(-c.cast("long") if s == span else zero).alias(n) for n, (s, c) in sums.items()])
+        for span in sorted({span for span, _ in sums.values()})]
+    events = df.select(*keys, F.explode(F.array(arrive, *leave)).alias("e")).select(*keys, "e.*")
+    return _asked(events, keys, at, list(sums))
+
+
+def sliding_distinct(df: DataFrame, keys: Sequence[str], at: str,
                      counts: dict[str, tuple[int, Column]]) -> DataFrame:
     """One row per key and time with exact distinct counts, each over its own span.
 
-    A value is present on [t, min(next t, t + span + 1)); all counts share one pass.
+    A value is present on [t, min(next t, t + span + 1)). Columns that are counted over several
+    spans look for the next time once.
     """
     keys = list(keys)
-    tagged = F.array(*[
-        F.struct(F.lit(i).alias("_tag"), F.lit(span).cast("long").alias("_span"),
-                 c.cast("string").alias("_value"))
-        for i, (span, c) in enumerate(counts.values())])
-    rows = (df.select(*keys, at, F.explode(tagged).alias("e")).select(*keys, at, "e.*")
-            .distinct())
-    longest = max(span for span, _ in counts.values())
-    spread = _in_slices(rows, at, longest, width)
-    w = W.partitionBy(*keys, "_slice", "_tag", "_value").orderBy(at)
-    gone = F.least(F.lead(at).over(w), F.col(at) + F.col("_span") + 1)
-    steps = spread.withColumn("_gone", gone)
-    changes = steps.select(
-        *keys, "_slice", "_tag",
-        F.explode(F.array(
-            F.struct(F.col(at).alias("_at"), F.lit(1).alias("d"), F.col(HOME).alias("_ask")),
-            F.struct(F.col("_gone").alias("_at"), F.lit(-1).alias("d"),
-                     F.lit(False).alias("_ask")))).alias("e"),
-    ).select(*keys, "_slice", "_tag", "e.*")
-    net = [F.sum(F.when(F.col("_tag") == i, F.col("d")).otherwise(0)).alias(n)
-           for i, n in enumerate(counts)]
-    per = changes.groupBy(*keys, "_slice", "_at").agg(*net, F.max("_ask").alias("_ask"))
-    run = W.partitionBy(*keys, "_slice").orderBy("_at")
-    return (per.withColumns({n: F.sum(n).over(run) for n in counts})
-            .where("_ask").select(*keys, F.col("_at").alias(at), *counts))
+    values = {str(c): c for _, c in counts.values()}
+    tags = {name: i for i, name in enumerate(values)}
+    tagged = F.array(*[F.struct(F.lit(tags[v]).alias("_tag"), c.cast("string").alias("_value"))
+                       for v, c in values.items()])
+    rows = df.select(*keys, at, F.explode(tagged).alias("e")).select(*keys, at, "e.*").distinct()
+    seen = prefix_scan(rows, [F.col(at).desc()], [*keys, "_tag", "_value"], _next=Before(F.col(at)))
+    change = lambda when, ask, sign, own: F.struct(
+        when.alias("_at"), F.lit(ask).alias("_ask"),
+        *[F.when((F.col("_tag") == tags[str(c)]) & own(span), sign).otherwise(0).cast("long").alias(n)
+          for n, (span, c) in counts.items()])
+    spans = sorted({span for span, _ in counts.values()})
+    gone = [change(F.least(F.col("_next"), F.col(at) + span + 1), False, -1, lambda s, span=span: F.lit(s == span))
+            for span in spans]
+    come = change(F.col(at), True, 1, lambda s: F.lit(True))
+    events = seen.select(*keys, F.explode(F.array(come, *gone)).alias("e")).select(*keys, "e.*")
+    return _asked(events, keys, at, list(counts))
 
 
 def sliding_max_count(df: DataFrame, keys: Sequence[str], item: Sequence[str], at: str,
-                      span: int, width: int, name: str) -> DataFrame:
+                      span: int, name: str) -> DataFrame:
     """Per key and time: the largest number of rows any single item has in the window.
 
     A maximum cannot be un-added, but "how many items have at least k rows" can. Those
     sets are nested, so the maximum equals the number of levels k that are occupied.
     """
     keys, item = list(keys), list(item)
-    per = df.groupBy(*keys, *item, at).agg(F.count(F.lit(1)).alias("n"))
-    spread = _in_slices(per, at, span, width)
+    one = F.lit(1).cast("long")
     steps = (
-        spread.select(*keys, *item, "_slice", F.explode(F.array(
-            F.struct(F.col(at).alias("_at"), F.col("n").alias("d")),
-            F.struct((F.col(at) + span + 1).alias("_at"), (-F.col("n")).alias("d")),
-        )).alias("e")).select(*keys, *item, "_slice", "e.*")
-        .groupBy(*keys, *item, "_slice", "_at").agg(F.sum("d").alias("d")).where("d != 0"))
-    w = W.partitionBy(*keys, *item, "_slice").orderBy("_at")
-    moved = steps.withColumn("hi", F.sum("d").over(w)).withColumn("lo", F.col("hi") - F.col("d"))
+        df.select(*keys, *item, F.explode(F.array(
+            F.struct(F.col(at).alias("_at"), one.alias("d")),
+            F.struct((F.col(at) + span + 1).alias("_at"), (-one).alias("d")))).alias("e"))
+        .select(*keys, *item, "e.*").groupBy(*keys, *item, "_at").agg(F.sum("d").alias("d")).where("d != 0"))
+    moved = prefix_scan(steps, ["_at"], [*keys, *item], hi=Sum(F.col("d"))).withColumn("lo", F.col("hi") - F.col("d"))
     levels = moved.select(
-        *keys, "_slice", "_at", F.signum("d").cast("long").alias("d"),
+        *keys, "_at", F.signum("d").cast("long").alias("d"),
         F.explode(F.sequence(F.least("lo", "hi") + 1, F.greatest("lo", "hi"))).alias("_level"))
-    per_level = levels.groupBy(*keys, "_slice", "_level", "_at").agg(
-        F.sum("d").alias("d")).where("d != 0")
-    wl = W.partitionBy(*keys, "_slice", "_level").orderBy("_at")
-    filled = per_level.withColumn("now", F.sum("d").over(wl)).withColumn(
+    per_level = levels.groupBy(*keys, "_level", "_at").agg(F.sum("d").alias("d")).where("d != 0")
+    filled = prefix_scan(per_level, ["_at"], [*keys, "_level"], now=Sum(F.col("d"))).withColumn(
         "was", F.col("now") - F.col("d"))
+    held = lambda c: F.when(F.col(c) > 0, 1).otherwise(0)
     turns = filled.select(
-        *keys, "_slice", "_at",
-        (F.when(F.col("now") > 0, 1).otherwise(0)
-         - F.when(F.col("was") > 0, 1).otherwise(0)).cast("long").alias("d"),
-        F.lit(False).alias("_ask")).where("d != 0")
-    asks = df.select(*keys, at).distinct().select(
-        *keys, F.floor(F.col(at) / F.lit(width)).alias("_slice"), F.col(at).alias("_at"),
-        F.lit(0).cast("long").alias("d"), F.lit(True).alias("_ask"))
-    run = W.partitionBy(*keys, "_slice").orderBy("_at")
-    return (turns.unionByName(asks).withColumn(name, F.sum("d").over(run))
-            .where("_ask").select(*keys, F.col("_at").alias(at), name))
+        *keys, "_at", F.lit(False).alias("_ask"), (held("now") - held("was")).cast("long").alias(name)).where(F.col(name) != 0)
+    asks = df.select(*keys, F.col(at).alias("_at"), F.lit(True).alias("_ask"), F.lit(0).cast("long").alias(name))
+    return _asked(turns.unionByName(asks), keys, at, [name])
 
 
 def sliding_max(df: DataFrame, keys: Sequence[str], at: str, span: int, value: Column,

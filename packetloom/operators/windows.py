@@ -56,7 +56,7 @@ def _failed() -> Column:
 
 def _sums_by_source(flows: DataFrame, p: Params) -> DataFrame:
     short, long = p.short_s * SECOND, p.long_s * SECOND
-    return sliding_sums(flows, SRC, "end_us", p.slice_s * SECOND, {
+    return sliding_sums(flows, SRC, "end_us", {
         "_n10": (short, F.lit(1)), "_syn10": (short, _one(F.col("had_syn"))),
         "_failed10": (short, _one(_failed())),
         "_n60": (long, F.lit(1)), "_out60": (long, F.col("bytes_out")),
@@ -88,7 +88,7 @@ def source_sums(flows: DataFrame, p: Params = Params()) -> DataFrame:
 
 def source_distinct(flows: DataFrame, p: Params = Params()) -> DataFrame:
     short, long = p.short_s * SECOND, p.long_s * SECOND
-    counts = sliding_distinct(flows, SRC, "end_us", p.slice_s * SECOND, {
+    counts = sliding_distinct(flows, SRC, "end_us", {
         "host_distinct_dst_10s": (short, F.col("dst")),
         "host_distinct_dst_60s": (long, F.col("dst")),
         "host_distinct_dport_10s": (short, F.col("dport")),
@@ -100,17 +100,16 @@ def source_distinct(flows: DataFrame, p: Params = Params()) -> DataFrame:
 
 def source_pair_repeat(flows: DataFrame, p: Params = Params()) -> DataFrame:
     name = "host_dst_repeat_max_60s"
-    out = sliding_max_count(flows, SRC, ["dst", "dport"], "end_us", p.long_s * SECOND,
-                            p.slice_s * SECOND, name)
+    out = sliding_max_count(flows, SRC, ["dst", "dport"], "end_us", p.long_s * SECOND, name)
     return out.withColumn(name, F.col(name).cast("double"))
 
 
 def destination_window(flows: DataFrame, p: Params = Params()) -> DataFrame:
-    short, width = p.short_s * SECOND, p.slice_s * SECOND
-    sums = sliding_sums(flows, DST, "end_us", width, {
+    short = p.short_s * SECOND
+    sums = sliding_sums(flows, DST, "end_us", {
         "_n": (short, F.lit(1)), "_syn": (short, _one(F.col("had_syn"))),
         "_failed": (short, _one(_failed()))})
-    peers = sliding_distinct(flows, DST, "end_us", width, {"_src": (short, F.col("src"))})
+    peers = sliding_distinct(flows, DST, "end_us", {"_src": (short, F.col("src"))})
     return sums.join(peers, [*DST, "end_us"]).select(
         *DST, "end_us",
         F.col("_n").cast("double").alias("dst_flows_10s"),

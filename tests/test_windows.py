@@ -101,3 +101,28 @@ def test_ties_see_each_other(spark):
     assert {r.host_flows_10s for r in rows} == {3.0}
     assert {r.host_distinct_dport_10s for r in rows} == {2.0}
     assert {r.host_dst_repeat_max_60s for r in rows} == {2.0}
+
+
+def test_a_key_with_most_rows_is_cut_by_density(spark):
+    """One host has 90 % of the flows, all in one burst: the scans' ranges stay even, the counts right."""
+    rng = random.Random(2)
+    flows = [flow(50 + rng.random() * 5, src="hot" if i % 10 else f"h{i}", dst=rng.choice("vwxyz"), dport=rng.randrange(4))
+             for i in range(3_000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        df, ordered = frame(spark, flows)
+        tables = [WN.source_sums(df), WN.source_distinct(df), WN.source_pair_repeat(df)]
+        for t in tables:
+            sizes = [r["count"] for r in t.groupBy(F.input_file_name()).count().collect()]
+            # of eight ranges about three hold arrivals, which are asked for, and the others departures
+            assert max(sizes) <= 0.45 * sum(sizes) and len(sizes) >= 3
+        sums, distinct, repeat = ({(r.src, r.end_us): r for r in t.collect()} for t in tables)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for f in rng.sample(ordered, 60):
+        seen = [g for g in ordered if g["src"] == f["src"] and f["end_us"] - 10 * S <= g["end_us"] <= f["end_us"]]
+        key = (f["src"], f["end_us"])
+        pairs = [(g["dst"], g["dport"]) for g in seen]
+        assert sums[key].host_flows_10s == len(seen) and distinct[key].host_distinct_dst_10s == len({g["dst"] for g in seen})
+        assert repeat[key].host_dst_repeat_max_60s == max(map(pairs.count, pairs))
