@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from packetloom.functions import scalars as S
-from packetloom.operators.slices import top_per_key
 from packetloom.params import Params
 
 
@@ -19,9 +21,28 @@ def class_counts(flows: DataFrame, label: str = "label") -> DataFrame:
 
 def class_cap(flows: DataFrame, cap: int, seed: int = 0, label: str = "label",
               key: tuple[str, ...] = ("capture_id", "seq")) -> DataFrame:
-    """At most ``cap`` rows per class, drawn by hash: the same rows on any cluster."""
-    order = [F.xxhash64(*key, F.lit(seed)), *[F.col(k) for k in key]]
-    return top_per_key(flows, [label], order, cap, list(key))
+    """At most ``cap`` rows per class, drawn by md5 of key and seed: the same rows on any cluster.
+
+    Counts tell below which hash a class has its cap with room to spare. Only rows below it
+    are ranked, so a class of any size costs a scan and no sort.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    drawn = flows.withColumn("_draw", F.md5(text))
+    sizes = {r["label"]: r["n"] for r in class_counts(flows, label).collect()}  # one row per family
+    room = {c: cap * (1 + 6 / math.sqrt(cap)) / n for c, n in sizes.items()}
+    while True:
+        below = F.lit(False)
+        for c, share in room.items():
+            edge = F.lit(f"{min(int(share * 16 ** 8), 16 ** 8 - 1):08x}")
+            below = below | (F.col(label).eqNullSafe(F.lit(c)) & ((F.substring("_draw", 1, 8) <= edge) | F.lit(share >= 1)))
+        few = drawn.where(below)
+        found = {r["label"]: r["n"] for r in class_counts(few, label).collect()}
+        short = [c for c, n in sizes.items() if found.get(c, 0) < min(cap, n)]
+        if not short:
+            break
+        room |= {c: 2 * room[c] for c in short}  # an unlucky draw
+    place = F.row_number().over(W.partitionBy(label).orderBy("_draw", *key))
+    return few.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place", "_draw")
 
 
 def balanced_weights(flows: DataFrame, label: str = "label") -> DataFrame:

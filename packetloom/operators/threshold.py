@@ -80,9 +80,11 @@ def _propagate(p: Params):
 
 
 def adaptive_threshold(scored: DataFrame, order: list[str], p: Params = Params(),
-                       keys: tuple[str, ...] = ("src",), pieces: int | None = None) -> DataFrame:
+                       keys: tuple[str, ...] = ("capture_id", "src"), pieces: int | None = None) -> DataFrame:
     """Add threshold, is_alert and suppressed. ``scored`` should be narrow: it crosses Arrow.
 
+    Every capture has host states of its own unless other keys are given.
+
     Needs ``score`` and a boolean ``veto`` (an alert here would be silenced as benign).
     """
     schema = T.StructType([
@@ -99,23 +101,24 @@ def with_veto(scored: DataFrame, p: Params = Params()) -> DataFrame:
         F.col("score"), F.col("family"), F.col("confidence"), p), F.lit(False)))
 
 
-def threshold_snapshot(quiet: DataFrame, order: list[str], p: Params = Params()) -> DataFrame:
+def threshold_snapshot(quiet: DataFrame, order: list[str], p: Params = Params(),
+                       keys: tuple[str, ...] = ("capture_id", "src")) -> DataFrame:
     """Host rows for inspection: the remembered scores, and the threshold now in force.
 
     The threshold was taken when the learned count last was a whole number of refresh
     steps past the minimum; the few scores learned since then are left out of it.
     """
-    counts = quiet.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    counts = quiet.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     newest = [F.col(c).desc() for c in order]
-    kept = top_per_key(quiet, ["src"], newest, p.score_memory + p.recompute_every, order,
-                       rank="_rank").join(counts, "src")
+    kept = top_per_key(quiet, keys, newest, p.score_memory + p.recompute_every, order,
+                       rank="_rank").join(counts, list(keys))
     late = F.when(F.col("_n") >= p.min_samples,
                   (F.col("_n") - p.min_samples) % p.recompute_every).otherwise(0)
     held = F.when(F.col("_rank") <= p.score_memory, F.col("score"))
     judged = F.when((F.col("_rank") > late) & (F.col("_rank") <= late + p.score_memory),
                     F.col("score"))
     # at most score_memory + recompute_every values per host
-    rows = kept.groupBy(F.col("src").alias("host")).agg(
+    rows = kept.groupBy(*keys[:-1], F.col(keys[-1]).alias("host")).agg(
         F.least(F.max("_n"), F.lit(p.score_memory)).alias("samples"),
         F.percentile(held, F.array(F.lit(0.5), F.lit(0.99))).alias("q"),
         F.percentile(judged, F.lit(p.host_quantile)).alias("own"))
@@ -125,7 +128,7 @@ def threshold_snapshot(quiet: DataFrame, order: list[str], p: Params = Params())
         F.lit(p.max_threshold))
     limit = F.when(ready, bounded).otherwise(p.base_threshold)
     return rows.select(
-        "host", "samples", F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"),
+        *keys[:-1], "host", "samples", F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"),
         limit.alias("threshold"), ready.alias("calibrated"),
         (limit > p.base_threshold + 1e-9).alias("raised"),
     ).orderBy(F.desc("samples"), "host")

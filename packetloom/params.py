@@ -24,6 +24,7 @@ class Params:
     min_samples: int = 60
     score_memory: int = 512
     recompute_every: int = 16
+    forget_s: int = 7 * 86_400    # streams forget a host that was silent for so long
     unknown_below: float = 0.55
     veto_confidence: float = 0.90
     override_score: float = 0.9975

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -516,6 +517,22 @@ def incident_filter(s, d):
                              dst="1.1", hours=480, q="SCAN").select("id")
 
 
+FILTERS = {  # one at a time: arguments, and the same in SQL
+    "open": (dict(open_only=True), f"status IN ({OPEN})"), "status": (dict(status="new"), "status = 'NEW'"),
+    "severity": (dict(severity="medium"), "severity = 'MEDIUM'"), "family": (dict(family="port_scan"), "family = 'PORT_SCAN'"),
+    "src": (dict(src="1.1"), "src LIKE '%1.1%'"), "dst": (dict(dst="1.1"), "dst LIKE '%1.1%'"),
+    "text": (dict(q="SCAN"), "(src LIKE '%SCAN%' OR dst LIKE '%SCAN%' OR family LIKE '%SCAN%' OR asset_name LIKE '%SCAN%' "
+             "OR mitre_technique LIKE '%SCAN%')")}
+
+
+@query("incident_filter_each", " UNION ALL ".join(
+    f"SELECT '{name}' AS filter, id FROM incidents WHERE {sql}" for name, (_, sql) in FILTERS.items()))
+def incident_filter_each(s, d):
+    each = [R.incident_filter(incidents(s, d), VW.NOW, **how).select(F.lit(name).alias("filter"), "id")
+            for name, (how, _) in FILTERS.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 @query("alert_row", """SELECT incident_id, seq, epoch_us(ts) AS ts, round(flow_start, 6) AS flow_start,
     round(flow_end, 6) AS flow_end, src, sport, dst, dport, proto, round(score, 6) AS score,
     round(threshold, 6) AS threshold, family, round(confidence, 6) AS confidence, severity, packets,
@@ -875,7 +892,7 @@ def new_pair_flag(s, d):
 def scored_slim(s, d):
     named = flows(s, d).drop("threshold", "is_alert", "suppressed").withColumn(
         "family", F.expr(VETO_FAMILY))
-    return TH.with_veto(named, P).select("src", "end_us", "seq", "score", "veto")
+    return TH.with_veto(named, P).select("capture_id", "src", "end_us", "seq", "score", "veto")
 
 
 QUIET = f"{VETO_FAMILY} = 'BENIGN' AND confidence >= 0.90 AND score < 0.9975"
@@ -914,6 +931,22 @@ def adaptive_threshold(s, d):
     return out.select("seq", "threshold", "is_alert", "suppressed")
 
 
+BY_CAPTURE = ONE_PHASE.replace("SELECT src", "SELECT capture_id || '|' || src AS src").replace("FROM flows", "FROM captures")
+
+
+def captured_slim(s, d):
+    named = VW.capture_view(s, d).drop("threshold", "is_alert", "suppressed").withColumn(
+        "family", F.expr(VETO_FAMILY))
+    return TH.with_veto(named, P).select("capture_id", "src", "end_us", "seq", "score", "veto", "label")
+
+
+@query("threshold_by_capture", threshold_sql(BY_CAPTURE))
+def threshold_by_capture(s, d):
+    """Captures do not share what they learn about a host."""
+    out = TH.adaptive_threshold(captured_slim(s, d).drop("label"), ["end_us", "seq"], P)
+    return out.select("seq", "threshold", "is_alert", "suppressed")
+
+
 @query("threshold_snapshot", """SELECT host, samples, round(median, 6) AS median, round(p99, 6) AS p99,
     round(CASE WHEN samples >= 60 THEN least(greatest(own, 0.98), 0.995) ELSE 0.98 END, 6) AS threshold,
     samples >= 60 AS calibrated, samples >= 60 AND own > 0.98 + 1e-9 AS raised FROM (
@@ -925,7 +958,7 @@ def adaptive_threshold(s, d):
         SELECT src, score, row_number() OVER (PARTITION BY src ORDER BY end_us DESC, seq DESC) rn,
           count(*) OVER (PARTITION BY src) n FROM flows WHERE NOT is_alert)) GROUP BY src)""")
 def threshold_snapshot(s, d):
-    return TH.threshold_snapshot(flows(s, d).where("not is_alert"), ["end_us", "seq"], P)
+    return TH.threshold_snapshot(flows(s, d).where("not is_alert"), ["end_us", "seq"], P).drop("capture_id")
 
 
 @query("incident_sessions", "SELECT seq, dedup_key, incident_id FROM sessions")
@@ -1389,6 +1422,12 @@ def class_counts(s, d):
     return C.class_counts(flows(s, d))
 
 
+@query("class_cap_rows", """SELECT label, seq FROM flows QUALIFY row_number() OVER (
+    PARTITION BY label ORDER BY md5(concat_ws('|', capture_id, seq, '0')), seq) <= 300""")
+def class_cap_rows(s, d):
+    return C.class_cap(flows(s, d), 300).select("label", "seq")
+
+
 @query("class_cap", """SELECT label, least(count(*), 300) AS n FROM flows GROUP BY 1""")
 def class_cap(s, d):
     return C.class_counts(C.class_cap(flows(s, d), 300))
@@ -1516,6 +1555,16 @@ def replay(s, d):
 DS_replay = E.replay_phases
 
 
+@query("replay_by_capture", threshold_sql(
+    BY_CAPTURE + " WHERE label = 'BENIGN' UNION ALL " + BY_CAPTURE.replace("0 phase", "1 phase"), 1))
+def replay_by_capture(s, d):
+    """Each capture is warmed up by its own benign flows and judged by its own state."""
+    slim = captured_slim(s, d)
+    phased = DS_replay(slim.where(F.col("label") == V.BENIGN), slim)
+    out = TH.adaptive_threshold(phased, ["phase", "end_us", "seq"], P)
+    return out.where("phase = 1").select("seq", "threshold", "is_alert", "suppressed")
+
+
 @query("train_evaluate")
 def train_evaluate(s, d):
     """Fit on two captures, judge the third."""

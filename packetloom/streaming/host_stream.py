@@ -109,6 +109,10 @@ def host_profile_stream(flows: DataFrame, side: str = "src", p: Params = Params(
 
 def threshold_stream(scored: DataFrame, p: Params = Params(),
                      order: tuple[str, ...] = ("end_us", "seq")) -> DataFrame:
-    """Add threshold, is_alert and suppressed; hosts are never forgotten."""
+    """Add threshold, is_alert and suppressed.
+
+    A host of a capture is forgotten once it was silent for ``forget_s``, so that state does not grow
+    with all hosts ever seen; if it comes back, it starts afresh.
+    """
     kinds = [T.DoubleType(), T.BooleanType(), T.BooleanType()]
-    return _run(scored, ["src"], ThresholdProcessor, kinds, p, order, None)
+    return _run(scored, ["capture_id", "src"], ThresholdProcessor, kinds, p, order, p.forget_s)

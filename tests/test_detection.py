@@ -55,7 +55,7 @@ def test_cold_start_reads_before_learning():
 def scored(spark, n=4000, hosts=3, seed=3):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({
-        "src": np.where(rng.random(n) < .7, "hot", rng.integers(0, hosts, n).astype(str)),
+        "capture_id": "c", "src": np.where(rng.random(n) < .7, "hot", rng.integers(0, hosts, n).astype(str)),
         "end_us": np.arange(n), "seq": np.arange(n),
         "score": np.where(rng.random(n) < .3, rng.uniform(.97, 1, n), rng.random(n)),
         "veto": rng.random(n) < .1})
