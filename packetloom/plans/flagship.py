@@ -25,7 +25,7 @@ def rule_alerts(flows: DataFrame, p: Params = Params()) -> DataFrame:
         F.when(F.col("label") == V.BENIGN, V.UNKNOWN).otherwise(F.col("label")).alias("family"),
         (total / (total + 20.0)).alias("score"), F.lit(p.base_threshold).alias("threshold"),
         F.lit(0.5).alias("confidence"), F.col("total_packets").cast("long").alias("packets"),
-        total.cast("long").alias("bytes"),
+        total.cast("long").alias("bytes"), *[c for c in ("ts",) if c in flows.columns],
     ).where(F.col("score") >= F.col("threshold"))
 
 

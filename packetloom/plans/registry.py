@@ -1684,7 +1684,7 @@ def packets_stream(s, d):
     return readable(s.read.parquet(out))
 
 
-@query("flow_stream", """WITH RECURSIVE {prefix}, dcuts AS (
+DCUTS = """dcuts AS (
       SELECT k, pos, seq, seq flow_id, ts_us start_us, ts_us last_us, 1 n,
         (flags & 2) > 0 AND (flags & 16) = 0 lone, flags & 1 fins, (flags & 4) > 0 reset
       FROM numbered WHERE pos = 1
@@ -1696,7 +1696,10 @@ def packets_stream(s, d):
       FROM (SELECT c.k, x.pos, c.flow_id, c.start_us, c.n, c.lone, c.fins, x.seq, x.ts_us, x.flags,
           c.reset OR c.fins >= 2 OR x.ts_us >= least(c.last_us +
             CASE WHEN c.n = 1 AND c.lone THEN 3000000 ELSE 15000000 END, c.start_us + 120000000) cut
-        FROM dcuts c JOIN numbered x ON x.k = c.k AND x.pos = c.pos + 1))
+        FROM dcuts c JOIN numbered x ON x.k = c.k AND x.pos = c.pos + 1))"""
+
+
+@query("flow_stream", f"""WITH RECURSIVE {{prefix}}, {DCUTS}
     SELECT flow_id, count(*)::DOUBLE AS total_packets, min(p.ts_us) AS start_us, max(p.ts_us) AS end_us,
       sum(size)::DOUBLE AS total_bytes FROM dcuts c JOIN packets p USING (seq) GROUP BY flow_id""")
 def flow_stream(s, d):
@@ -1709,6 +1712,34 @@ def flow_stream(s, d):
         "flow_id", "total_packets", "start_us", "end_us", "total_bytes")
 
 
+@query("packets_to_incidents_stream", f"""WITH RECURSIVE {{prefix}}, {DCUTS},
+    flw AS (SELECT flow_id, min(p.ts_us) start_us, max(p.ts_us) end_us, count(*) n, sum(size) total,
+        sum(p.flags & 1) >= 2 OR bool_or((p.flags & 4) > 0) closed, arg_min(p.src, p.seq) src, arg_min(p.dst, p.seq) dst,
+        bool_or(p.seq = flow_id AND (p.flags & 2) > 0 AND (p.flags & 16) = 0) began_syn,
+        coalesce(arg_max(p.label, (p.ts_us, p.seq)) FILTER (p.label <> 'BENIGN'), 'UNKNOWN') family
+      FROM dcuts c JOIN packets p USING (seq) GROUP BY flow_id),
+    al AS (SELECT *, CASE family WHEN 'DOS_FLOOD' THEN 'DOS_FLOOD|*|' || dst
+        WHEN 'PORT_SCAN' THEN 'PORT_SCAN|' || src || '|*' ELSE 'UNKNOWN|' || src || '|' || dst END dedup_key,
+        CASE WHEN closed THEN end_us ELSE greatest(end_us, least(start_us + 120000000,
+          end_us + CASE WHEN n = 1 AND began_syn THEN 3000000 ELSE 15000000 END)) END at_us,
+        total / (total + 20.0::DOUBLE) score FROM flw WHERE total / (total + 20.0::DOUBLE) >= 0.98),
+    br AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY dedup_key ORDER BY at_us, flow_id)
+        <= 60000000 THEN 0 ELSE 1 END brk FROM al),
+    gr AS (SELECT *, sum(brk) OVER (PARTITION BY dedup_key ORDER BY at_us, flow_id) part FROM br)
+    SELECT ('0x' || substr(md5(concat_ws('|', 'events', dedup_key, min(at_us), arg_min(flow_id, (at_us, flow_id)))), 1, 15))::BIGINT
+        AS incident_id, dedup_key, count(*) AS occurrences, round(max(score), 6) AS score_max,
+      CAST(sum(total) AS BIGINT) AS total_bytes, min(at_us) AS first_seen, max(at_us) AS last_seen
+    FROM gr GROUP BY dedup_key, part""")
+def packets_to_incidents_stream(s, d):
+    """One streaming query with two stateful operators behind each other."""
+    from packetloom.plans.flagship import rule_alerts
+    from packetloom.streaming.sinks import packets_to_incidents_stream as chain, run_to_end
+    rows = packets(s, d)
+    feed = stream_of(rows, landed(rows, "packets-in"))
+    out = s.read.parquet(run_to_end(chain(feed, lambda flows: rule_alerts(flows, P), P), "chained-out"))
+    return out.where(F.unix_micros("first_seen") < FUTURE_US).drop("capture_id")
+
+
 RECORD = ["capture_id", "seq", "src", "dst", "dport", "start_us", "end_us", "had_syn", "handshake",
           "bytes_out", "bytes_in"]
 

@@ -6,6 +6,7 @@ time and the watermark (``clock='deadline'`` of the batch operators).
 
 from __future__ import annotations
 
+import datetime as dt
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,9 @@ from packetloom.operators.assembly import KEY, canonical_key, flow_features
 from packetloom.params import Params
 
 
+TIMER_US = 2_000  # how much later than the deadline a timer may be
+
+
 @dataclass
 class OpenFlow:
     """Running sums of one flow: the columns ``flow_sums`` produces in batch."""
@@ -106,7 +110,8 @@ class OpenFlow:
             syn_count=syn, ack_count=ack, fin_count=fin, rst_count=rst, psh_count=psh,
             urg_count=urg, fwd_syn=self.fwd_syn, synack_at=at(self.synack_at),
             ack_at=at(self.ack_at), payload_sum=self.payload_sum, payload_n=self.payload_n,
-            entropy_sum=float(self.entropy_sum), label=self.label, export_us=export_us)
+            entropy_sum=float(self.entropy_sum), label=self.label, export_us=export_us,
+            ts=dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(microseconds=export_us + TIMER_US))
 
 
 _AT = "struct<ts_us:long,seq:long>"
@@ -167,10 +172,15 @@ def _alarm(us: int) -> int:
 
 
 def flow_stream(packets: DataFrame, p: Params = Params(), lateness: str = "10 seconds") -> DataFrame:
-    """Streaming packets (with ``ts``) to exported flows with the 33 features."""
+    """Streaming packets (with ``ts``) to exported flows with the 33 features.
+
+    The flows carry an event time ``ts`` of their own, so that stateful operators can follow: the export
+    time, later by the same moment for all. Timers count whole milliseconds, so a flow may come out
+    that much after its deadline, which must not make it late.
+    """
     slim = canonical_key(packets).withColumns({
         "payload_len": F.octet_length("payload"), "entropy": payload_entropy(F.col("payload")),
     }).drop("payload").withWatermark("ts", lateness)
     sums = slim.groupBy(*KEY).transformWithState(
-        FlowProcessor(p), SUMS, "append", "EventTime")
-    return flow_features(sums, extra=("export_us",)).drop("_reset", "_finished", "_lone_syn")
+        FlowProcessor(p), f"{SUMS}, ts timestamp", "append", "EventTime", eventTimeColumnName="ts")
+    return flow_features(sums, extra=("export_us", "ts")).drop("_reset", "_finished", "_lone_syn")

@@ -11,6 +11,7 @@ from packetloom.operators import incidents as I, rollups as RU
 from packetloom.params import SECOND, Params
 from packetloom.session import scratch_path
 from packetloom.sources.tables import Batches
+from packetloom.streaming.flow_stream import flow_stream
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -52,22 +53,39 @@ def buckets_stream(verdicts: DataFrame, lateness: str = "10 seconds") -> DataFra
 
 
 def incident_session_stream(alerts: DataFrame, p: Params = Params(),
-                            lateness: str = "10 seconds") -> DataFrame:
-    """Incidents as session windows per dedup key; a gap of exactly the limit still merges."""
-    keyed = alerts.withColumn("dedup_key", S.dedup_key()).withWatermark("ts", lateness)
+                            lateness: str | None = "10 seconds", at: str | None = None) -> DataFrame:
+    """Incidents as session windows per dedup key; a gap of exactly the limit still merges.
+
+    ``lateness`` None: ``ts`` has the watermark of the operator before. ``at`` is a column of
+    microseconds that incidents take their times from instead of ``ts``.
+    """
+    keyed = alerts.withColumn("dedup_key", S.dedup_key())
+    keyed = keyed.withWatermark("ts", lateness) if lateness else keyed
+    seen = F.timestamp_micros(at) if at else F.col("ts")
     session = F.session_window("ts", f"{p.dedup_s} seconds")
     keys = [*I.capture_keys(alerts), "dedup_key"]
-    first = F.min(F.struct(F.unix_micros("ts").alias("at"), "seq"))
+    first = F.min(F.struct(F.unix_micros(seen).alias("at"), "seq"))
     return keyed.groupBy(*keys, session).agg(
         F.count(F.lit(1)).alias("occurrences"), first.alias("head"),
         F.max("score").alias("score_max"), F.sum("bytes").alias("total_bytes"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"),
     ).withColumn("incident_id", S.incident_id(
         *[F.col(c) for c in keys], F.col("head.at"), F.col("head.seq")),
     ).select("incident_id", *keys, "occurrences", "score_max", "total_bytes",
              "first_seen", "last_seen")
 
 
+def packets_to_incidents_stream(packets: DataFrame, alerts_of: Callable[[DataFrame], DataFrame],
+                                p: Params = Params(), lateness: str = "10 seconds") -> DataFrame:
+    """Packets to incidents in one query: flows by keyed state, alerts, incidents by session windows.
+
+    Flows hand their event time and watermark on, so an incident is final once no packet can bring a
+    flow into it any more. ``alerts_of`` picks and scores alerts from flows row by row and keeps ``ts``.
+    """
+    alerts = alerts_of(flow_stream(packets, p, lateness))
+    return incident_session_stream(alerts, p, lateness=None, at="at_us")
+
+
 class HostSink:
     """Sum-merges each micro-batch into the host table; each batch writes the table after it."""
 

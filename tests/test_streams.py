@@ -1,12 +1,13 @@
-import random
+import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from model import packet_frame
 from test_assembly import random_capture
 from packetloom import fixed_values as V
+from packetloom.functions import scalars as S
 from packetloom.operators.assembly import assemble_flows
+from packetloom.params import Params
 from packetloom.plans.registry import landed, stream_of
 from packetloom.streaming.flow_stream import flow_stream
 from packetloom.streaming.sinks import run_to_end
@@ -23,3 +24,32 @@ def test_flow_stream_equals_batch_on_the_same_files(spark):
     b = out.where("flow_id >= 0").select(*names)
     assert a.count() == b.count() > 20
     assert a.exceptAll(b).count() == 0
+
+
+def test_packets_to_incidents_in_one_query(spark):
+    """The chained stream equals batch flows and sessions counted in plain Python, on three captures."""
+    from packetloom.plans.flagship import rule_alerts
+    from packetloom.streaming.sinks import packets_to_incidents_stream
+    parts = [packet_frame(spark, random_capture(seed, 90)).withColumn("capture_id", F.lit(f"c{seed}")) for seed in (5, 6, 7)]
+    packets = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    p = Params(base_threshold=0.7, min_threshold=0.7)
+    alerts_of = lambda flows: rule_alerts(flows, p)
+    alerts = alerts_of(assemble_flows(packets, p, "deadline")).withColumn("dedup_key", S.dedup_key()).collect()
+    want, last = {}, {}
+    for a in sorted(alerts, key=lambda a: (a.at_us, a.seq)):
+        key = (a.capture_id, a.dedup_key)
+        if key not in last or a.at_us - want[last[key]][2] > p.dedup_s * 1_000_000:
+            last[key] = (*key, a.at_us)
+            want[last[key]] = [0, 0, a.at_us]
+        w = want[last[key]]
+        want[last[key]] = [w[0] + 1, w[1] + a.bytes, a.at_us]
+    counts = {}
+    feed = stream_of(packets, landed(packets, "chain-test"))
+    out = spark.read.parquet(run_to_end(packets_to_incidents_stream(feed, alerts_of, p), "chain-out", counts=counts))
+    got = {(r.capture_id, r.dedup_key, micros(r.first_seen)): [r.occurrences, r.total_bytes, micros(r.last_seen)]
+           for r in out.collect() if micros(r.first_seen) < 10 ** 10}
+    assert got == {k: v for k, v in want.items()} and len(got) > 20 and counts["late"] == 0
+
+
+def micros(t):
+    return round(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
