@@ -931,7 +931,7 @@ def adaptive_threshold(s, d):
     return out.select("seq", "threshold", "is_alert", "suppressed")
 
 
-BY_CAPTURE = ONE_PHASE.replace("SELECT src", "SELECT capture_id || '|' || src AS src").replace("FROM flows", "FROM captures")
+CAPTURE_PHASE = ONE_PHASE.replace("SELECT src", "SELECT capture_id || '|' || src AS src").replace("FROM flows", "FROM captures")
 
 
 def captured_slim(s, d):
@@ -940,7 +940,7 @@ def captured_slim(s, d):
     return TH.with_veto(named, P).select("capture_id", "src", "end_us", "seq", "score", "veto", "label")
 
 
-@query("threshold_by_capture", threshold_sql(BY_CAPTURE))
+@query("threshold_by_capture", threshold_sql(CAPTURE_PHASE))
 def threshold_by_capture(s, d):
     """Captures do not share what they learn about a host."""
     out = TH.adaptive_threshold(captured_slim(s, d).drop("label"), ["end_us", "seq"], P)
@@ -1556,7 +1556,7 @@ DS_replay = E.replay_phases
 
 
 @query("replay_by_capture", threshold_sql(
-    BY_CAPTURE + " WHERE label = 'BENIGN' UNION ALL " + BY_CAPTURE.replace("0 phase", "1 phase"), 1))
+    CAPTURE_PHASE + " WHERE label = 'BENIGN' UNION ALL " + CAPTURE_PHASE.replace("0 phase", "1 phase"), 1))
 def replay_by_capture(s, d):
     """Each capture is warmed up by its own benign flows and judged by its own state."""
     slim = captured_slim(s, d)
