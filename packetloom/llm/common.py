@@ -25,13 +25,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def cleaned_up(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(name, before)
+
+
+def cleaned_up(spark: SparkSession):
+    return setting(spark, CLEANUP, "true")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,15 +7,18 @@
 3. Small sets enumerate the subsets of the size that a partner must share; large sets enter
    inverted lists with a prefix of their shingles. The boundary is where enumeration
    begins to cost more than scanning the lists.
-4. Lists are resolved by stars: the most central class of each is compared with all others, which is
-   linear. Classes that end in one component need no comparison with each other; the pairs
-   across components that remain are all compared, but for those that the triangle inequality
-   of the set difference excludes. Comparison is exact, on the whole sets.
+4. Lists are resolved by stars: in each list the most central class of each band of sizes, and one drawn
+   anew each round, is compared with all others, which is linear. Rounds go on while they link something.
+   Classes that end in one component need no comparison with each other. Pairs across components
+   meet on list and size band, if the sizes and the places of the shingle in both orders leave room
+   for a link: the smaller set in its shorter prefix, the larger one in its whole prefix. The join
+   holds nothing else, and these pairs are all compared, exactly, on the whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -23,10 +26,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import lookup, only, partitions, stored, table, without
+from packetloom.llm.common import lookup, only, partitions, setting, stored, table, without
 from packetloom.llm.graphs import components
 from packetloom.llm.words import chunks, gram_hashes, split, word_hashes
 
@@ -39,8 +42,12 @@ BROADCAST_KEYS = 500_000
 ENUMERATE = 10
 #: Signatures that a task hands on at once.
 HANDED_ON = 200_000
-#: Star rounds before the remaining pairs are compared.
-STARS = 3
+#: Sizes in one band differ by less than this factor.
+BAND = 1.05
+#: Rounds of stars before the pairs across components that are left are compared.
+STARS = 2
+#: Pairs that are compared at once; each has two whole sets.
+AT_ONCE = 128
 
 
 def overlap(n: int, m: int, share: int) -> int:
@@ -202,15 +209,22 @@ def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
     return each.join(twice, "h").join(own.select("key", "n", "apart"), "key")
 
 
-def near(share: int):
-    n, m = F.col("n"), F.col("m")
-    return (100 * n >= share * m) & (100 * m >= share * n)
+def band(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(BAND)).cast("int")
 
 
-def within_reach(share: int):
-    """Places x and y of the first shingle in common leave room for the intersection that a link needs."""
-    n, m = F.col("n"), F.col("m")
-    return F.least(n - F.col("x"), m - F.col("y")) * (100 + share) >= share * (n + m)
+def meets(share: int, n: Column, x: Column, m: Column, y: Column) -> Column:
+    """A set of m and one of n, not smaller, may be linked by a shingle at places y and x of their prefixes.
+
+    The first shingle in common is so far ahead in both that enough of them can follow; in the smaller
+    set it is in the part that would do for a partner of its own size.
+    """
+    short = m - F.ceil(F.lit(2 * share) * m / (100 + share))
+    return (100 * m >= share * n) & (y <= short) & (F.least(n - x, m - y) * (100 + share) >= share * (n + m))
+
+
+def either(share: int, n: Column, x: Column, m: Column, y: Column) -> Column:
+    return ((n >= m) & meets(share, n, x, m, y)) | ((n <= m) & meets(share, m, y, n, x))
 
 
 def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
@@ -233,7 +247,8 @@ def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
                 [batch.column("a"), batch.column("b"), pa.array(differ, pa.int64()), pa.array(linked)], ["a", "b", "differ", "linked"])
 
     full = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return stored(full.mapInArrow(count, "a long, b long, differ long, linked boolean"), "compared")
+    with setting(own.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(AT_ONCE)):
+        return stored(full.mapInArrow(count, "a long, b long, differ long, linked boolean"), "compared")
 
 
 def label(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,46 +257,73 @@ def label(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(found, "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label")
 
 
+def mixed(current: DataFrame) -> DataFrame:
+    """Lists of several components; one of a single component stays so, since components only grow."""
+    sides = current.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("h")
+    return current.join(sides, "h")
+
+
+def star_pairs(live: DataFrame, done: DataFrame | None, share: int, turn: int) -> DataFrame:
+    """(a, b) of different components: for each class up to three hubs, less what was compared.
+
+    In each list the hubs of a size band are its most central class and one drawn by hash. Of the hubs that it
+    may be linked with a class takes the most central one and two drawn by hash.
+    """
+    one = F.struct("key", "n", "at", "comp", "apart")
+    drawn = lambda salt, *c: F.xxhash64(F.lit(turn), F.lit(salt), *c)
+    hubs = live.groupBy("h", band(F.col("n")).alias("band")).agg(
+        F.min(F.struct("apart", one.alias("hub"))).alias("central"),
+        F.min(F.struct(drawn(0, "key"), one.alias("hub"))).alias("drawn"))
+    hubs = hubs.select("h", F.explode(F.array_distinct(F.array("central.hub", "drawn.hub"))).alias("hub")).select(
+        F.col("h").alias("g"), F.col("hub.key").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.at").alias("y"),
+        F.col("hub.comp").alias("c"), F.col("hub.apart").alias("far"))
+    room = either(share, F.col("n"), F.col("at"), F.col("m"), F.col("y"))
+    met = live.join(hubs, (F.col("h") == F.col("g")) & (F.col("comp") != F.col("c")) & room).select(
+        "key", "hub", "far")
+    best = met.groupBy("key").agg(F.array(F.min(F.struct("far", "hub"))["hub"], *[
+        F.min(F.struct(drawn(k, "key", "hub").alias("x"), "hub"))["hub"] for k in (1, 2)]).alias("hubs"))
+    pairs = best.select("key", F.explode(F.array_distinct("hubs")).alias("hub")).select(
+        F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
+    return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+
+
+def pairs_across(current: DataFrame, share: int) -> DataFrame:
+    """(a, b) of different components that a list and the sizes and places in it let meet, a < b.
+
+    In each list the component with most of it is left out on one side, so that its members do
+    not meet each other.
+    """
+    groups = current.groupBy("h", "comp").agg(F.count("*").alias("size"))
+    main = groups.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("k")).filter("k > 1").select(
+        "h", F.col("most.comp").alias("main"))
+    live = stored(current.join(main, "h"), "live")
+    minor, n, at = live.filter("comp != main"), F.col("n"), F.col("at")
+    small = lambda rows: rows.filter(at <= n - F.ceil(F.lit(2 * share) * n / (100 + share))).select(
+        "h", band(n).alias("band"), F.col("key").alias("k2"), F.col("n").alias("m"), F.col("at").alias("y"), F.col("comp").alias("c"))
+    # a larger set meets sizes from its share down to what the place leaves room for
+    least, most = F.ceil(F.lit(share) * n / 100), F.least(n, F.floor((n - at) * (100 + share) / share) - n)
+    large = lambda rows: rows.filter(most >= least).select(
+        "h", "key", "n", "at", "comp", F.explode(F.sequence(band(least), band(most))).alias("band"))
+    room = (F.col("comp") != F.col("c")) & (n >= F.col("m")) & meets(share, n, at, F.col("m"), F.col("y"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("h", "g").withColumnRenamed("band", "other")
+        return left.join(right, (F.col("h") == F.col("g")) & (F.col("band") == F.col("other")) & room).select(
+            F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
+
+    return met(large(minor), small(live)).union(met(large(live), small(minor))).distinct()
+
+
 def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
     """Links (a, b, differ, linked) that connect all classes which are connected."""
-    done = None
-    current = lists.withColumn("comp", F.col("key"))
+    done, current = None, lists.withColumn("comp", F.col("key"))
     for turn in range(STARS):
-        # the centre is the class that has most in common with others; later that of a small component
-        if turn:
-            size = current.groupBy("h", "comp").agg(F.count("*").alias("size"))
-            current = current.join(size, ["h", "comp"])
-        first = F.struct(*(["size"] if turn else []), "apart", "key", F.col("n").alias("m"), F.col("comp").alias("c"))
-        mixed = current.groupBy("h").agg(F.min(first).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        mixed = mixed.filter("x != y").select("h", F.col("hub.key").alias("a"), "hub.m", "hub.c")
-        pairs = current.join(mixed, "h").filter(near(share) & (F.col("comp") != F.col("c"))).select(
-            "a", F.col("key").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        new = compare(pairs, own, share)
+        new = compare(star_pairs(current, done, share, turn), own, share)
         done = new if done is None else done.unionByName(new)
-        if not new.limit(1).count():
+        if not new.filter("linked").limit(1).count():
             break
-        current = stored(label(lists, done.filter("linked")), "lists")
-    # what is left: pairs across components that share a list
-    groups = current.groupBy("h", "comp").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    groups = stored(groups.join(mixed, "h"), "groups")
-    across = groups.select("h", F.col("comp").alias("c")).join(groups.select("h", "comp"), "h").filter("c < comp")
-    far = F.broadcast(done.limit(0)) if done is None else done
-    one = current.select("h", "comp", F.col("key").alias("b"), "n", F.col("at").alias("x"))
-    other = current.select("h", F.col("comp").alias("c"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("y"))
-    pairs = across.join(other, ["h", "c"]).join(one, ["h", "comp"]).filter(near(share) & within_reach(share)).select(
-        "a", "b", "n", "m").distinct()
-    seen = far.select("a", "b").union(far.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    # |a ^ b| >= | |a ^ hub| - |b ^ hub| | for a hub that both were compared with
-    star = far.select(F.col("a").alias("hub"), F.col("b").alias("node"), "differ")
-    both = pairs.join(star.select("hub", F.col("node").alias("a"), F.col("differ").alias("d")), "a").join(
-        star.select("hub", F.col("node").alias("b"), F.col("differ").alias("e")), ["hub", "b"])
-    excluded = both.filter(F.abs(F.col("d") - F.col("e")) * (100 + share) > (100 - share) * (F.col("n") + F.col("m")))
-    pairs = pairs.join(excluded.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    return done.unionByName(compare(pairs, own, share))
+        current = stored(mixed(label(current.drop("comp"), done.filter("linked"))), "lists")
+    return done.unionByName(compare(pairs_across(current, share).join(done, ["a", "b"], "left_anti"), own, share))
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:

@@ -116,6 +116,30 @@ def test_components(spark):
     assert got == {**dict.fromkeys([*range(41), 100], 0), 200: 200, 201: 200}
 
 
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """500 copies of one text, half of them just under the threshold: few pairs are compared, no link is lost."""
+    rng, words = random.Random(12), [f"w{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for k in range(500):
+        w = list(words)
+        for p in rng.sample(range(1, 74), 6 + k % 2):
+            w[4 * p] = f"x{rng.random()}"
+        texts.append(" ".join(w))
+    compared = []
+    plain = jaccard_join.compare
+
+    def counted(pairs, own, share):
+        out = plain(pairs, own, share)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {i: 0 if i % 2 or not i else i for i in range(501)}
+    assert sum(compared) < 5_000
+
+
 # --- 2
 
 
