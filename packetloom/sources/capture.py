@@ -1,15 +1,16 @@
 """Capture files as a Spark data source: ``spark.read.format("capture")``, also as a stream.
 
-A capture is cut into byte ranges, each read at once and decoded in numpy. A record belongs to the
+A capture is cut into byte ranges, each read block by block and decoded in numpy. A record belongs to the
 range in which it ends, so a file that still grows is read up to its last whole record and the rest
 comes with the next batch of a stream.
 
 A range begins somewhere inside a record. Every offset that could be a record header points
 to the next one by its length, and headers that lead nowhere drop out. Bytes that only look like
 headers lie inside a record and cannot go on past its end unless they join the true chain there, so
-chains that begin at least one largest record before the range have either ended or become one. If
-several are left, somebody wrote records to look like that, and the search begins further ahead, at
-the start of the file if need be, where the first record is certain.
+chains that begin within one largest record of a point well before the range, of which the true one is
+one, have ended or become one when they reach it. If several are left, the search begins further
+ahead, so that they have longer to do so, and if need be at the start of the file, where the first
+record is certain and the way to the range is walked block by block.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ LINKS = {1: 14, 0: 4, 101: 0, 12: 0, 14: 0}
 HEADER, RECORD = 24, 16
 SPLIT = 1 << 25      # bytes of a range
 LARGEST = 1 << 18    # the format's largest record; a parameter of the source
+BLOCK = 1 << 21      # bytes of a range that are held at once
 BATCH = 16_384       # packets decoded at once
+AHEAD = (4, 32)      # largest records ahead of a range from which a search begins, before it begins at the file's start
 ROOM = 64            # zeros behind the buffer, so that fixed offsets can be read everywhere
 
 
@@ -86,11 +89,18 @@ def cut(files: dict[str, int], split: int, done: dict[str, int] | None = None) -
 def _headers(data: np.ndarray, order: str, ticks: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets that may begin a record, and the record's captured bytes."""
     n = max(0, len(data) - RECORD + 1)
-    field = lambda at: np.lib.stride_tricks.sliding_window_view(data, 4)[at:at + n].copy().view(f"{order}u4")[:, 0]
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    length, wire = field(8), field(12)
-    may = np.flatnonzero((length <= largest) & (field(4) < 1_000_000 * ticks) & ((wire >= length) | (wire == 0)))
+
+    def field(at: int) -> np.ndarray:
+        out = np.empty(n, np.uint32)
+        for k in range(min(4, n)):  # every fourth offset at a time
+            out[k::4] = np.frombuffer(data, f"{order}u4", len(range(k, n, 4)), at + k)
+        return out
+
+    # nothing is asked of the length on the wire: some writers give less than they captured
+    length = field(8)
+    may = np.flatnonzero((length <= largest) & (field(4) < 1_000_000 * ticks))
     return may, length[may].astype(np.int64)
 
 
@@ -99,17 +109,37 @@ def first_after(data: np.ndarray, edge: int, before: int, head: Header, largest:
 
     data begins with the window that is searched and reaches behind the edge.
     """
-    at, length = _headers(data[:edge + RECORD], head.order, head.ticks, largest)
-    entry: dict[int, int] = {}
-    for i, n in zip(at[::-1].tolist(), length[::-1].tolist()):
-        end = i + RECORD + n
-        if end > edge:
-            entry[i] = i
-        elif end in entry:
-            entry[i] = entry[end]
-        elif end + RECORD > len(data):
-            entry[i] = end  # the data end inside the next header
-    return {e for i, e in entry.items() if i < before}
+    at, length = _headers(data[:before + RECORD - 1], head.order, head.ticks, largest)
+    if not len(at):
+        return set()
+    # the last record of each chain that begins before; a chain that leads nowhere goes to an extra last place
+    end = at + RECORD + length
+    to = np.minimum(np.searchsorted(at, end), len(at) - 1)
+    out = np.append(end >= before, True)
+    follow = np.append(np.where(out[:-1], np.arange(len(at)), np.where(at[to] == end, to, len(at))), len(at))
+    live = np.unique(follow)
+    while not out[live].all():
+        follow = follow[follow]
+        live = np.unique(follow[live])
+    # few are left, and each place behind is looked at once
+    unpack = struct.Struct(f"{head.order}4xII").unpack_from
+    found, seen = set(), set()
+    for i in at[live[live < len(at)]].tolist():
+        n = unpack(data, i)[1]
+        while i not in seen:
+            seen.add(i)
+            stop = i + RECORD + n
+            if stop > edge:
+                found.add(i)
+                break
+            if stop + RECORD > len(data):
+                found.add(stop)  # the data end inside the next header
+                break
+            frac, n = unpack(data, stop)
+            if n > largest or frac >= 1_000_000 * head.ticks:
+                break
+            i = stop
+    return found
 
 
 class Buffered:
@@ -124,27 +154,39 @@ class Buffered:
         return np.frombuffer(self.file.read_at(max(0, stop - start), start), np.uint8)
 
     def range(self, lo: int, hi: int) -> tuple[np.ndarray, int, int]:
-        """Bytes up to hi, the file offset of the first, and that of the first record that ends behind lo."""
-        reach, piece = self.largest + RECORD, None
-        ahead = 2 * reach
-        while True:
-            start = max(HEADER, lo - ahead)
-            more = self.bytes(start, hi if piece is None else piece[0])
-            data = more if piece is None else np.concatenate([more, piece[1]])
-            piece = (start, data)
-            if start == HEADER:
-                at = 0
-                for i, _, _, _, n in self.walk(data, 0):
-                    at = i
-                    if start + i + RECORD + n > lo:
-                        break
-                else:
-                    at = max(0, len(data))
-                return data, start, start + at
-            found = first_after(data, lo - start, ahead - reach, self.head, self.largest)
+        """Bytes that were searched last, the file offset of the first, and that of the first record that ends behind lo."""
+        reach = self.largest + RECORD
+        for ahead in AHEAD:
+            start = lo - ahead * reach
+            if start <= HEADER:
+                break
+            data = self.bytes(start, min(hi, lo + RECORD))
+            # chains have the rest of the window to end or to become one
+            found = first_after(data, lo - start, reach, self.head, self.largest)
             if len(found) == 1:
                 return data, start, start + found.pop()
-            ahead *= 4
+        data, at = np.zeros(0, np.uint8), HEADER
+        if lo > HEADER:
+            for base, data, rows in self.records(HEADER, hi):
+                for i, _, _, _, n in rows:
+                    if base + i + RECORD + n > lo:
+                        return data, HEADER, base + i
+                at = base + i + RECORD + n
+        return data, HEADER, at
+
+    def records(self, at: int, hi: int) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int, int, int]]]]:
+        """Whole records between two offsets, block by block: file offset of the block, its bytes, what ``walk`` gives."""
+        size = BLOCK
+        while at + RECORD <= hi:
+            data = self.bytes(at, min(at + size, hi))
+            rows = list(self.walk(data, 0))
+            if rows:
+                yield at, data, rows
+                at, size = at + rows[-1][0] + RECORD + rows[-1][4], BLOCK
+            elif len(data) < size:
+                return
+            else:  # a record longer than the block
+                size *= 4
 
     def walk(self, data: np.ndarray, at: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(offset, seconds, fraction, wire length, captured length) of whole records."""
@@ -220,16 +262,11 @@ def packets(part: Range, largest: int) -> Iterator[pa.RecordBatch]:
     file = Buffered(part.path, largest)
     if isinstance(file.head, str):
         return
-    data, base, at = file.range(part.lo, part.hi)
-    padded = np.concatenate([data, np.zeros(ROOM, np.uint8)])
-    rows = []
-    for r in file.walk(data, at - base):
-        rows.append(r)
-        if len(rows) == BATCH:
-            yield decoded(part.path, base, padded, np.array(rows, np.int64), file.head)
-            rows = []
-    if rows:
-        yield decoded(part.path, base, padded, np.array(rows, np.int64), file.head)
+    at = file.range(part.lo, part.hi)[2]
+    for base, data, rows in file.records(at, part.hi):
+        padded = np.concatenate([data, np.zeros(ROOM, np.uint8)])
+        for k in range(0, len(rows), BATCH):
+            yield decoded(part.path, base, padded, np.array(rows[k:k + BATCH], np.int64), file.head)
 
 
 class _Options:

@@ -116,6 +116,32 @@ def test_a_chain_of_bait_across_records_is_seen_through(tmp_path):
         assert (at - 24) % 100 == 0 and at + 100 > lo >= at and base == 24
 
 
+def test_chains_that_end_do_not_send_the_search_to_the_start(tmp_path):
+    """False chains of several hops, and records longer than they say they were on the wire."""
+    false = struct.pack("<IIII", 5, 5, 684, 684)  # leads into the record seven further on
+    raw = capture([], link=101)
+    for i in range(900):
+        frame = bytes(20) + (false if i % 40 < 35 else b"\xff" * 16) + bytes(48)
+        raw += struct.pack("<IIII", 9, i, 84, 40 if i % 3 else 90) + frame
+    (file := tmp_path / "a.pcap").write_bytes(raw)
+    buffered = source.Buffered(str(file), 700)
+    for lo in range(30_000, len(raw) - 200, 1717):
+        data, base, at = buffered.range(lo, len(raw))
+        assert (at - 24) % 100 == 0 and at + 100 > lo >= at and base >= lo - 32 * 716 and len(data) <= 33 * 716
+
+
+def test_a_range_is_held_in_blocks(tmp_path, monkeypatch):
+    raw = capture(baited())
+    (file := tmp_path / "a.pcap").write_bytes(raw)
+    seqs = lambda lo: [r.as_py() for b in source.packets(source.Range(str(file), lo, len(raw)), 600) for r in b.column("seq")]
+    want = seqs(0), seqs(9_000)
+    asked, read = [], source.Buffered.bytes
+    monkeypatch.setattr(source, "BLOCK", 100)  # less than a record
+    monkeypatch.setattr(source.Buffered, "bytes", lambda f, a, b: asked.append(b - a) or read(f, a, b))
+    assert (seqs(0), seqs(9_000)) == want and len(want[0]) == 150
+    assert max(asked) <= 33 * 616
+
+
 def test_decoding_in_numpy_equals_column_expressions(spark, tmp_path):
     rng = random.Random(4)
     frames = []
