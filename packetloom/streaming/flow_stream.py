@@ -1,4 +1,4 @@
-"""Flow assembly on a stream: open flows as keyed state, deadlines as event-time timers.
+"""Flow assembly on a stream: open flows as state of groups of keys, deadlines as event-time timers.
 
 A stream has no capture-wide packet clock, so deadlines are judged on the packet's own
 time and the watermark (``clock='deadline'`` of the batch operators).
@@ -21,9 +21,10 @@ from packetloom.params import Params
 
 
 TIMER_US = 2_000  # how much later than the deadline a timer may be
+GROUPS = 1_024    # groups of keys whose open flows are one state
 
 
-@dataclass
+@dataclass(slots=True)
 class OpenFlow:
     """Running sums of one flow: the columns ``flow_sums`` produces in batch."""
 
@@ -126,42 +127,66 @@ SUMS = (
 
 
 class FlowProcessor(StatefulProcessor):
+    """Open flows of one group of keys: a state, and a timer at the first of their deadlines.
+
+    A call to the state store costs more than the packets of a usual flow, so many keys share one.
+    """
+
     def __init__(self, p: Params):
         self.p = p
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "flow binary")
-
-    def _load(self) -> OpenFlow | None:
-        return pickle.loads(self.open.get()[0]) if self.open.exists() else None
+        self.open = handle.getValueState("open", "flows binary, alarm long")
+
+    def _load(self) -> tuple[dict[tuple, OpenFlow], int | None]:
+        held = self.open.get()
+        return (pickle.loads(held[0]), held[1]) if held else ({}, None)
+
+    def _due(self, flow: OpenFlow) -> int:
+        return _alarm(flow.deadline(self.p))
+
+    def _keep(self, flows: dict[tuple, OpenFlow], alarm: int | None, rung: bool = False) -> None:
+        due = min(map(self._due, flows.values()), default=None)
+        if due != alarm:
+            if alarm is not None and not rung:
+                self.handle.deleteTimer(alarm)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if flows:
+            self.open.update((pickle.dumps(flows), due))
+        elif alarm is not None:
+            self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        flow = self._load()
-        alarm = _alarm(flow.deadline(self.p)) if flow else None
-        for x in sorted(rows, key=lambda r: (r.ts_us, r.seq)):
-            if flow and x.ts_us >= flow.deadline(self.p):
-                yield flow.row(key, max(flow.deadline(self.p), flow.last))
-                flow = None
-            if flow is None:
-                flow = OpenFlow(x.seq, x.src, x.sport, x.dst, x.dport, x.ts_us, x.ts_us)
-            flow.absorb(x)
-            if flow.closed():
-                yield flow.row(key, flow.last)
-                flow = None
-        if alarm:
-            self.handle.deleteTimer(alarm)
-        if flow:
-            self.open.update((pickle.dumps(flow),))
-            self.handle.registerTimer(_alarm(flow.deadline(self.p)))
-        else:
-            self.open.clear()
+        flows, alarm = self._load()
+        packets: dict[tuple, list[Row]] = {}
+        for x in rows:
+            packets.setdefault(tuple(x[c] for c in KEY), []).append(x)
+        for k, found in packets.items():
+            flow = flows.pop(k, None)
+            for x in sorted(found, key=lambda r: (r.ts_us, r.seq)):
+                if flow and x.ts_us >= flow.deadline(self.p):
+                    yield flow.row(k, max(flow.deadline(self.p), flow.last))
+                    flow = None
+                if flow is None:
+                    flow = OpenFlow(x.seq, x.src, x.sport, x.dst, x.dport, x.ts_us, x.ts_us)
+                flow.absorb(x)
+                if flow.closed():
+                    yield flow.row(k, flow.last)
+                    flow = None
+            if flow:
+                flows[k] = flow
+        self._keep(flows, alarm)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        flow = self._load()
-        if flow and _alarm(flow.deadline(self.p)) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
-            yield flow.row(key, max(flow.deadline(self.p), flow.last))
+        flows, alarm = self._load()
+        rung, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        over = [k for k, flow in flows.items() if self._due(flow) <= rung or self._due(flow) < passed]
+        for k in over:
+            flow = flows.pop(k)
+            yield flow.row(k, max(flow.deadline(self.p), flow.last))
+        self._keep(flows, alarm, rung=True)
 
     def close(self) -> None:
         pass
@@ -181,6 +206,7 @@ def flow_stream(packets: DataFrame, p: Params = Params(), lateness: str = "10 se
     slim = canonical_key(packets).withColumns({
         "payload_len": F.octet_length("payload"), "entropy": payload_entropy(F.col("payload")),
     }).drop("payload").withWatermark("ts", lateness)
-    sums = slim.groupBy(*KEY).transformWithState(
+    grouped = slim.withColumn("_group", F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)))
+    sums = grouped.groupBy("_group").transformWithState(
         FlowProcessor(p), f"{SUMS}, ts timestamp", "append", "EventTime", eventTimeColumnName="ts")
     return flow_features(sums, extra=("export_us", "ts")).drop("_reset", "_finished", "_lone_syn")

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from model import packet_frame
 from test_assembly import random_capture
@@ -26,6 +26,64 @@ def test_flow_stream_equals_batch_on_the_same_files(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_many_keys_share_a_state(spark, monkeypatch):
+    """Also with all keys in three groups every flow comes out once, whatever its neighbours do."""
+    from packetloom.streaming import flow_stream as module
+    monkeypatch.setattr(module, "GROUPS", 3)
+    packets = packet_frame(spark, random_capture(8, 90))
+    names = ["flow_id", "start_us", "end_us", "export_us", *[F.round(n, 6).alias(n) for n in V.FLOW_FEATURES]]
+    batch = assemble_flows(packets, clock="deadline").select(*names)
+    out = spark.read.parquet(run_to_end(flow_stream(stream_of(packets, landed(packets, "groups"))), "groups-out"))
+    got = out.where("flow_id >= 0").select(*names)
+    assert sorted(got.collect()) == sorted(batch.collect()) and got.count() > 20
+
+
+class Calls:
+    """A state store that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.held = 0, None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.held
+
+    def exists(self):
+        self.n += 1
+        return self.held is not None
+
+    def update(self, value):
+        self.n, self.held = self.n + 1, value
+
+    def clear(self):
+        self.n, self.held = self.n + 1, None
+
+    def registerTimer(self, at):
+        self.n += 1
+
+    deleteTimer = registerTimer
+
+
+def test_calls_to_the_state_store_do_not_grow_with_keys():
+    from packetloom.streaming.flow_stream import FlowProcessor
+    store, processor = Calls(), FlowProcessor(Params())
+    processor.init(store)
+    row = lambda i: Row(capture_id="c", key_lo="a", key_hi="b", key_lo_port=1, key_hi_port=i, proto="udp", src="a", dst="b",
+                        sport=1, dport=i, seq=i, ts_us=i, size=60, flags=0, payload_len=0, entropy=0.0, label=V.BENIGN)
+    assert not list(processor.handleInputRows((0,), iter([row(i) for i in range(200)]), None))
+    assert store.n <= 5
+
+    class Now:
+        getExpiryTimeInMs = lambda self: 15_001
+        getCurrentWatermarkInMs = lambda self: 99_999
+
+    flows = list(processor.handleExpiredTimer((0,), Now(), Now()))
+    assert sorted(f.flow_id for f in flows) == list(range(200)) and store.held is None and store.n <= 10
+
+
 def test_packets_to_incidents_in_one_query(spark):
     """The chained stream equals batch flows and sessions counted in plain Python, on three captures."""
     from packetloom.plans.flagship import rule_alerts
