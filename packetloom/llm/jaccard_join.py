@@ -8,11 +8,14 @@
    inverted lists with a prefix of their shingles. The boundary is where enumeration
    begins to cost more than scanning the lists.
 4. Lists are resolved by stars: in each list the most central class of each band of sizes, and one drawn
-   anew each round, is compared with all others, which is linear. Rounds go on while they link something.
-   Classes that end in one component need no comparison with each other. Pairs across components
-   meet on list and size band, if the sizes and the places of the shingle in both orders leave room
-   for a link: the smaller set in its shorter prefix, the larger one in its whole prefix. The join
-   holds nothing else, and these pairs are all compared, exactly, on the whole sets.
+   anew each round, is compared with all others, which is linear. Classes that end in one component
+   need no comparison with each other. Pairs across components meet on list and size band, if the
+   sizes and the places of the shingle in both orders leave room for a link: the smaller set in its
+   shorter prefix, the larger one in its whole prefix. The join holds nothing else.
+5. As long as these are many pairs an entry, lists are dealt into random parts, so many that a part has
+   few classes outside of the list's main component, and pairs meet inside the parts. Such a round
+   has a bounded number of meetings an entry and of pairs a class, and what it links leaves fewer across
+   components. Once few are left, or a round has not helped, all that are left are compared, exactly, on the whole sets.
 """
 
 from __future__ import annotations
@@ -44,8 +47,16 @@ ENUMERATE = 10
 HANDED_ON = 200_000
 #: Sizes in one band differ by less than this factor.
 BAND = 1.05
-#: Rounds of stars before the pairs across components that are left are compared.
+#: Rounds of stars before pairs across components are compared.
 STARS = 2
+#: Classes of a part of a list that are not in the list's main component, about.
+MINOR = 32
+#: Pairs a class that a round in parts compares, on average; which of those that meet is drawn by hash.
+DRAWN = 8
+#: If whole lists would let no more than so many pairs an entry meet, on average, they do.
+FEW = 2
+#: A round in parts has helped if it leaves at most this share of the meetings.
+HELPED = 0.9
 #: Pairs that are compared at once; each has two whole sets.
 AT_ONCE = 128
 
@@ -287,43 +298,74 @@ def star_pairs(live: DataFrame, done: DataFrame | None, share: int, turn: int) -
     return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
 
 
-def pairs_across(current: DataFrame, share: int) -> DataFrame:
-    """(a, b) of different components that a list and the sizes and places in it let meet, a < b.
+def across(current: DataFrame) -> DataFrame:
+    """Adds to the entries of lists of several components main, the component with most of the list, and
+    minor, how many entries are of others; drops all other lists."""
+    groups = current.groupBy("h", "comp").agg(F.count("*").alias("size"))
+    main = groups.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("all"),
+                                   F.count("*").alias("k")).filter("k > 1").select(
+        "h", F.col("most.comp").alias("main"), (F.col("all") - F.col("most.size")).alias("minor"))
+    return stored(current.join(main, "h"), "live")
+
 
-    In each list the component with most of it is left out on one side, so that its members do
-    not meet each other.
+def pairs_across(live: DataFrame, share: int, turn: int | None = None) -> DataFrame:
+    """(a, b, parts) of different components that a list and the sizes and places in it let meet, a < b, for each list.
+
+    In each list the main component is left out on one side, so that its members do not meet each
+    other. With a turn, pairs only meet inside parts of a list, dealt by hash anew each turn; the sum of
+    parts, how many there are, then is how many meetings whole lists have, about.
     """
-    groups = current.groupBy("h", "comp").agg(F.count("*").alias("size"))
-    main = groups.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("k")).filter("k > 1").select(
-        "h", F.col("most.comp").alias("main"))
-    live = stored(current.join(main, "h"), "live")
+    parts = F.lit(1) if turn is None else F.ceil(F.col("minor") / MINOR)
+    live = live.withColumn("parts", parts.cast("long")).withColumn(
+        "part", F.pmod(F.xxhash64(F.lit(turn or 0), "h", "key"), F.col("parts")))
     minor, n, at = live.filter("comp != main"), F.col("n"), F.col("at")
     small = lambda rows: rows.filter(at <= n - F.ceil(F.lit(2 * share) * n / (100 + share))).select(
-        "h", band(n).alias("band"), F.col("key").alias("k2"), F.col("n").alias("m"), F.col("at").alias("y"), F.col("comp").alias("c"))
+        F.col("h").alias("g"), F.col("part").alias("q"), band(n).alias("other"), F.col("key").alias("k2"),
+        F.col("n").alias("m"), F.col("at").alias("y"), F.col("comp").alias("c"))
     # a larger set meets sizes from its share down to what the place leaves room for
     least, most = F.ceil(F.lit(share) * n / 100), F.least(n, F.floor((n - at) * (100 + share) / share) - n)
     large = lambda rows: rows.filter(most >= least).select(
-        "h", "key", "n", "at", "comp", F.explode(F.sequence(band(least), band(most))).alias("band"))
+        "h", "part", "parts", "key", "n", "at", "comp", F.explode(F.sequence(band(least), band(most))).alias("band"))
     room = (F.col("comp") != F.col("c")) & (n >= F.col("m")) & meets(share, n, at, F.col("m"), F.col("y"))
+    here = (F.col("h") == F.col("g")) & (F.col("part") == F.col("q")) & (F.col("band") == F.col("other"))
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("h", "g").withColumnRenamed("band", "other")
-        return left.join(right, (F.col("h") == F.col("g")) & (F.col("band") == F.col("other")) & room).select(
-            F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
+        return left.join(right, here & room).select(
+            F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"), "parts")
 
-    return met(large(minor), small(live)).union(met(large(live), small(minor))).distinct()
+    # what is not in the main component meets all, the main component only what is not in it
+    return met(large(minor), small(live)).union(met(large(live.filter("comp = main")), small(minor)))
 
 
 def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
     """Links (a, b, differ, linked) that connect all classes which are connected."""
     done, current = None, lists.withColumn("comp", F.col("key"))
+    joined = lambda: stored(mixed(label(current.drop("comp"), done.filter("linked"))), "lists")
     for turn in range(STARS):
         new = compare(star_pairs(current, done, share, turn), own, share)
         done = new if done is None else done.unionByName(new)
         if not new.filter("linked").limit(1).count():
             break
-        current = stored(mixed(label(current.drop("comp"), done.filter("linked"))), "lists")
-    return done.unionByName(compare(pairs_across(current, share).join(done, ["a", "b"], "left_anti"), own, share))
+        current = joined()
+    left, turn = math.inf, 0
+    while True:
+        live = across(current)
+        met = stored(pairs_across(live, share, turn), "met")
+        entries, most, classes = live.agg(F.count("*"), F.max("minor"), F.count_distinct("key")).first()
+        meetings = met.agg(F.sum("parts")).first()[0] or 0
+        whole = (most or 0) <= MINOR  # each list is one part
+        last = whole or meetings <= FEW * entries or meetings > HELPED * left
+        if last and not whole:
+            met = pairs_across(live, share)
+        pairs = met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        if not last:
+            pairs = stored(pairs, "pairs")
+            part = DRAWN * classes / max(1, pairs.count())
+            pairs = pairs.filter(F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(2**30)) < part * 2**30)
+        done = done.unionByName(compare(pairs, own, share))
+        if last:
+            return done
+        current, left, turn = joined(), meetings, turn + 1
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:

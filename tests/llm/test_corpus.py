@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,49 @@ def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch)
     assert sum(compared) < 5_000
 
 
+def test_links_that_hubs_miss_are_found_without_comparing_all_pairs(spark, monkeypatch):
+    """400 variants of one text, each with 8 of 20 edits; a link needs 5 in common, so each has few links and they form one class."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(300)]
+    edits = [tuple(sorted(rng.sample(range(20), 8))) for _ in range(400)]
+    texts = []
+    for own in edits:
+        w = list(words)
+        for e in own:
+            w[12 * e + 8] = f"x{e}"
+        texts.append(" ".join(w))
+    parent = list(range(400))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(400), 2):
+        if len({*edits[i]} & {*edits[j]}) >= 5:
+            low, high = sorted((root(i), root(j)))
+            parent[high] = low
+    compared, met = [], []
+    plain, pairs = jaccard_join.compare, jaccard_join.pairs_across
+
+    def counted(*args):
+        out = plain(*args)
+        compared.append(out.count())
+        return out
+
+    def meeting(*args):
+        out = pairs(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    monkeypatch.setattr(jaccard_join, "pairs_across", meeting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {i: root(i) for i in range(400)}
+    print(compared, met, len({*got.values()}))
+    assert sum(compared) < 20_000
+
+
 # --- 2
 
 
