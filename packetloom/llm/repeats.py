@@ -31,6 +31,8 @@ from packetloom.llm.words import chunks, gram_hashes
 from packetloom.session import scratch_path
 
 LENGTH = 50
+#: Bytes of text whose anchors are looked for at once; some hundred bytes of numbers stand for each.
+SLICE = 500_000
 #: Stands for a null id, which is smaller than no other.
 NEVER = 2**63 - 1
 #: Symbols in a shard, about.
@@ -68,6 +70,12 @@ def _anchored(part: pa.RecordBatch, unit: Unit, length: int):
     return data, starts, ends, owner, before, grams[place].astype(np.int64), first, last
 
 
+def _sliced(batch: pa.RecordBatch, unit: Unit, length: int):
+    """Slices of a batch, each with what `_anchored` finds in it."""
+    for part in chunks(batch, most=SLICE):
+        yield part, *_anchored(part, unit, length)
+
+
 #: solve(contexts, windows, first): the smallest id of each window of each context, end to end.
 Solver = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
@@ -89,8 +97,7 @@ def shared_anchors(texts: DataFrame, unit: Unit, length: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                _, _, _, owner, _, h, _, _ = _anchored(part, unit, length)
+            for part, _, _, _, owner, _, h, _, _ in _sliced(batch, unit, length):
                 turn = np.lexsort((h, owner))
                 h, owner = h[turn], owner[turn]
                 new = np.ones(len(h), bool)
@@ -110,8 +117,7 @@ def contexts(texts: DataFrame, shared: DataFrame, unit: Unit, length: int) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                data, starts, ends, owner, before, h, first, last = _anchored(part, unit, length)
+            for part, data, starts, ends, owner, before, h, first, last in _sliced(batch, unit, length):
                 lists = part.column("hashes")
                 known = lists.flatten().to_numpy().astype(np.int64)
                 theirs = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))

@@ -15,13 +15,13 @@ CHUNK = 4_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about CHUNK bytes of text each, or one longer text."""
+def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text each, or one longer text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + CHUNK, "right")))
+        end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 
