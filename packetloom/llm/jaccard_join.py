@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import lookup, only, partitions, setting, stored, table, without
+from packetloom.llm.common import fitted, lookup, only, partitions, setting, stored, table, without
 from packetloom.llm.graphs import components
 from packetloom.llm.words import chunks, gram_hashes, split, word_hashes
 
@@ -59,6 +59,8 @@ FEW = 2
 HELPED = 0.9
 #: Pairs that are compared at once; each has two whole sets.
 AT_ONCE = 128
+#: What comparing a pair costs, in rows of a few numbers.
+PAIR = 16
 
 
 def overlap(n: int, m: int, share: int) -> int:
@@ -116,12 +118,13 @@ def linkable(sets: DataFrame, share: int) -> tuple[DataFrame, float]:
     hits = rows.join(shared.filter("a != b").select("h", "df").hint("merge"), "h").groupBy("key").agg(
         F.count("*").alias("rows"), F.avg("df").alias("df"))
     # the copies of a class have the same shingles, so each has its share of the rows
-    found = stored(one.join(hits, "key", "left").select(
-        "key", "n", "k", F.coalesce(F.col("rows") / F.col("copies"), F.lit(0)).alias("hits"), "df", "of.*"), "hits")
+    total = sets.count()
+    found = stored(fitted(one.join(hits, "key", "left").select(
+        "key", "n", "k", F.coalesce(F.col("rows") / F.col("copies"), F.lit(0)).alias("hits"), "df", "of.*"), total), "hits")
     scan = float(found.agg(F.avg("df")).first()[0] or 2.0)
     found = found.filter(F.col("hits") >= F.col("k") - F.floor(F.col("n") * (100 - share) / 100))
-    return stored(found.select("key", "n", (1 - F.col("hits") / F.greatest("k", F.lit(1))).alias("apart"),
-                               "text_hash", "doc_id"), "linkable"), scan
+    return stored(fitted(found.select("key", "n", (1 - F.col("hits") / F.greatest("k", F.lit(1))).alias("apart"),
+                                      "text_hash", "doc_id"), total), "linkable"), scan
 
 
 def whole_sets(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
@@ -140,7 +143,8 @@ def whole_sets(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
                     ["key", "n", "apart", "whole"])
 
     found = texts.select("key", "n", "apart", "text").mapInArrow(whole, "key long, n long, apart double, whole binary")
-    return found.dropDuplicates(["key"])  # rows that are repeated whole
+    numbers = keys.agg(F.sum("n")).first()[0] or 0
+    return fitted(found.dropDuplicates(["key"]), numbers // 4)  # rows that are repeated whole
 
 
 def partner_sizes(n: int, share: int) -> range:
@@ -215,9 +219,10 @@ def prefix_signatures(own: DataFrame, small: int, share: int) -> DataFrame:
 def signatures(own: DataFrame, small: int, share: int) -> DataFrame:
     """key, n, apart, h, at: what linked sets have in common, at least one of it."""
     subsets = subset_signatures(own, small, share).withColumn("at", F.lit(0).cast("long"))
-    each = stored(subsets.unionByName(prefix_signatures(own, small, share)), "signatures")
+    numbers = own.agg(F.sum("n")).first()[0] or 0
+    each = stored(fitted(subsets.unionByName(prefix_signatures(own, small, share)), numbers), "signatures")
     twice = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
-    return each.join(twice, "h").join(own.select("key", "n", "apart"), "key")
+    return fitted(each.join(twice, "h").join(own.select("key", "n", "apart"), "key"), each.count())
 
 
 def band(size: Column) -> Column:
@@ -238,8 +243,8 @@ def either(share: int, n: Column, x: Column, m: Column, y: Column) -> Column:
     return ((n >= m) & meets(share, n, x, m, y)) | ((n <= m) & meets(share, m, y, n, x))
 
 
-def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
-    """a, b, differ (size of the symmetric difference), linked, of pairs (a, b)."""
+def compare(pairs: DataFrame, own: DataFrame, share: int, most: int) -> DataFrame:
+    """a, b, differ (size of the symmetric difference), linked, of at most so many pairs (a, b)."""
     left = own.select(F.col("key").alias("a"), F.col("whole").alias("left"))
     right = own.select(F.col("key").alias("b"), F.col("whole").alias("right"))
 
@@ -259,7 +264,7 @@ def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
 
     full = pairs.select("a", "b").join(right, "b").join(left, "a")
     with setting(own.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(AT_ONCE)):
-        return stored(full.mapInArrow(count, "a long, b long, differ long, linked boolean"), "compared")
+        return stored(fitted(full.mapInArrow(count, "a long, b long, differ long, linked boolean"), PAIR * most), "compared")
 
 
 def label(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,7 +310,7 @@ def across(current: DataFrame) -> DataFrame:
     main = groups.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("all"),
                                    F.count("*").alias("k")).filter("k > 1").select(
         "h", F.col("most.comp").alias("main"), (F.col("all") - F.col("most.size")).alias("minor"))
-    return stored(current.join(main, "h"), "live")
+    return stored(fitted(current.join(main, "h"), current.count()), "live")
 
 
 def pairs_across(live: DataFrame, share: int, turn: int | None = None) -> DataFrame:
@@ -340,9 +345,10 @@ def pairs_across(live: DataFrame, share: int, turn: int | None = None) -> DataFr
 def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
     """Links (a, b, differ, linked) that connect all classes which are connected."""
     done, current = None, lists.withColumn("comp", F.col("key"))
-    joined = lambda: stored(mixed(label(current.drop("comp"), done.filter("linked"))), "lists")
+    size = own.count()
+    joined = lambda: stored(fitted(mixed(label(current.drop("comp"), done.filter("linked"))), current.count()), "lists")
     for turn in range(STARS):
-        new = compare(star_pairs(current, done, share, turn), own, share)
+        new = compare(star_pairs(current, done, share, turn), own, share, 3 * size)
         done = new if done is None else done.unionByName(new)
         if not new.filter("linked").limit(1).count():
             break
@@ -350,19 +356,22 @@ def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
     left, turn = math.inf, 0
     while True:
         live = across(current)
-        met = stored(pairs_across(live, share, turn), "met")
-        entries, most, classes = live.agg(F.count("*"), F.max("minor"), F.count_distinct("key")).first()
+        met = stored(fitted(pairs_across(live, share, turn), MINOR // 4 * live.count()), "met")
+        entries, minor, classes = live.agg(F.count("*"), F.max("minor"), F.count_distinct("key")).first()
         meetings = met.agg(F.sum("parts")).first()[0] or 0
-        whole = (most or 0) <= MINOR  # each list is one part
+        whole = (minor or 0) <= MINOR  # each list is one part
         last = whole or meetings <= FEW * entries or meetings > HELPED * left
         if last and not whole:
             met = pairs_across(live, share)
         pairs = met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        most = int(meetings)
         if not last:
-            pairs = stored(pairs, "pairs")
-            part = DRAWN * classes / max(1, pairs.count())
+            pairs = stored(fitted(pairs, most), "pairs")
+            most = pairs.count()
+            part = DRAWN * classes / max(1, most)
             pairs = pairs.filter(F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(2**30)) < part * 2**30)
-        done = done.unionByName(compare(pairs, own, share))
+            most = min(most, DRAWN * classes)
+        done = done.unionByName(compare(pairs, own, share, most))
         if last:
             return done
         current, left, turn = joined(), meetings, turn + 1
@@ -386,7 +395,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) ->
     lists = stored(signatures(own, boundary(scan, share), share), "lists")
     links = link_classes(lists, own, share).filter("linked")
     classes = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    classes = stored(label(classes, links), "classes")
+    classes = stored(fitted(label(classes, links), sets.count()), "classes")
     smallest = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
     facts = classes.select("key", "size", "comp").join(smallest, "comp")
     rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")

@@ -118,6 +118,16 @@ def test_components(spark):
     assert got == {**dict.fromkeys([*range(41), 100], 0), 200: 200, 201: 200}
 
 
+def test_small_labels_are_not_written_in_a_file_for_each_partition_of_a_shuffle(spark, monkeypatch):
+    seen, write = [], graphs.stored
+    monkeypatch.setattr(graphs, "stored", lambda df, name: seen.append(df.rdd.getNumPartitions()) or write(df, name))
+    with common.setting(spark, "spark.sql.shuffle.partitions", "61"), common.setting(
+            spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        got = dict(graphs.components(spark.createDataFrame([(3, 2), (2, 1), (2, 1)], "a long, b long")).collect())
+    assert got == {1: 1, 2: 1, 3: 1}
+    assert max(seen) <= spark.sparkContext.defaultParallelism < 61
+
+
 def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
     """500 copies of one text, half of them just under the threshold: few pairs are compared, no link is lost."""
     rng, words = random.Random(12), [f"w{i}" for i in range(300)]
