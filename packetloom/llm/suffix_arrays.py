@@ -2,9 +2,9 @@
 
 Shards of contexts (see `repeats`) are cut into blocks. Each block gets a suffix array by
 Larsson and Sadakane's refinement (only groups that are not yet sorted are sorted again, by
-the rank of what follows them) and common prefixes by Kasai's rule, all contexts side by side.
-Windows that are equal lie together and take the smallest id; blocks are merged by binary
-search of the windows of one among the sorted windows of the other.
+the rank of what follows them), which ends at the depth of a window: suffixes that share a rank then
+share a window, and no longer prefix matters. Windows that are equal lie together and take the
+smallest id; blocks are merged by binary search of the windows of one among the sorted windows of the other.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ ANCHOR = 16
 PACKED, BITS = 7, 9
 
 
-def suffix_array(text: np.ndarray, key: np.ndarray | None = None, have: int = 1) -> np.ndarray:
-    """Starts of the sorted suffixes.
+def refined(text: np.ndarray, key: np.ndarray | None = None, have: int = 1, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the suffixes, sorted by their first `depth` symbols, and the rank of each suffix, equal for those
+    that share as many; all of a suffix counts without a depth.
 
-    key: something that sorts the suffixes by their first `have` symbols; the text itself if
+    key: something that sorts the suffixes by their first `have` symbols, no more than depth; the text itself if
     there is none.
     """
     n = len(text)
     key = text if key is None else key
-    order = np.argsort(key, kind="stable")
+    # the order within a group is settled by what follows, so no sort needs to be stable
+    order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
     rank = np.zeros(n + 1, np.int64)  # 0 beyond the end
@@ -42,16 +44,22 @@ def suffix_array(text: np.ndarray, key: np.ndarray | None = None, have: int = 1)
         rank[order[slots]] = begin + 1
         alone = new & np.append(new[1:], True)
         slots, begin = slots[~alone], begin[~alone]
-        if not len(slots):
-            return order
+        if not len(slots) or have == depth:
+            return order, rank[:n]
+        step = have if depth is None else min(have, depth - have)
         where = order[slots]
-        both = begin * (n + 1) + rank[np.minimum(where + have, n)]
-        turn = np.argsort(both, kind="stable")
+        both = begin * (n + 1) + rank[np.minimum(where + step, n)]
+        turn = np.argsort(both)
         order[slots] = where[turn]
         both = both[turn]
         new = np.ones(len(slots), bool)
         new[1:] = both[1:] != both[:-1]
-        have *= 2
+        have += step
+
+
+def suffix_array(text: np.ndarray, key: np.ndarray | None = None, have: int = 1) -> np.ndarray:
+    """Starts of the sorted suffixes; key and have as in `refined`."""
+    return refined(text, key, have)[0]
 
 
 def packed(text: np.ndarray) -> np.ndarray:
@@ -101,18 +109,22 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, siz
     return out
 
 
-def laid_out(bodies: list[np.ndarray], windows: np.ndarray):
-    """Contexts end to end with a 0 behind each: text, starts, sizes with the 0, place of each window, context of each."""
-    sizes = np.array([len(b) + 1 for b in bodies])
+def spread(flat: np.ndarray, lengths: np.ndarray, windows: np.ndarray):
+    """Contexts of such lengths, end to end, with a 0 behind each: text, starts, sizes with the 0, place of each window, context of each."""
+    sizes = lengths + 1
     starts = np.cumsum(sizes) - sizes
     text = np.zeros(int(sizes.sum()), np.int64)
-    flat = np.concatenate(bodies)
-    text[np.repeat(starts - (np.cumsum(sizes - 1) - (sizes - 1)), sizes - 1) + np.arange(len(flat))] = flat
+    text[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))] = flat
     owner = np.repeat(np.arange(len(windows)), windows)
     place = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     return text, starts, sizes, place, owner
 
 
+def laid_out(bodies: list[np.ndarray], windows: np.ndarray):
+    """`spread` of contexts that are arrays of their own."""
+    return spread(np.concatenate(bodies), np.array([len(b) for b in bodies]), windows)
+
+
 def smallest(order: np.ndarray, prefixes: np.ndarray, place: np.ndarray, source: np.ndarray, length: int):
     """Group of each suffix (those that share `length` symbols) in order, and the smallest source of each group."""
     source_at = np.full(len(order), NEVER)
@@ -125,19 +137,18 @@ def smallest(order: np.ndarray, prefixes: np.ndarray, place: np.ndarray, source:
 def _block(bodies: list[bytes], windows: np.ndarray, first: np.ndarray, length: int):
     """Sorted different windows of a block, the smallest source of each, and which one each window is."""
     flat = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int64) + 1
-    text, starts, sizes, place, owner = laid_out(np.split(flat, np.cumsum([len(b) for b in bodies])[:-1]), windows)
-    keys = packed(text)
-    order = suffix_array(text, keys, PACKED)
-    slot = np.empty(len(order), np.int64)
-    slot[order] = np.arange(len(order))
-    prefixes = common_prefixes(text, order, starts, sizes, length, keys)
-    group, least = smallest(order, prefixes, place, first[owner], length)
-    mine = group[slot[place]]
-    real, which = np.unique(mine, return_inverse=True)
+    text, _, _, place, owner = spread(flat, np.array([len(b) for b in bodies]), windows)
+    _, rank = refined(text, packed(text), PACKED, length) if length > PACKED else refined(text, depth=length)
+    mine = rank[place]
+    real = np.zeros(len(text) + 1, bool)
+    real[mine] = True
+    which = (np.cumsum(real) - 1)[mine]
+    least = np.full(int(real.sum()), NEVER)
+    np.minimum.at(least, which, first[owner])
     one = np.zeros(len(least), np.int64)
-    one[mine] = place
-    found = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), length)[one[real]]
-    return np.ascontiguousarray(found).view(f"S{length}").ravel(), least[real], which
+    one[which] = place
+    found = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), length)[one]
+    return np.ascontiguousarray(found).view(f"S{length}").ravel(), least, which
 
 
 def solve(bodies: list[bytes], windows: np.ndarray, first: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> np.ndarray:

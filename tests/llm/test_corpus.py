@@ -469,6 +469,18 @@ def test_suffix_order_and_prefixes():
         assert found[i] == (n if same.all() else same.argmin())
 
 
+def test_suffixes_refined_to_a_depth_share_ranks_as_they_share_symbols():
+    rng = np.random.default_rng(4)
+    text = np.concatenate([np.append(rng.integers(1, 3, 30), 0) for _ in range(20)])
+    for depth in (1, 8, 12, 20):
+        key = (suffix_arrays.packed(text), suffix_arrays.PACKED) if depth > suffix_arrays.PACKED else (None, 1)
+        order, rank = suffix_arrays.refined(text, *key, depth)
+        heads = [text[i:i + depth].tolist() for i in range(len(text))]
+        assert [heads[i] for i in order] == sorted(heads)
+        names = {h: k for k, h in enumerate(sorted({tuple(h) for h in heads}))}
+        assert np.unique(rank, return_inverse=True)[1].tolist() == [names[tuple(h)] for h in heads]
+
+
 def test_fm_index_matches_texts_it_does_not_hold():
     rng = np.random.default_rng(3)
     parts = [rng.integers(1, 6, 80) for _ in range(5)]
