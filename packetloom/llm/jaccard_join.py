@@ -243,8 +243,8 @@ def either(share: int, n: Column, x: Column, m: Column, y: Column) -> Column:
     return ((n >= m) & meets(share, n, x, m, y)) | ((n <= m) & meets(share, m, y, n, x))
 
 
-def compare(pairs: DataFrame, own: DataFrame, share: int, most: int) -> DataFrame:
-    """a, b, differ (size of the symmetric difference), linked, of at most so many pairs (a, b)."""
+def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
+    """a, b, differ (size of the symmetric difference), linked, of pairs (a, b)."""
     left = own.select(F.col("key").alias("a"), F.col("whole").alias("left"))
     right = own.select(F.col("key").alias("b"), F.col("whole").alias("right"))
 
@@ -264,7 +264,8 @@ def compare(pairs: DataFrame, own: DataFrame, share: int, most: int) -> DataFram
 
     full = pairs.select("a", "b").join(right, "b").join(left, "a")
     with setting(own.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(AT_ONCE)):
-        return stored(fitted(full.mapInArrow(count, "a long, b long, differ long, linked boolean"), PAIR * most), "compared")
+        found = full.mapInArrow(count, "a long, b long, differ long, linked boolean")
+        return stored(fitted(found, PAIR * DRAWN * own.count()), "compared")
 
 
 def label(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -345,10 +346,9 @@ def pairs_across(live: DataFrame, share: int, turn: int | None = None) -> DataFr
 def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
     """Links (a, b, differ, linked) that connect all classes which are connected."""
     done, current = None, lists.withColumn("comp", F.col("key"))
-    size = own.count()
     joined = lambda: stored(fitted(mixed(label(current.drop("comp"), done.filter("linked"))), current.count()), "lists")
     for turn in range(STARS):
-        new = compare(star_pairs(current, done, share, turn), own, share, 3 * size)
+        new = compare(star_pairs(current, done, share, turn), own, share)
         done = new if done is None else done.unionByName(new)
         if not new.filter("linked").limit(1).count():
             break
@@ -364,14 +364,11 @@ def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
         if last and not whole:
             met = pairs_across(live, share)
         pairs = met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        most = int(meetings)
         if not last:
-            pairs = stored(fitted(pairs, most), "pairs")
-            most = pairs.count()
-            part = DRAWN * classes / max(1, most)
+            pairs = stored(fitted(pairs, int(meetings)), "pairs")
+            part = DRAWN * classes / max(1, pairs.count())
             pairs = pairs.filter(F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(2**30)) < part * 2**30)
-            most = min(most, DRAWN * classes)
-        done = done.unionByName(compare(pairs, own, share, most))
+        done = done.unionByName(compare(pairs, own, share))
         if last:
             return done
         current, left, turn = joined(), meetings, turn + 1
