@@ -268,10 +268,20 @@ def compare(pairs: DataFrame, own: DataFrame, share: int) -> DataFrame:
         return stored(fitted(found, PAIR * DRAWN * own.count()), "compared")
 
 
-def label(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Adds comp, the component of each key."""
-    found = components(links).select(F.col("node").alias("key"), "label")
-    return rows.join(found, "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label")
+def label(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Adds comp, the component of each key; a key that comps (key, comp) does not have is its own."""
+    return rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (key, comp) once links (a, b) are added, each of which is read once: only those between
+    different components are followed further, as one link for each two components."""
+    side = lambda end, name: comps.select(F.col("key").alias(end), F.col("comp").alias(name))
+    ends = links.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").filter("x != y").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = components(stored(fitted(ends, links.count()), "ends")).select(F.col("node").alias("comp"), "label")
+    return stored(fitted(comps.join(found, "comp", "left").select(
+        "key", F.coalesce("label", "comp").alias("comp")), comps.count()), "components")
 
 
 def mixed(current: DataFrame) -> DataFrame:
@@ -344,14 +354,16 @@ def pairs_across(live: DataFrame, share: int, turn: int | None = None) -> DataFr
 
 
 def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
-    """Links (a, b, differ, linked) that connect all classes which are connected."""
+    """key, comp (the smallest key that its links reach) of all classes."""
     done, current = None, lists.withColumn("comp", F.col("key"))
-    joined = lambda: stored(fitted(mixed(label(current.drop("comp"), done.filter("linked"))), current.count()), "lists")
+    comps = own.select("key", F.col("key").alias("comp"))
+    joined = lambda: stored(fitted(mixed(label(current.drop("comp"), comps)), current.count()), "lists")
     for turn in range(STARS):
         new = compare(star_pairs(current, done, share, turn), own, share)
         done = new if done is None else done.unionByName(new)
         if not new.filter("linked").limit(1).count():
             break
+        comps = merged(comps, new.filter("linked"))
         current = joined()
     left, turn = math.inf, 0
     while True:
@@ -368,9 +380,11 @@ def link_classes(lists: DataFrame, own: DataFrame, share: int) -> DataFrame:
             pairs = stored(fitted(pairs, int(meetings)), "pairs")
             part = DRAWN * classes / max(1, pairs.count())
             pairs = pairs.filter(F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(2**30)) < part * 2**30)
-        done = done.unionByName(compare(pairs, own, share))
+        new = compare(pairs, own, share)
+        comps = merged(comps, new.filter("linked"))
         if last:
-            return done
+            return comps
+        done = done.unionByName(new)
         current, left, turn = joined(), meetings, turn + 1
 
 
@@ -390,9 +404,9 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) ->
     keys, scan = linkable(sets, share)
     own = stored(whole_sets(docs, keys, shingle), "linkable-sets")
     lists = stored(signatures(own, boundary(scan, share), share), "lists")
-    links = link_classes(lists, own, share).filter("linked")
+    comps = link_classes(lists, own, share)
     classes = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    classes = stored(fitted(label(classes, links), sets.count()), "classes")
+    classes = stored(fitted(label(classes, comps), sets.count()), "classes")
     smallest = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
     facts = classes.select("key", "size", "comp").join(smallest, "comp")
     rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")

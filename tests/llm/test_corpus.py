@@ -194,6 +194,41 @@ def test_links_that_hubs_miss_are_found_without_comparing_all_pairs(spark, monke
     assert sum(compared) < 20_000 and max(met) < 500_000
 
 
+def test_links_are_followed_once_and_only_between_components(spark, monkeypatch):
+    """Rounds that link one group over and over do not read the links of earlier rounds again."""
+    rng, words = random.Random(5), [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(90):
+        w = list(words)
+        for e in rng.sample(range(20), 8):
+            w[12 * e + 8] = f"x{e}"
+        texts.append(" ".join(w))
+    linked, followed = [], []
+    plain, found = jaccard_join.compare, jaccard_join.components
+
+    def counted(*args):
+        out = plain(*args)
+        linked.append(out.filter("linked").count())
+        return out
+
+    def following(links):
+        followed.append(links.count())
+        return found(links)
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    monkeypatch.setattr(jaccard_join, "components", following)
+    rows = list(enumerate(texts))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
+    assert len(linked) > 2 and sum(followed) <= sum(linked)
+
+
+def test_components_are_merged_by_new_links(spark):
+    comps = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 9)], "key long, comp long")
+    links = spark.createDataFrame([(2, 6), (1, 5), (1, 2), (8, 9)], "a long, b long")
+    assert dict(jaccard_join.merged(comps, links).collect()) == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
 # --- 2
 
 
