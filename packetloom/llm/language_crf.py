@@ -30,8 +30,8 @@ PER_LANGUAGE = 100
 BITS = 17
 GRAMS = (1, 2, 3, 4)
 ROUNDS, RATE, SHRINK = 20, 0.3, 1e-4
-#: Text handled at once in a task.
-CHUNK = 4_000_000
+#: Text handled at once in a task; a word takes some 150 bytes meanwhile.
+CHUNK = 1_000_000
 #: The pipeline rejects documents with no language, or whose words have on average a probability in their own best
 #: language under LEAST; with more than four languages, under CHANCE times what guessing gives.
 LEAST = 0.4
@@ -95,13 +95,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarr
     return ids, words, text, np.concatenate([[True], group[1:] != group[:-1]])[:len(ids)]
 
 
-def marginals(scores: np.ndarray, begins: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward: probability of each label at each word, and of each transition in sum.
+def chances(scores: np.ndarray, begins: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Forward-backward: probability of each label at each word; what it is made of (local, ahead, back, move).
 
     scores: one row per word; begins: whether it begins a chain; jumps: transition scores.
     """
     n, labels = scores.shape
-    local = np.exp(scores - scores.max(1, keepdims=True))
+    local = scores - scores.max(1, keepdims=True)
+    np.exp(local, out=local)
     move = np.exp(jumps - jumps.max()).astype(scores.dtype)
     first = np.flatnonzero(begins)
     size = np.diff(np.append(first, n))
@@ -119,6 +120,12 @@ def marginals(scores: np.ndarray, begins: np.ndarray, jumps: np.ndarray) -> tupl
         back[at - 1] = b / b.sum(1, keepdims=True)
     both = ahead * back
     both /= both.sum(1, keepdims=True)
+    return both, local, ahead, back, move
+
+
+def marginals(scores: np.ndarray, begins: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each label at each word, and of each transition in sum."""
+    both, local, ahead, back, move = chances(scores, begins, jumps)
     inner = np.flatnonzero(~begins)
     left, right = ahead[inner - 1], local[inner] * back[inner]
     weight = np.einsum("ni,ij,nj->n", left, move, right, optimize=True)
@@ -202,7 +209,7 @@ def _judge(model: LanguageModel, texts: pa.Array, spans: bool):
     letters = pc.match_substring_regex(pa.array(words, pa.string()), r"\pL").to_numpy(zero_copy_only=False).astype(bool)
     if not len(ids) or not k:
         return [UNKNOWN] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
-    likely, _ = marginals(model.scores(words)[ids], begins, model.jumps)
+    likely = chances(model.scores(words)[ids], begins, model.jumps)[0]  # no transitions, which take as much again
     counted = letters[ids]
     total = np.stack([np.bincount(text[counted], likely[counted, j], n) for j in range(k)], 1)
     size = np.bincount(text[counted], minlength=n)

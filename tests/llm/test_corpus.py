@@ -305,6 +305,25 @@ def test_documents_of_many_languages_are_kept(spark, mixed):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {901}
 
 
+def test_languages_of_a_large_batch_take_little_memory_at_once(spark, monkeypatch):
+    rng, words = random.Random(2), vocabulary(n=3000)
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": list(range(40)), "text": [". ".join(" ".join(rng.choices(words, k=20)) for _ in range(600)) for _ in range(40)]})
+    model = language_crf.fit([t[:3000] for t in batch.column("text").to_pylist()[:4]], ["a", "b", "c", "d"])
+    taken = []
+    rows = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    language_crf.identify(rows, model, ("lang", "score"))
+    tracemalloc.start()
+    try:
+        said = sum(b.num_rows for b in taken[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert said == 40 and batch.nbytes > 2_000_000
+    assert peak < 40_000_000
+
+
 def test_language_id_without_labels(docs, empty):
     got = language_crf.language_id(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in got.collect()} == {("und", 0.0)}
