@@ -1,5 +1,9 @@
 import datetime as dt
+import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import Row, functions as F
 
 from model import packet_frame
@@ -7,7 +11,9 @@ from test_assembly import random_capture
 from packetloom import fixed_values as V
 from packetloom.functions import scalars as S
 from packetloom.operators.assembly import assemble_flows
-from packetloom.params import Params
+from packetloom.operators.host_arrays import Hosts
+from packetloom.operators.host_state import DestinationState, SourceState, seen
+from packetloom.params import SECOND, Params
 from packetloom.plans.registry import landed, stream_of
 from packetloom.streaming.flow_stream import flow_stream
 from packetloom.streaming.sinks import run_to_end
@@ -84,6 +90,107 @@ def test_calls_to_the_state_store_do_not_grow_with_keys():
     assert sorted(f.flow_id for f in flows) == list(range(200)) and store.held is None and store.n <= 10
 
 
+FLOW = ("capture_id string, seq long, src string, dst string, dport int, start_us long, end_us long, "
+        "had_syn boolean, handshake boolean, bytes_out long, bytes_in long, new_pair boolean, note double")
+RECORD = [f.split()[0] for f in FLOW.split(", ")]
+
+
+def random_flows(seed, n, hosts, first=0, us=200_000):
+    """Flows in order of time, some at the same moment; ports, handshakes and starts may be null."""
+    r, at, out = random.Random(seed), 0, []
+    for i in range(n):
+        at += r.choice((0, us, 3 * us, 40 * us))
+        at += r.choice((0, 70 * SECOND)) if r.random() < 0.02 else 0
+        out.append((r.choice(("c1", "c2")), 2 ** 60 + first + i, f"h{r.randrange(hosts)}", r.choice(("a", "b", "c")),
+                    r.choice((80, 443, None)), None if r.random() < 0.1 else at - r.randrange(SECOND), at,
+                    r.random() < 0.6, r.choice((True, False, None)), r.randrange(9_000), r.randrange(3) * 400,
+                    r.random() < 0.3, r.choice((None, float("nan"), 0.5))))
+    return [Row(*RECORD)(*x) for x in out]
+
+
+def walked(flows, side, p=Params()):
+    """Features by seq, by the plain walk over the flows in the order in which they stand."""
+    make, own, peer = ((SourceState, "src", "dst") if side == "src" else (DestinationState, "dst", "src"))
+    states, out = {}, {}
+    for x in flows:
+        state = states.setdefault((x.capture_id, x[own]), make(p))
+        out[x.seq] = state.observe(seen(x if x.start_us is not None else Row(**{**x.asDict(), "start_us": x.end_us}), peer))
+    return out
+
+
+def arrays(flows, side):
+    own, peer = ("src", "dst") if side == "src" else ("dst", "src")
+    rows = [(x.capture_id, x[own], x[peer], *seen(x, peer)[2:3], *seen(x, peer)[:1], *seen(x, peer)[3:]) for x in flows]
+    names = ("capture", "host", "peer", "port", "at", "syn", "failed", "out", "into", "us", "new")
+    return {n: np.array([*c], object if n in names[:3] else np.int64) for n, c in zip(names, zip(*rows))}
+
+
+@pytest.mark.parametrize("side", ["src", "dst"])
+def test_hosts_walked_at_once_equal_the_walk_of_each(side):
+    """Over batches whose first flows are older than the last of the batch before."""
+    for seed in range(12):
+        flows = [x for x in random_flows(seed, 160, 3, us=(1, 200_000, SECOND)[seed % 3]) if x.dport and x.start_us is not None]
+        for i in range(20, len(flows) - 5, 40):
+            flows[i], flows[i + 1], flows[i + 4] = flows[i + 4], flows[i], flows[i + 1]
+        hosts, got = Hosts(Params(), side, 60), {}
+        for i in range(0, len(flows), 40):
+            batch = sorted(flows[i:i + 40], key=lambda x: (x.capture_id, x[side]))
+            got |= dict(zip([x.seq for x in batch], hosts.observe(arrays(batch, side))))
+        want = walked(flows, side)
+        for x in flows:
+            assert got[x.seq] == pytest.approx(want[x.seq], abs=1e-12), (seed, x)
+
+
+@pytest.mark.parametrize("side", ["src", "dst"])
+def test_host_profile_stream_equals_the_walk(spark, monkeypatch, side):
+    """With all hosts in three groups; the columns of the flows come back as they were."""
+    from packetloom.streaming import host_stream as module
+    monkeypatch.setattr(module, "GROUPS", 3)
+    flows = random_flows(4, 300, 9)
+    rows = spark.createDataFrame(flows, FLOW)
+    feed = stream_of(rows, landed(rows, "profile")).withWatermark("ts", "1 hour")
+    out = spark.read.parquet(run_to_end(module.host_profile_stream(feed, side), "profile-out")).where("seq >= 0")
+    names = V.HOST_FEATURES if side == "src" else V.DST_FEATURES
+    assert out.columns == [*RECORD, "ts", *names]
+    got, want = out.collect(), walked(flows, side)
+    assert sorted(map(repr, (r[:len(RECORD)] for r in got))) == sorted(map(repr, (x[:] for x in flows)))
+    for r in got:
+        assert micros(r.ts) == r.end_us and r[-len(names):] == pytest.approx(want[r.seq], abs=1e-12)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_to_the_state_store_do_not_grow_with_hosts():
+    from pyspark.sql import types as T
+    from packetloom.streaming.host_stream import ProfileProcessor, _Packed
+    packed = _Packed(T.StructType.fromDDL(FLOW).fields)
+    number = {"had_syn": 1, "handshake": 0, "new_pair": 0, "dport": 80, "bytes_out": 5, "bytes_in": 5}
+
+    def frame(at, hosts):
+        whole = lambda h: np.array([{"seq": h, "start_us": at, "end_us": at + h, **number}[c] for c in packed.whole] + [0])
+        return pd.DataFrame({"group": 0, "whole": [whole(h) for h in hosts], "capture_id": "c", "src": [f"h{h}" for h in hosts],
+                             "dst": "b", "note": 0.5, "ts": 0})
+
+    sent = ["group", "packetloom_whole", "capture_id", "src", "dst", "note", "ts"]
+    store, processor = Calls(), ProfileProcessor(Params(), "src", packed, sent, ["end_us", "seq"])
+    processor.init(store)
+    many = pd.concat(processor.handleInputRows((0,), iter([frame(0, range(200)), frame(0, range(200, 400))]), Clock(0)))
+    assert list(many["host_flows_60s"]) == [1.0] * 400 and store.n <= 5
+    again = pd.concat(processor.handleInputRows((0,), iter([frame(SECOND, range(100))]), Clock(0)))
+    assert list(again["host_flows_60s"]) == [2.0] * 100 and store.n <= 10
+    # each host is forgotten once its own windows are empty, the state with the last of them
+    assert not list(processor.handleExpiredTimer((0,), Clock(60_003), None)) and store.held is not None
+    late = pd.concat(processor.handleInputRows((0,), iter([frame(2 * SECOND, (50, 350))]), Clock(60_003)))
+    assert list(late["host_flows_60s"]) == [3.0, 1.0]
+    assert not list(processor.handleExpiredTimer((0,), Clock(99_999), None)) and store.held is None
+
+
 def test_packets_to_incidents_in_one_query(spark):
     """The chained stream equals batch flows and sessions counted in plain Python, on three captures."""
     from packetloom.plans.flagship import rule_alerts
